@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, simhash
-from .common import table
+from . import langid, licenses, mixing, packing, quality, simhash
+from .common import by_crc, table
 
 
 def tokenizer() -> str:
@@ -15,19 +15,40 @@ def tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    weights = quality.fit(docs, labels.where(by_crc(labels, "doc_id", 4) != 2))
+    out = quality.score(docs, weights).withColumnRenamed("id", "doc_id")
+    held = F.coalesce(by_crc(out, "doc_id", 4) == 2, F.lit(False))
+    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.copies(table(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = langid.predict(docs, langid.learned(docs), keep=["doc_id"])
+    held = F.coalesce(by_crc(out, "doc_id", 3) == 1, F.lit(False))
+    return out.select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer())
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = licenses.scan(table(spark, sf_dir, "documents"))
+    at = F.transform("base_places", lambda x: x["word"])
+    return out.select(F.col("id").alias("doc_id"), "n_words", F.size("base_places").cast("bigint").alias("n_base"), F.array_min(at).alias("first_word"), F.array_max(at).alias("last_word"), "base_labels", "labels", "score")
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.group(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op4_mixing, op6_best_fit_packing, op8_simhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op3_quality_classifier, op4_mixing, op5_language_id, op6_best_fit_packing, op7_license_scan, op8_simhash_near_dedup)}
 ORACLES: dict[str, str] = {}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, langid, licenses, mixing, packing, quality, repeats, simhash, topk
+from . import ann, html, langid, licenses, mixing, packing, quality, repeats, simhash, topk
 from .common import by_crc, table
 
 
@@ -15,6 +15,11 @@ def tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html.main_text(table(spark, sf_dir, "pages"))
+    return out.select(F.col("id").alias("page_id"), "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
 def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     return topk.search(rows, rows.where("vec_id % 50 = 0"), k=5).withColumnRenamed("id", "vec_id")
@@ -64,7 +69,7 @@ def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), "kept_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_top_k, op3_quality_classifier, op4_mixing, op5_language_id, op6_best_fit_packing, op7_license_scan, op8_simhash_near_dedup, op9_embedding_near_dedup, op10_repeated_passages)}
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_exact_top_k, op3_quality_classifier, op4_mixing, op5_language_id, op6_best_fit_packing, op7_license_scan, op8_simhash_near_dedup, op9_embedding_near_dedup, op10_repeated_passages)}
 
 ORACLES: dict[str, str] = {
     "op2_exact_top_k": """

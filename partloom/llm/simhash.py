@@ -51,15 +51,15 @@ def fingerprint(h: np.ndarray) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp): fp as a signed 64-bit integer."""
-    thin = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
+    """(id, key, fp): fp as a signed 64-bit integer, key a hash of the text."""
+    thin = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).cast("binary").alias("text"))
 
     def run(batches):
         for b in batches:
-            fps = [fingerprint(shingle_hashes(t or b"", words, seed)) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))], names=["id", "fp"])
+            fps = [fingerprint(shingle_hashes(t or b"", words, seed)) for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.array(fps, np.uint64).view(np.int64))], names=["id", "key", "fp"])
 
-    return thin.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, fp bigint")
+    return thin.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, key bigint, fp bigint")
 
 
 def triples() -> list[tuple[int, int, int]]:
@@ -143,18 +143,21 @@ def links(distinct: DataFrame, bits: int = 4, hot: int = 4096) -> DataFrame:
 
 
 def group(docs: DataFrame, bits: int = 4, words: int = 4, seed: int = 42, hot: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp, component_id) of every row; ids are integers."""
+    """(id, key, fp, component_id) of every row; ids are integers."""
     marked = save(fingerprints(docs, words, seed, id_col, text_col), "fingerprints")
     distinct = save(marked.where("id IS NOT NULL").groupBy("fp").agg(F.min("id").alias("node")), "distinct")
     joined = components(links(distinct, bits, hot))
     named = distinct.join(joined, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     out = marked.join(named, "fp", "left")
-    return out.select(F.col("id").alias(id_col), "fp", F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
+    return out.select(F.col("id").alias(id_col), "key", "fp", F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
 def keep_first(docs: DataFrame, bits: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group: that of the smallest id; of rows that repeat an id, the first by their values.
     Rows without an id stay."""
-    kept = group(docs, bits, id_col=id_col, text_col=text_col).where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    first = docs.where(F.col(id_col).isNotNull()).join(kept, id_col, "left_semi").dropDuplicates([id_col])
-    return first.unionByName(docs.where(F.col(id_col).isNull()))
+    found = group(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), bits, id_col="id", text_col="text")
+    kept = found.where("id = component_id").select("id", "key").distinct()
+    row = F.struct(*docs.columns)
+    keyed = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), row.alias("row"))
+    first = keyed.join(kept, ["id", "key"], "left_semi").groupBy("id").agg(F.min("row").alias("row"))
+    return first.select("row.*").unionByName(docs.where(F.col(id_col).isNull()))

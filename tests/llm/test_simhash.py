@@ -83,4 +83,6 @@ def test_edges(spark):
     assert simhash.group(df.limit(0)).collect() == []
     kept = [r.doc_id for r in simhash.keep_first(df).collect()]
     assert sorted(kept, key=str) == [1, 4, 6, 7, 8, None]
+    odd = spark.createDataFrame([(8, long), (9, long), (9, "quite another text of some words"), (9, "quite another text of some words")], "doc_id long, text string")
+    assert sorted(map(tuple, simhash.keep_first(odd).collect())) == [(8, long), (9, "quite another text of some words")]
     assert simhash.keep_first(df).columns == df.columns

@@ -5,17 +5,28 @@ from __future__ import annotations
 import numpy as np
 
 
-def suffix_array(sym: np.ndarray) -> np.ndarray:
-    """Order of all suffixes; symbol 0 separates, each separator is unique and ordered by its place."""
+def suffix_array(sym: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of all suffixes, and each one's common prefix with the one before, up to seven symbols.
+
+    Symbol 0 separates; each separator is unique and ordered by its place."""
     n = len(sym)
+    until = np.full(n, 7, np.int8)
     key, seen = np.zeros(n, np.int64), np.zeros(n, bool)
     padded = np.concatenate([sym, np.zeros(7, sym.dtype)]).astype(np.int64)
     for k in range(7):
         s = padded[k : k + n]
+        until[(s == 0) & ~seen] = k
         seen |= s == 0
         key = (key << 9) | np.where(seen, 0, s)
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
+    tied = np.flatnonzero(seen[order])  # equal up to a separator: by place
+    order[tied] = order[tied][np.lexsort((order[tied], key[order[tied]]))]
     sorted_key = key[order]
+    apart = sorted_key[1:] ^ sorted_key[:-1]
+    common = np.zeros(n, np.int8)
+    for k in range(7):
+        common[1:] += apart < 1 << 9 * k
+    common = np.minimum(common, until[order])
     fresh = np.ones(n, bool)
     fresh[1:] = (sorted_key[1:] != sorted_key[:-1]) | seen[order][1:]
     rank = np.empty(n, np.int64)
@@ -25,7 +36,7 @@ def suffix_array(sym: np.ndarray) -> np.ndarray:
     while len(open_):
         pos = order[open_]
         key = rank[pos] * n + rank[pos + h]
-        by = np.argsort(key, kind="stable")
+        by = np.argsort(key)
         pos, key = pos[by], key[by]
         order[open_] = pos
         fresh = np.ones(len(key), bool)
@@ -33,12 +44,17 @@ def suffix_array(sym: np.ndarray) -> np.ndarray:
         rank[pos] = open_[np.maximum.accumulate(np.where(fresh, np.arange(len(key)), 0))]
         open_ = open_[~fresh | np.append(~fresh[1:], False)]
         h *= 2
-    return order
+    return order, common
+
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
 
 
 def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """All numbers of the ranges [start, start + size), one range after the other."""
-    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+    return np.repeat(start - (np.cumsum(size, dtype=np.int32) - size), size) + np.arange(int(size.sum()), dtype=np.int32)
 
 
 def repeated(segments: list[bytes], least: int) -> list[np.ndarray]:
@@ -56,28 +72,30 @@ def repeated(segments: list[bytes], least: int) -> list[np.ndarray]:
     sym = np.frombuffer(b"\0".join(segments) + b"\0", np.uint8).astype(np.uint16) + 1
     sym[end] = 0
     n = len(sym)
-    order = suffix_array(sym)
+    order, common = suffix_array(sym)
     last = sym[order - 1]  # the transform; order 0 wraps to a separator
-    by_char = np.argsort(last, kind="stable")
-    step = np.empty(n, np.int64)  # row of the suffix one byte longer
-    step[by_char] = np.arange(n)
-    head = sym[order]
-    first = np.concatenate([np.arange(len(segments)), np.flatnonzero(np.diff(head) != 0) + 1])
-    first = np.unique(first)
-    known = np.zeros(n + 1, bool)
-    known[n] = True
-    known[first] = True
-    fresh = first[first > 0]
-    part = np.zeros(n, np.int64)
-    begin, stop = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)
-    stop[0], parts = n, 1
-    for _ in range(least - 1):
+    by_char = np.argsort(last, kind="stable").astype(np.int32)
+    step = np.empty(n, np.int32)  # row of the suffix one byte longer
+    step[by_char] = np.arange(n, dtype=np.int32)
+    level = min(6, least - 1)  # prefixes up to here are known from packed symbols
+    known = np.ones(n + 1, bool)
+    known[:n] = common <= level
+    known[0] = True
+    old = np.flatnonzero(common < level).astype(np.int32)
+    old = old if len(old) and old[0] == 0 else np.append(np.int32(0), old)
+    fresh = np.flatnonzero(common == level).astype(np.int32)
+    fresh = fresh[fresh > 0]
+    parts = len(old)
+    begin, stop = np.zeros(n + 1, np.int32), np.zeros(n + 1, np.int32)
+    begin[:parts], stop[:parts] = old, np.append(old[1:], np.int32(n))
+    part = np.repeat(np.arange(parts, dtype=np.int32), stop[:parts] - old)
+    for _ in range(level, least - 1):
         if not len(fresh):
             break
-        parent = np.unique(part[fresh])
+        parent = _distinct(part[fresh])
         starts = np.sort(np.concatenate([begin[parent], fresh]))
         own = part[starts]
-        ends = np.append(starts[1:], n)
+        ends = np.append(starts[1:], np.int32(n))
         tail = np.append(own[1:] != own[:-1], True)
         ends[tail] = stop[own[tail]]
         length = ends - starts
@@ -86,19 +104,21 @@ def repeated(segments: list[bytes], least: int) -> list[np.ndarray]:
         small = np.ones(len(starts), bool)
         small[largest] = False
         begin[own[largest]], stop[own[largest]] = starts[largest], ends[largest]
-        new = np.arange(parts, parts + int(small.sum()))
+        new = np.arange(parts, parts + int(small.sum()), dtype=np.int32)
         parts += len(new)
         begin[new], stop[new] = starts[small], ends[small]
         rows = _ranges(starts[small], length[small])
         part[rows] = np.repeat(new, length[small])
-        rows = rows[last[rows] != 0]
-        up, char = step[rows], last[rows]
-        before = by_char[np.maximum(up - 1, 0)]
-        a = up[(last[before] == char) & (part[before] != part[rows])]
-        after = by_char[np.minimum(up + 1, n - 1)]
-        b = up[(up + 1 < n) & (last[after] == char) & (part[after] != part[rows])] + 1
-        fresh = np.concatenate([a, b])
-        fresh = np.unique(fresh[~known[fresh]])
+        char = last[rows]
+        up, own = step[rows], part[rows]
+        a = np.flatnonzero((char != 0) & ~known[up])
+        before = by_char[up[a] - 1]
+        a = up[a][(last[before] == char[a]) & (part[before] != own[a])]
+        up += 1
+        b = np.flatnonzero((char != 0) & ~known[up])
+        after = by_char[up[b]]
+        b = up[b][(last[after] == char[b]) & (part[after] != own[b])]
+        fresh = _distinct(np.concatenate([a, b]))
         known[fresh] = True
     same = np.flatnonzero(~known[:n])
     hit = np.zeros(n, bool)

@@ -30,6 +30,8 @@ from .textvec import mixed, prefix, span
 
 GRAM = 32
 CHUNK = 1 << 22
+#: Bytes of whole groups that are compared at once; small enough to stay in a core's cache.
+BATCH = 256 << 10
 #: Lengths of the ranges of starts that hot segments are cut into, one after the other; the last is single strings.
 CUTS = (32, 8, 1)
 
@@ -84,17 +86,28 @@ def _occurrences(docs: DataFrame, least: int) -> DataFrame:
 
 
 def _count(rows: DataFrame) -> DataFrame:
-    """Each (a, s): occurrences, an example, and the segments its anchor has; those alone in both are left out."""
-    rest = [c for c in rows.columns if c not in ("a", "s", "c", "kinds")]
-    each = rows.groupBy("a", "s").agg(F.sum("c").alias("c"), *(F.first(c).alias(c) for c in rest))
+    """(a, s, c, kinds): occurrences of each segment, and how many its anchor has; those alone in both are left out."""
+    each = rows.groupBy("a", "s").agg(F.sum("c").alias("c"))
     kinds = each.groupBy("a").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    out = each.join(kinds, "a", "left").where("c > 1 OR kinds > 1")
-    return out.select("a", "s", "c", F.coalesce("kinds", F.lit(1)).cast("bigint").alias("kinds"), *rest)
+    return each.join(kinds, "a", "left").where("c > 1 OR kinds > 1").select("a", "s", "c", F.coalesce("kinds", F.lit(1)).cast("bigint").alias("kinds"))
 
 
-def _whole(rows: DataFrame, counted: DataFrame, least: int) -> DataFrame:
+def _shared(rows: DataFrame) -> DataFrame:
+    """Rows whose segment occurs again, or whose anchor has other segments: with both counts, their own as ``one``."""
+    return rows.withColumnRenamed("c", "one").join(_count(rows), ["a", "s"])
+
+
+def _whole(shared: DataFrame, least: int) -> DataFrame:
     """Byte ranges of the segments that occur more than once."""
-    return rows.where("c = 1").join(counted.where("c > 1").select("a", "s"), ["a", "s"]).select("kid", "th", "lo", (F.col("lo") + F.col("n") + (least - 1)).alias("hi"))
+    return shared.where("one = 1 AND c > 1").select("kid", "th", "lo", (F.col("lo") + F.col("n") + (least - 1)).alias("hi"))
+
+
+def _examples(shared: DataFrame) -> DataFrame:
+    """One row of each segment whose anchor has other segments."""
+    rest = [c for c in shared.columns if c not in ("a", "s", "c", "kinds", "one")]
+    many = shared.where("kinds > 1")
+    again = many.where("c > 1").groupBy("a", "s", "c", "kinds").agg(*(F.first(c).alias(c) for c in rest))
+    return many.where("c = 1").select("a", "s", "c", "kinds", *rest).unionAll(again)
 
 
 def _compare(rows: DataFrame, least: int) -> DataFrame:
@@ -117,7 +130,7 @@ def _compare(rows: DataFrame, least: int) -> DataFrame:
         for t in runs(batches, ["a"]):
             held.append(t)
             size += t.nbytes
-            if size > 2 << 20:
+            if size > BATCH:
                 yield flush(held)
                 held, size = [], 0
         if held:
@@ -175,33 +188,31 @@ def _cut(rows: DataFrame, length: int, least: int) -> DataFrame:
     return rows.mapInArrow(run, "kid bigint, th bigint, lo bigint, n bigint, a bigint, s bigint, c bigint, place bigint, bytes binary")
 
 
-def ranges(docs: DataFrame, least: int = 200, hot: int = 512) -> DataFrame:
+def ranges(docs: DataFrame, least: int = 200, hot: int = 256) -> DataFrame:
     """``docs`` (kid, th, text as bytes) -> the byte ranges (kid, th, lo, hi) to remove; ranges may overlap."""
     spark = docs.sparkSession
     rows = save(_occurrences(docs, least), "occurrences")
-    counted = save(_count(rows), "segments")
-    release(spark)
-    out = [save(_whole(rows, counted, least), "whole")]
+    counted = save(_shared(rows), "segments")
     discard(rows)
-    shared = save(_bytes(docs, counted.where("kinds > 1"), least), "bytes")
-    discard(counted)
+    release(spark)
+    out = [_whole(counted, least)]
+    shared = save(_bytes(docs, _examples(counted), least), "bytes")
     release(spark)
     for length in (*CUTS, 0):
         out.append(save(_compare(shared.where(F.col("kinds") <= hot), least), "compared"))
         large = shared.where(F.col("kinds") > hot)
         if not length or large.isEmpty():
             break
-        rows = save(_cut(large, length, least), "cut")
-        counted = save(_count(rows), "segments")
-        out.append(save(_whole(rows, counted, least), "whole"))
-        discard(shared, rows)
-        shared = counted.where("kinds > 1")
+        counted = save(_shared(_cut(large, length, least)), "cut")
+        discard(shared)
+        out.append(_whole(counted, least))
+        shared = save(_examples(counted), "examples")
     for x in out[1:]:
         out[0] = out[0].unionAll(x)
     return out[0]
 
 
-def remove(docs: DataFrame, least: int = 200, hot: int = 512, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, with_text: bool = False) -> DataFrame:
+def remove(docs: DataFrame, least: int = 200, hot: int = 256, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, with_text: bool = False) -> DataFrame:
     """Columns ``keep`` of every row, with n_bytes, n_removed, spans (start, end) of the removed runs, kept_sha256,
     and the remaining text ``kept`` if ``with_text`` (characters that a cut halves are left out)."""
     keep = [id_col] if keep is None else keep

@@ -1 +1 @@
-"""Bill-of-materials analytics as Spark DataFrame plans."""
+"""Column expressions: values, references, search terms, fixed knowledge."""

@@ -1 +1 @@
-"""Bill-of-materials analytics as Spark DataFrame plans."""
+"""Relational operators over part events and inventories."""

@@ -1 +1 @@
-"""Bill-of-materials analytics as Spark DataFrame plans."""
+"""Whole queries composed of sources and operators."""

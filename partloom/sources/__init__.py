@@ -1 +1 @@
-"""Bill-of-materials analytics as Spark DataFrame plans."""
+"""Scans: text, CSV, PDF pages, presets, and their dispatch."""

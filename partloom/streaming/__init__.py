@@ -1 +1 @@
-"""Bill-of-materials analytics as Spark DataFrame plans."""
+"""The ingest path over unbounded input."""

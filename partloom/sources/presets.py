@@ -25,12 +25,12 @@ def capital(c):
 
 
 def build(spark, folder: str) -> DataFrame:
-    """Text files below ``folder``; other kinds of files are ignored (PDFs go through sources.pdf)."""
-    files = spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.{txt,TXT}")
-    path = F.split(F.regexp_replace(F.url_decode("_metadata.file_path"), r"^file:/+", "/"), "/")
+    """Text files below ``folder``; empty files and other kinds are ignored (PDFs go through sources.pdf)."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{txt,TXT}").load(folder)
+    path = F.split(F.regexp_replace("path", r"^file:/+", "/"), "/")
     depth = len([p for p in folder.rstrip("/").split("/") if p])
     rel = F.slice(path, depth + 2, F.greatest(F.size(path) - depth - 1, F.lit(0)))
-    rows = files.select(F.col("value").alias("bom_text"), rel.alias("rel"), F.array_join(path, "/").alias("source_path"))
+    rows = files.select(F.decode("content", "UTF-8").alias("bom_text"), rel.alias("rel"), F.array_join(path, "/").alias("source_path"))
     top = F.when(F.size("rel") > 1, F.get("rel", F.lit(0))).otherwise("Misc")
     source = F.when(F.lower(top) == "pedalpcb", "PedalPCB").otherwise(capital(top))
     category = F.when(F.size("rel") > 2, F.concat(F.lit("["), capital(F.get("rel", F.lit(1))), F.lit("] "))).otherwise("")

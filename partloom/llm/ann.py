@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import runs, save
+from .common import lean, runs, save, tune
 from .components import components
 from .vectors import usable
 
@@ -117,6 +117,7 @@ def _joined(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def near_duplicates(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", fit_rows: int = 20_000, lists: int = 1024, spread: float = 3.0, block: int = 1024) -> DataFrame:
     """(id, n_links, component_id, kept) of every row; ids are integers."""
     spark = vectors.sparkSession
+    tune(spark)
     wide = isinstance(vectors.schema[vector_col].dataType.elementType, T.FloatType)
     size = np.float32 if wide else np.float64
     good = usable(vector_col) & F.exists(vector_col, lambda x: x != 0) & F.col(id_col).isNotNull()
@@ -153,6 +154,7 @@ def _links(distinct: DataFrame, model: dict, dim: int, size, radius: float, leas
     def unit(v):
         return v / np.sqrt((v * v).sum(1))[:, None]
 
+    @lean
     def assign(batches):
         for b in batches:
             v = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
@@ -170,6 +172,7 @@ def _links(distinct: DataFrame, model: dict, dim: int, size, radius: float, leas
     two = asked.join(sizes, "c").select("c", F.explode(F.sequence(F.lit(0), F.col("ib") - 1)).alias("i"), F.pmod(h, "qb").cast("int").alias("q"), F.lit(1).alias("kind"), "id", F.lit(0).cast("bigint").alias("copies"), "x", F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("double").alias("miss"))
     dealt = one.unionAll(two).repartition("c", "i", "q").sortWithinPartitions("c", "i", "q", "kind", "id")
 
+    @lean
     def compare(batches):
         for t in runs(batches, ["c", "i", "q"]):
             c, i, q, kind, ids, copies, miss = (t.column(x).to_numpy() for x in ("c", "i", "q", "kind", "id", "copies", "miss"))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +54,28 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def tune(spark: SparkSession) -> None:
+    """Hand Python at most a thousand texts at a time, unless the session says something else than Spark's default."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, "1000")
+
+
+def lean(run):
+    """A batch function that gives its freed memory back to the system when a task ends: workers live on."""
+
+    @wraps(run)
+    def out(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if sys.platform == "linux":
+            import ctypes
+
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return out
+
+
 def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -71,11 +95,11 @@ def text_bytes(col) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
-def slices(off: np.ndarray, most: int = 1 << 20):
-    """Row ranges [i, j) of about ``most`` bytes, so that the work arrays stay in cache and memory."""
+def slices(off: np.ndarray, most: int = 1 << 18, rows: int = 1 << 30):
+    """Row ranges [i, j) of about ``most`` bytes and at most ``rows``, so that work arrays stay in cache and memory."""
     i, n = 0, len(off) - 1
     while i < n:
-        j = max(i + 1, int(np.searchsorted(off, off[i] + most, "right")) - 1)
+        j = min(i + rows, max(i + 1, int(np.searchsorted(off, off[i] + most, "right")) - 1), n)
         yield i, j
         i = j
 

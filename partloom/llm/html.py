@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import npcol, runs, save
+from .common import lean, npcol, runs, save, tune
 
 #: Element names by their part in HTML.
 RAW = {"script", "style", "noscript", "template", "iframe", "textarea", "title", "svg", "math", "object", "select", "xmp"}
@@ -372,6 +372,7 @@ def wrappers(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", ht
     picked = hosts.join(each, "host").where(F.col("h") < F.least(F.lit(1.0), 2.0 * sample / F.col("n")) * (1 << 30))
     dealt = picked.select("host", "h", "html").repartition("host").sortWithinPartitions("host", "h", "html")
 
+    @lean
     def run(batches):
         for t in runs(batches, ["host"]):
             host, html = npcol(t, "host"), t.column("html").to_pylist()
@@ -384,10 +385,12 @@ def wrappers(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", ht
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", sample: int = 12) -> DataFrame:
     """(id, url, host, text) of every row."""
+    tune(pages.sparkSession)
     models = save(wrappers(pages, id_col, url_col, html_col, sample).select("host", "model"), "wrappers")
     thin = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), host_of(url_col).alias("host"), F.col(html_col).alias("html"))
     joined = thin.join(models, "host", "left").select("id", "url", "host", "html", "model")
 
+    @lean
     def run(batches):
         known: dict[str | None, dict | None] = {None: None}
         for b in batches:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_crc, slices, text_bytes
+from .common import by_crc, lean, slices, text_bytes, tune
 from .textvec import LOWER, lookup
 
 UNDETERMINED = "und"
@@ -72,6 +72,7 @@ def cluster(x: np.ndarray, k: int, rounds: int = 10) -> np.ndarray:
 
 def fit(docs: DataFrame, lang_col: str, text_col: str, key, features: int = 8192, centroids: int = 3, fit_docs: int = 400, max_languages: int = 200) -> dict:
     """The model of labelled ``docs``; ``key`` is a column whose hash picks the sample."""
+    tune(docs.sparkSession)
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike("\\p{L}"))
     per = labelled.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(max_languages).collect()
     languages = sorted(r[0] for r in per)
@@ -82,10 +83,11 @@ def fit(docs: DataFrame, lang_col: str, text_col: str, key, features: int = 8192
     for r in per:
         most = F.when(F.col(lang_col) == r[0], int(min(1.0, 1.3 * fit_docs / r[1]) * (1 << 30))).otherwise(most)
 
+    @lean
     def run(batches):
         for b in batches:
             data, off = text_bytes(b.column(2))
-            for i, j in slices(off):
+            for i, j in slices(off, rows=256):
                 c = counts(data[off[i] : off[j]], off[i : j + 1] - off[i], features)
                 r, f = np.nonzero(c)
                 cut = np.searchsorted(r, np.arange(j - i + 1))
@@ -126,13 +128,14 @@ def predict(docs: DataFrame, model: dict, text_col: str = "text", keep: list[str
     keep = [c for c in (docs.columns if keep is None else keep) if c not in out]
     shared = spark.sparkContext.broadcast(model)  # languages times centroids rows at most
 
+    @lean
     def run(batches):
         m = shared.value
         for b in batches:
             data, off = text_bytes(b.column(len(keep)))
             has = b.column(len(keep) + 1).to_numpy(zero_copy_only=False).astype(bool)
             lang, score, no = np.full(len(has), UNDETERMINED, object), np.zeros(len(has)), np.ones(len(has), bool)
-            for i, j in slices(off) if m["languages"] else ():
+            for i, j in slices(off, rows=256) if m["languages"] else ():
                 x = vectors(counts(data[off[i] : off[j]], off[i : j + 1] - off[i], len(m["idf"])), m["idf"])
                 sim = x @ m["centroids"].T
                 best = np.argmax(sim, axis=1)

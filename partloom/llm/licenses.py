@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_bytes
+from .common import lean, slices, text_bytes, tune
 from .textvec import LOWER, class_runs, lookup, prefix, span
 
 #: The base phrases and their labels.
@@ -96,6 +96,7 @@ class Index:
 def frequencies(docs: DataFrame, index: Index, text_col: str) -> tuple[np.ndarray, int]:
     """Documents that hold each template word, and all documents: corpus-wide counts of a fixed set of words."""
 
+    @lean
     def run(batches):
         df, rows = np.zeros(len(index.words), np.int64), 0
         for b in batches:
@@ -140,11 +141,13 @@ def _alignments(index: Index, idf: np.ndarray, w: np.ndarray, at: np.ndarray) ->
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases: dict[str, str] | None = None, templates: list[tuple[str, str]] | None = None) -> DataFrame:
     """(id, n_words, base_places: array of (label, word), base_labels, labels, score) of every row."""
+    tune(docs.sparkSession)
     index = Index(PHRASES if phrases is None else phrases, TEMPLATES if templates is None else templates)
     df, rows = frequencies(docs, index, text_col)
     idf = np.log((1 + rows) / (1 + df)) + 1
     shared = docs.sparkSession.sparkContext.broadcast((index, idf))  # the templates, whatever the corpus
 
+    @lean
     def run(batches):
         index, idf = shared.value
         for b in batches:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import runs, save
+from .common import lean, runs, save, tune
 
 FAN_IN = 16
 
@@ -81,6 +81,7 @@ def _level(rows: DataFrame, shift: int, last: bool) -> DataFrame:
     g = F.shiftright("salt", shift)
     dealt = rows.withColumn("g", g).repartition("sid", "g").sortWithinPartitions("sid", "g", "h", "size", "id")
 
+    @lean
     def run(batches):
         for t in runs(batches, ["sid", "g"]):
             t = t.combine_chunks()
@@ -99,6 +100,7 @@ def _level(rows: DataFrame, shift: int, last: bool) -> DataFrame:
 
 def copies(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0, seed: int = 7, group_rows: int = 1024, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """(id, key, size, source_size, target, copies) for every row; ``key`` is a hash of the row's text."""
+    tune(docs.sparkSession)
     text = F.col(text_col)
     size = F.coalesce(F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("bigint")
     sized = save(docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("key"), F.col(source_col).alias("source"), size.alias("size")), "sized")

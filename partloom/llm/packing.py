@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import lean, save, tune
 
 #: The word pattern and the printable stand-ins for bytes of this family of byte-level BPE files.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -156,11 +156,13 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2,
     """Pieces of all documents with their place: id, piece, start, length, ids_crc32, sequence_id, offset
     (and ``ids``, little-endian unsigned 32-bit, if ``with_ids``)."""
     spark = docs.sparkSession
+    tune(spark)
     with open(tokenizer, "rb") as f:
         vocabulary = spark.sparkContext.broadcast(f.read())  # a fixed file, whatever the corpus
     id_type = docs.schema[id_col].dataType.simpleString()
     thin = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
+    @lean
     def pieces(batches):
         enc, part = encoder(vocabulary.value), TaskContext.get().partitionId()
         seen: dict[int, int] = {}
@@ -187,6 +189,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2,
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # capacity rows at most
     slots = spark.sparkContext.broadcast(plan(histogram, capacity))
 
+    @lean
     def place(batches):
         s = slots.value
         for b in batches:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_bytes
+from .common import lean, slices, text_bytes, tune
 from .textvec import class_runs, lookup, mixed, prefix, span
 
 TOKENS = lookup([(0x21, 0x2F, 2), (0x30, 0x39, 1), (0x3A, 0x40, 2), (0x41, 0x5A, 1), (0x5B, 0x60, 2), (0x61, 0x7A, 1), (0x7B, 0x7E, 2), (0x80, 0xFF, 1)])
@@ -63,11 +63,13 @@ def train(sample: list[tuple[np.ndarray, np.ndarray, int]], bits: int, epochs: i
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", fit_rows: int = 3000, bits: int = 18) -> np.ndarray:
     """Weights learned from the texts whose ids ``labels`` holds."""
+    tune(docs.sparkSession)
     spark = docs.sparkSession
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
     picked = known.withColumn("h", F.xxhash64("id")).orderBy("h", "id", "y").limit(fit_rows)
     picked = F.broadcast(spark.createDataFrame(picked.collect(), picked.schema).groupBy("id").agg(F.max("y").alias("y")))  # fit_rows at most
 
+    @lean
     def run(batches):
         for b in batches:
             data, off = text_bytes(b.column(2))
@@ -92,6 +94,7 @@ def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col
     shared = docs.sparkSession.sparkContext.broadcast(weights)  # a fixed number of weights
     bits = int(len(weights) - 1).bit_length() - 1
 
+    @lean
     def run(batches):
         w = shared.value
         for b in batches:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bwt import repeated
-from .common import discard, release, runs, save, slices, text_bytes
+from .common import discard, lean, release, runs, save, slices, text_bytes, tune
 from .textvec import mixed, prefix, span
 
 GRAM = 32
@@ -71,6 +71,7 @@ def segments(data: np.ndarray, off: np.ndarray, least: int) -> tuple[np.ndarray,
 
 
 def _occurrences(docs: DataFrame, least: int) -> DataFrame:
+    @lean
     def run(batches):
         for b in batches:
             data, off = text_bytes(b.column(2))
@@ -114,6 +115,7 @@ def _compare(rows: DataFrame, least: int) -> DataFrame:
     """Byte ranges of the strings of single segments (c = 1) that other segments of their anchor hold too."""
     dealt = rows.repartition("a").sortWithinPartitions("a", "s")
 
+    @lean
     def run(batches):
         def flush(held):
             t = pa.concat_tables(held)
@@ -144,6 +146,7 @@ def _bytes(docs: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
     lists = wanted.groupBy("kid", "th").agg(F.collect_list(F.struct("lo", "n", "a", "s", "c", "kinds")).alias("w"))
     joined = docs.select("kid", "th", "text").join(lists, ["kid", "th"])
 
+    @lean
     def run(batches):
         for b in batches:
             for i in range(b.num_rows):
@@ -159,6 +162,7 @@ def _bytes(docs: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
 def _cut(rows: DataFrame, length: int, least: int) -> DataFrame:
     """Segments cut at multiples of ``length`` starts before the anchor, keyed by the core their strings share."""
 
+    @lean
     def run(batches):
         for b in batches:
             kid, th, lo, n, a, c = (b.column(x).to_numpy() for x in ("kid", "th", "lo", "n", "a", "c"))
@@ -207,6 +211,8 @@ def ranges(docs: DataFrame, least: int = 200, hot: int = 256) -> DataFrame:
         discard(shared)
         out.append(_whole(counted, least))
         shared = save(_examples(counted), "examples")
+    discard(shared)
+    release(spark)
     for x in out[1:]:
         out[0] = out[0].unionAll(x)
     return out[0]
@@ -215,6 +221,7 @@ def ranges(docs: DataFrame, least: int = 200, hot: int = 256) -> DataFrame:
 def remove(docs: DataFrame, least: int = 200, hot: int = 256, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, with_text: bool = False) -> DataFrame:
     """Columns ``keep`` of every row, with n_bytes, n_removed, spans (start, end) of the removed runs, kept_sha256,
     and the remaining text ``kept`` if ``with_text`` (characters that a cut halves are left out)."""
+    tune(docs.sparkSession)
     keep = [id_col] if keep is None else keep
     text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
     keyed = docs.select(F.xxhash64(id_col).alias("kid"), F.xxhash64(text).alias("th"), text.alias("text"), F.struct(*keep).alias("row"))
@@ -222,6 +229,7 @@ def remove(docs: DataFrame, least: int = 200, hot: int = 256, id_col: str = "doc
     lists = found.groupBy("kid", "th").agg(F.collect_set(F.shiftleft("lo", 32) + F.col("hi")).alias("cuts"))
     joined = keyed.join(lists, ["kid", "th"], "left").select("row", "text", "cuts")
 
+    @lean
     def run(batches):
         for b in batches:
             rows = []

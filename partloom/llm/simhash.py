@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import npcol, runs, save
+from .common import lean, npcol, runs, save, tune
 from .components import components
 
 
@@ -52,8 +52,10 @@ def fingerprint(h: np.ndarray) -> int:
 
 def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, key, fp): fp as a signed 64-bit integer, key a hash of the text."""
+    tune(docs.sparkSession)
     thin = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).cast("binary").alias("text"))
 
+    @lean
     def run(batches):
         for b in batches:
             fps = [fingerprint(shingle_hashes(t or b"", words, seed)) for t in b.column(2).to_pylist()]
@@ -112,6 +114,7 @@ def links(distinct: DataFrame, bits: int = 4, hot: int = 4096) -> DataFrame:
     split = split.select("k", F.least("b", "o").alias("x"), F.greatest("b", "o").alias("y"), "fp", "node")
     groups = cold.unionAll(split).repartition("k", "x", "y").sortWithinPartitions("k", "x", "y", "node")
 
+    @lean
     def run(batches):
         for t in runs(batches, ["k", "x", "y"]):
             fp, node = npcol(t, "fp").astype(np.int64).view(np.uint64), npcol(t, "node")
@@ -156,8 +159,7 @@ def keep_first(docs: DataFrame, bits: int = 4, id_col: str = "doc_id", text_col:
     """One row of each group: that of the smallest id; of rows that repeat an id, the first by their values.
     Rows without an id stay."""
     found = group(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), bits, id_col="id", text_col="text")
-    kept = found.where("id = component_id").select("id", "key").distinct()
-    row = F.struct(*docs.columns)
-    keyed = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), row.alias("row"))
-    first = keyed.join(kept, ["id", "key"], "left_semi").groupBy("id").agg(F.min("row").alias("row"))
+    kept = found.where("id = component_id").groupBy("id").agg(F.collect_set("key").alias("keys"))
+    keyed = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.struct(*docs.columns).alias("row"))
+    first = keyed.join(kept, "id").where(F.array_contains("keys", F.col("key"))).groupBy("id").agg(F.min("row").alias("row"))
     return first.select("row.*").unionByName(docs.where(F.col(id_col).isNull()))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import lean, save, tune
 from .vectors import matrix, usable
 
 BINS = 1024
@@ -51,6 +51,7 @@ def _pass(candidates: DataFrame, block: dict, length: int) -> DataFrame:
     """(q, bin, n): candidates of each query in its topmost bins."""
     shared = candidates.sparkSession.sparkContext.broadcast(block)  # at most ``block_rows`` vectors
 
+    @lean
     def run(batches):
         s = shared.value
         k = s["k"]
@@ -93,6 +94,7 @@ def _kth(candidates: DataFrame, block: dict, length: int, bound: int) -> tuple[n
 def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", factor: float = 256.0, block_rows: int = 4096) -> DataFrame:
     """(query_id, rank, id, score) of the k best candidates of each query row; see the module for ties."""
     spark = vectors.sparkSession
+    tune(spark)
     ready = lambda df: df.where(usable(vector_col) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), whole_numbers(vector_col, factor).alias("v"))
     rows = save(ready(vectors), "candidates")
     asked = save(ready(queries).groupBy("id").agg(F.min("v").alias("v")), "queries")
@@ -121,6 +123,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "ve
 def _take(candidates: DataFrame, block: dict, length: int) -> DataFrame:
     shared = candidates.sparkSession.sparkContext.broadcast(block)
 
+    @lean
     def run(batches):
         s = shared.value
         for ids, x in _blocks(batches, length):

@@ -33,14 +33,22 @@ def resolve(candidates: DataFrame) -> DataFrame:
     return rows.withColumn("found", F.coalesce(found, F.lit(0)))
 
 
+def _events(rows: DataFrame, boards: bool) -> DataFrame:
+    """All events of a resolved row at once: the part, the socket of a chip, the board a line names."""
+    one = lambda category, value, ref, kind: F.struct(category.alias("category"), value.alias("value"), ref.alias("ref"), F.lit(kind).alias("kind"))
+    each = [
+        F.when(F.col("valid"), one(F.col("category"), F.col("value"), F.col("ref"), "part")),
+        F.when(F.col("valid") & F.col("socket"), one(F.lit(SOCKET_CATEGORY), F.lit(SOCKET_VALUE), F.concat(F.col("ref"), F.lit(" (Inj)")), "socket")),
+    ]
+    if boards:
+        each.append(F.when(F.col("pcb").isNotNull(), one(F.lit("PCB"), F.col("pcb"), F.lit(""), "pcb")))
+    out = rows.select("slot", "source", "ordinal", F.coalesce("pos", F.lit(0)).alias("pos"), F.explode(F.array_compact(F.array(*each))).alias("e"))
+    return out.select("slot", "source", "ordinal", "pos", "e.category", "e.value", "e.ref", F.lit(1).cast("bigint").alias("qty"), "e.kind")
+
+
 def events_of(rows: DataFrame) -> DataFrame:
     """Part events, with one more for the socket of a chip."""
-    part = lambda category, value, ref, kind: F.struct(category.alias("category"), value.alias("value"), ref.alias("ref"), F.lit(kind).alias("kind"))
-    own = part(F.col("category"), F.col("value"), F.col("ref"), "part")
-    socket = part(F.lit(SOCKET_CATEGORY), F.lit(SOCKET_VALUE), F.concat(F.col("ref"), F.lit(" (Inj)")), "socket")
-    both = F.explode(F.when(F.col("socket"), F.array(own, socket)).otherwise(F.array(own))).alias("e")
-    out = rows.where("valid").select("slot", "source", "ordinal", "pos", both)
-    return out.select("slot", "source", "ordinal", "pos", "e.category", "e.value", "e.ref", F.lit(1).cast("bigint").alias("qty"), "e.kind")
+    return _events(rows, boards=False)
 
 
 def scan_lines(lines: DataFrame) -> DataFrame:
@@ -64,8 +72,8 @@ def scan_lines(lines: DataFrame) -> DataFrame:
 
 
 def text_events(scanned: DataFrame) -> DataFrame:
-    boards = scanned.where("pcb IS NOT NULL").select("slot", "source", "ordinal", F.lit(0).alias("pos"), F.lit("PCB").alias("category"), F.col("pcb").alias("value"), F.lit("").alias("ref"), F.lit(1).cast("bigint").alias("qty"), F.lit("pcb").alias("kind"))
-    return events_of(scanned).unionByName(boards)
+    """Part events and boards of scanned lines, in one pass."""
+    return _events(scanned, boards=True)
 
 
 def residuals(scanned: DataFrame) -> DataFrame:

@@ -149,8 +149,8 @@ lists AS (SELECT *, CASE WHEN ref_raw IS NULL OR (ranged AND b < a) THEN [] WHEN
         THEN list_transform(range(a, b + 1), lambda i: prefix || CAST(i AS VARCHAR)) ELSE [ref_raw] END AS refs FROM spans),
 each AS (SELECT * EXCLUDE (refs), unnest(refs) AS ref, generate_subscripts(refs, 1) - 1 AS pos FROM lists),
 fresh AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY slot, ref ORDER BY {AT}, pos) AS nth FROM each) WHERE nth = 1),
-kinds AS (SELECT *, upper(val_raw) AS up, {parse("val_raw")} AS number FROM fresh),
-named AS (SELECT *, {category("ref", "up")} AS category FROM kinds),
+kinds AS (SELECT *, upper(ref) AS rup, upper(val_raw) AS up, {parse("val_raw")} AS number FROM fresh),
+named AS (SELECT *, {category("rup", "up")} AS category FROM kinds),
 parts AS (SELECT *, CASE WHEN category = 'Optoelectronics' THEN val_raw ELSE {normal("category", "val_raw", "number")} END AS value FROM named WHERE category IS NOT NULL),
 perline AS (SELECT slot, {AT}, count(*) AS found FROM parts GROUP BY ALL),
 lines AS (SELECT cut.*, coalesce(found, 0) AS found, regexp_extract(line, '^\\S+\\s+(.*)$', 1) AS rest FROM cut LEFT JOIN perline USING (slot, {AT})),
@@ -189,12 +189,15 @@ shopping AS (SELECT origin, category, value AS part, qty AS bom_qty, CAST(in_sto
 by_source AS (SELECT category, value, source, count(*) AS n FROM (SELECT DISTINCT slot, category, value, kind, CASE WHEN kind = 'pcb' THEN 'PCB' ELSE ref END AS ref FROM events) JOIN projects USING (slot) GROUP BY ALL),
 sheet AS (SELECT DISTINCT source AS project, category, value, CASE WHEN kind = 'pcb' THEN 'PCB' ELSE ref END AS ref FROM events JOIN projects USING (slot)),
 islands AS (SELECT *, regexp_matches(ref, '^[a-zA-Z]+[0-9]+') AS known, regexp_extract(ref, '^([a-zA-Z]+)([0-9]+)', 1) AS p, TRY_CAST(regexp_extract(ref, '^([a-zA-Z]+)([0-9]+)', 2) AS BIGINT) AS n FROM sheet),
-numbered AS (SELECT *, n - row_number() OVER (PARTITION BY project, category, value, p, known ORDER BY n) AS island FROM islands),
-ranges AS (SELECT project, category, value, known, p, CASE WHEN known THEN island END AS island, min(n) AS first, max(n) AS last, min(ref) AS ref FROM numbered GROUP BY project, category, value, known, p, CASE WHEN known THEN island END, CASE WHEN known THEN '' ELSE ref END),
-condensed AS (SELECT project, category, value, string_agg(CASE WHEN NOT known THEN ref WHEN first = last THEN p || first ELSE p || first || '-' || p || last END, ', ' ORDER BY known, p, first, ref) AS refs FROM ranges GROUP BY ALL),
+breaks AS (SELECT *, CASE WHEN known AND n = lag(n) OVER w + 1 THEN 0 ELSE 1 END AS fresh FROM islands WINDOW w AS (PARTITION BY project, category, value, known, p ORDER BY n, ref)),
+numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY project, category, value, known, p ORDER BY n, ref ROWS UNBOUNDED PRECEDING) AS island FROM breaks),
+ranges AS (SELECT project, category, value, known, p, island, min(n) AS first, max(n) AS last, min(ref) AS ref FROM numbered GROUP BY project, category, value, known, p, island),
+condensed AS (SELECT project, category, value, string_agg(CASE WHEN NOT known THEN ref WHEN first = last THEN p || first ELSE p || first || '-' || p || last END, ', ' ORDER BY known, p, island, ref) AS refs FROM ranges GROUP BY ALL),
 pieces AS (SELECT project, category, value, CAST(count(*) AS BIGINT) AS qty FROM sheet GROUP BY ALL)
 """
 
+#: The same over CSV rows: no board lines, references as they are written.
+CSV = BASE.replace(f"CASE WHEN head <> 'PCB' AND tok THEN upper(regexp_extract(line, '{TOKEN}', 1)) END", f"CASE WHEN tok THEN regexp_extract(line, '{TOKEN}', 1) END").replace("CASE WHEN head <> 'PCB' AND tok THEN", "CASE WHEN tok THEN")
 VALUE_ROWS = f"WITH vals AS ({VALUES.format(lineitem='lineitem')}), v AS (SELECT value, {parse('value')} AS number FROM vals)"
 DIP = "CASE WHEN contains(upper(value), 'DIP SOCKET') THEN 'DIP Socket' ELSE value END"
 POLAR = "(category IN ('Diodes', 'Transistors', 'ICs') OR (category = 'Capacitors' AND (contains(value, 'u') OR contains(value, 'µ'))))"
@@ -270,5 +273,11 @@ ORACLES: dict[str, str] = {
     "document_scan": r"""
         SELECT doc_id AS slot, count(*) AS lines_read, count(*) FILTER (regexp_matches(line, '^[a-zA-Z0-9_\-]+[\s,]+[0-9a-zA-Z./\-]+')) AS tokens
         FROM (SELECT doc_id, trim(unnest(string_split(text, chr(10))), ' ' || chr(9) || chr(13)) AS line FROM documents) WHERE line <> '' GROUP BY doc_id""",
+    "csv_scan": CSV
+    + """SELECT b.slot, b.n AS lines_read, coalesce(p.n, 0) AS parts_found, b.n - coalesce(g.n, 0) AS residuals FROM (SELECT slot, count(*) AS n FROM bom GROUP BY slot) b
+        LEFT JOIN (SELECT slot, count(*) AS n FROM parts GROUP BY slot) p USING (slot) LEFT JOIN (SELECT slot, count(*) AS n FROM perline GROUP BY slot) g USING (slot)""",
+    "pdf_tables": BASE
+    + f"SELECT slot, regexp_extract(line, '{TOKEN}', 1) AS ref_raw, regexp_extract(line, '{TOKEN}', 2) AS val_raw FROM bom WHERE slot % 7 < 4 AND slot % 2 = 0 AND regexp_matches(line, '{TOKEN}')",
+    "pdf_title": BASE + "SELECT DISTINCT slot, 'Big Drive' AS title FROM bom WHERE slot % 7 < 4",
     "page_route": "SELECT page_id, CASE WHEN html IS NULL OR html = '' THEN 'empty' WHEN ends_with(lower(trim(url)), '.pdf') OR starts_with(html, '%PDF') THEN 'pdf' ELSE 'text' END AS kind FROM pages",
 }

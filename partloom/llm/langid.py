@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import by_crc, lean, slices, text_bytes, tune
-from .textvec import LOWER, lookup
+from .textvec import CHUNK, LOWER, lookup
 
 UNDETERMINED = "und"
 #: Letters keep their byte; everything else below 0x80 is a gap.
@@ -30,6 +30,13 @@ LETTERS = np.where(lookup([(0x41, 0x5A, 1), (0x61, 0x7A, 1), (0x80, 0xFF, 1)]) =
 
 def counts(data: np.ndarray, off: np.ndarray, features: int) -> np.ndarray:
     """(rows, features) counts of hashed bigrams and trigrams."""
+    if len(data) > CHUNK and len(off) == 2:  # a long text, chunk by chunk
+        return sum(_counts(data[i : i + CHUNK + 2], np.array([0, min(CHUNK + 2, len(data) - i)]), features, CHUNK) for i in range(0, len(data), CHUNK))
+    return _counts(data, off, features, len(data))
+
+
+def _counts(data: np.ndarray, off: np.ndarray, features: int, starts: int) -> np.ndarray:
+    """Counts of the n-grams that begin in the first ``starts`` bytes."""
     rows, shift = len(off) - 1, np.uint64(64 - int(features).bit_length() + 1)
     if not len(data):
         return np.zeros((rows, features), np.float32)
@@ -37,15 +44,16 @@ def counts(data: np.ndarray, off: np.ndarray, features: int) -> np.ndarray:
     row = np.repeat(np.arange(rows), np.diff(off))
     out = np.zeros(rows * features, np.int64)
     for n in (2, 3):
-        if len(b) < n:
+        m = min(len(b) - n + 1, starts)
+        if m <= 0:
             continue
-        code = b[: len(b) - n + 1].copy()
+        code = b[:m].copy()
         for k in range(1, n):
-            code = (code << np.uint64(8)) | b[k : len(b) - n + 1 + k]
+            code = (code << np.uint64(8)) | b[k : m + k]
         gaps = int("20" * n, 16)
-        ok = (row[: len(code)] == row[n - 1 :]) & (code != gaps)
+        ok = (row[:m] == row[n - 1 : m + n - 1]) & (code != gaps)
         f = ((code[ok] + np.uint64(n << 32)) * np.uint64(0x9E3779B97F4A7C15)) >> shift
-        out += np.bincount(row[: len(code)][ok] * features + f.astype(np.int64), minlength=rows * features)
+        out += np.bincount(row[:m][ok] * features + f.astype(np.int64), minlength=rows * features)
     return out.reshape(rows, features).astype(np.float32)
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import lean, slices, text_bytes, tune
-from .textvec import LOWER, class_runs, lookup, prefix, span
+from .textvec import lookup, prefix, span, tokens
 
 #: The base phrases and their labels.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -54,11 +54,10 @@ VOTERS, LEAST_SHARE = 8, 0.6
 
 def words_of(data: np.ndarray, off: np.ndarray):
     """(hash, row, number in the row) of each lower-cased word, and the words of each row."""
-    low = LOWER[data]
-    start, end, _, row = class_runs(low, off, WORDS)
+    h, row = tokens(data, off, WORDS, lower=True)
     n = np.bincount(row, minlength=len(off) - 1)
     first = np.concatenate([[0], np.cumsum(n)[:-1]])
-    return span(prefix(low), start, end), row, np.arange(len(row)) - first[row] if len(row) else row, n
+    return h, row, np.arange(len(row)) - first[row] if len(row) else row, n
 
 
 class Index:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import lean, slices, text_bytes, tune
-from .textvec import class_runs, lookup, mixed, prefix, span
+from .textvec import lookup, mixed, tokens
 
 TOKENS = lookup([(0x21, 0x2F, 2), (0x30, 0x39, 1), (0x3A, 0x40, 2), (0x41, 0x5A, 1), (0x5B, 0x60, 2), (0x61, 0x7A, 1), (0x7B, 0x7E, 2), (0x80, 0xFF, 1)])
 SCALE = 30.0
@@ -28,8 +28,7 @@ SCALE = 30.0
 def features(data: np.ndarray, off: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, feature, features in the row), rows ascending."""
     rows = len(off) - 1
-    start, end, _, row = class_runs(data, off, TOKENS)
-    h = span(prefix(data), start, end)
+    h, row = tokens(data, off, TOKENS)
     pair = np.where(h[1:] == h[:-1], np.uint64(1), h[:-1] * np.uint64(3) + h[1:])
     pair_row = row[1:][row[1:] == row[:-1]]
     pair = mixed(pair + np.uint64(0x51ED27))[row[1:] == row[:-1]]

@@ -65,3 +65,29 @@ def class_runs(data: np.ndarray, off: np.ndarray, table: np.ndarray) -> tuple[np
     keep = c[start] != 0
     start, end = start[keep], end[keep]
     return start, end, c[start], np.searchsorted(off, start, "right") - 1
+
+
+#: Bytes of one text that are worked on at once; the work arrays take some hundred times as much.
+CHUNK = 1 << 19
+
+
+def tokens(data: np.ndarray, off: np.ndarray, table: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, row) of each run of a class. A single long text is cut between runs, so memory stays bounded."""
+    if len(data) <= CHUNK or len(off) > 2:
+        data = LOWER[data] if lower else data
+        start, end, _, row = class_runs(data, off, table)
+        return span(prefix(data), start, end), row
+    out, at = [], 0
+    while at < len(data):
+        to = min(at + CHUNK, len(data))
+        while to < len(data):
+            c = table[data[to - 1 : to + CHUNK]]
+            edge = np.flatnonzero(c[1:] != c[:-1])
+            if len(edge):
+                to += int(edge[0])
+                break
+            to = min(to + CHUNK, len(data))
+        out.append(tokens(data[at:to], np.array([0, to - at, to - at]), table, lower)[0])
+        at = to
+    h = np.concatenate(out)
+    return h, np.zeros(len(h), np.int64)

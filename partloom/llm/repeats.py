@@ -29,7 +29,7 @@ from .common import discard, lean, release, runs, save, slices, text_bytes, tune
 from .textvec import mixed, prefix, span
 
 GRAM = 32
-CHUNK = 1 << 22
+CHUNK = 1 << 19
 #: Bytes of whole groups that are compared at once; small enough to stay in a core's cache.
 BATCH = 256 << 10
 #: Lengths of the ranges of starts that hot segments are cut into, one after the other; the last is single strings.
@@ -95,7 +95,9 @@ def _count(rows: DataFrame) -> DataFrame:
 
 def _shared(rows: DataFrame) -> DataFrame:
     """Rows whose segment occurs again, or whose anchor has other segments: with both counts, their own as ``one``."""
-    return rows.withColumnRenamed("c", "one").join(_count(rows), ["a", "s"])
+    counts = save(_count(rows), "counts")
+    release(rows.sparkSession)  # what the counts were dealt by, before all rows are dealt again
+    return rows.withColumnRenamed("c", "one").join(counts, ["a", "s"])
 
 
 def _whole(shared: DataFrame, least: int) -> DataFrame:

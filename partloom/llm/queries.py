@@ -103,4 +103,19 @@ ORACLES: dict[str, str] = {
         SELECT e.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, low.component_id, e.vec_id = low.component_id AS kept
         FROM embeddings e JOIN low ON low.a = e.vec_id LEFT JOIN n ON n.a = e.vec_id
     """,
+    "op10_repeated_passages": """
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        strings AS (SELECT doc_id, p, md5(substr(h, CAST(2 * p + 1 AS BIGINT), 400)) AS k FROM d, unnest(range(0, greatest(0, len(h) // 2 - 199))) u(p)),
+        again AS (SELECT k FROM strings GROUP BY k HAVING count(*) > 1),
+        hit AS (SELECT doc_id, p FROM strings SEMI JOIN again USING (k)),
+        fresh AS (SELECT *, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 200 THEN 0 ELSE 1 END AS new FROM hit),
+        numbered AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY p ROWS UNBOUNDED PRECEDING) AS run FROM fresh),
+        runs AS (SELECT doc_id, run, min(p) AS a, max(p) + 200 AS b FROM numbered GROUP BY doc_id, run),
+        gaps AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM runs),
+        cut AS (SELECT doc_id, count(*) AS n, CAST(sum(b - a) AS BIGINT) AS gone, max(b) AS last,
+                string_agg(substr(h, CAST(2 * before + 1 AS BIGINT), CAST(2 * (a - before) AS BIGINT)), '' ORDER BY a) AS kept FROM gaps JOIN d USING (doc_id) GROUP BY doc_id)
+        SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, coalesce(gone, 0) AS n_removed, coalesce(n, 0) AS n_spans,
+               sha256(unhex(coalesce(kept, '') || substr(h, CAST(2 * coalesce(last, 0) + 1 AS BIGINT)))) AS kept_sha256
+        FROM d LEFT JOIN cut USING (doc_id)
+    """,
 }

@@ -91,3 +91,8 @@ def stats(scanned: DataFrame) -> DataFrame:
     one = F.coalesce("pos", F.lit(0)) == 0
     count = lambda c: F.coalesce(F.sum(c.cast("bigint")), F.lit(0)).alias
     return scanned.groupBy("slot").agg(count(one)("lines_read"), count(F.col("valid") | F.col("pcb").isNotNull())("parts_found"), count(F.col("rejected"))("residuals"))
+
+
+def total_stats(per_slot: DataFrame) -> DataFrame:
+    """One row over all slots."""
+    return per_slot.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in ("lines_read", "parts_found", "residuals")])

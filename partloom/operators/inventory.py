@@ -13,6 +13,13 @@ from ..functions.units import bulky, parse_value
 KEY = ["category", "value"]
 
 
+SCHEMA = "category string, value string, qty bigint, n_refs bigint, first_slot bigint"
+
+
+def empty(spark) -> DataFrame:
+    return spark.createDataFrame([], SCHEMA)
+
+
 def aggregate(events: DataFrame) -> DataFrame:
     """(category, value, qty, n_refs, first_slot): one row per part; no lists, so it scales with the parts."""
     return events.groupBy(*KEY).agg(F.sum("qty").alias("qty"), F.count(nonempty(F.col("ref"))).alias("n_refs"), F.min("slot").alias("first_slot"))

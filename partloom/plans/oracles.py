@@ -262,6 +262,15 @@ ORACLES: dict[str, str] = {
         SELECT CAST(place AS INTEGER) AS "at", CAST(row_number() OVER (PARTITION BY place ORDER BY slot, {AT}, pos, kind, ref) - 1 AS INTEGER) AS pos, ref || ' ' || value AS line FROM one JOIN placed USING (category, value) WHERE ref <> ''
         UNION ALL SELECT CAST(place AS INTEGER), 0, value || ' (Qty: ' || qty || ')' FROM placed WHERE n = 0""",
     "slot_names": BASE + "SELECT slot, source FROM projects",
+    "locked_names": BASE + "SELECT slot, CASE WHEN trim(name) <> '' THEN name WHEN slot % 3 = 0 THEN 'Title ' || CAST(slot AS VARCHAR) ELSE source END AS locked_name FROM projects",
+    "total_stats": BASE + "SELECT (SELECT count(*) FROM bom) AS lines_read, (SELECT count(*) FROM parts) + (SELECT count(*) FROM boards) AS parts_found, (SELECT count(*) FROM rejected) AS residuals",
+    "injection_warnings": BASE
+    + """SELECT CASE value WHEN 'ADAPTER' THEN '⚠️  SMD ADAPTERS: Added for MMBF5457. Check if your PCB has SOT-23 pads first.' ELSE 'ℹ️  IC SOCKETS: Added sockets for chips. Optional but recommended.' END AS warning
+        FROM (SELECT DISTINCT value FROM events WHERE category = 'Hardware/Misc' AND value IN ('ADAPTER', 'SOCKET8'))""",  # noqa: RUF001
+    "first_preset": f"SELECT min(key) AS full_key FROM ({PRESET_KEYS.format(orders='orders')}) WHERE regexp_matches(key, '{KEY}')",
+    "csv_payloads": CSV
+    + """SELECT b.slot, b.n AS lines_read, coalesce(p.n, 0) AS parts_found, b.n - coalesce(g.n, 0) AS residuals FROM (SELECT slot, count(*) AS n FROM bom WHERE slot % 3 = 0 GROUP BY slot) b
+        LEFT JOIN (SELECT slot, count(*) AS n FROM parts GROUP BY slot) p USING (slot) LEFT JOIN (SELECT slot, count(*) AS n FROM perline GROUP BY slot) g USING (slot)""",
     "dup_projects": BASE + "SELECT name, count(*) AS n FROM projects WHERE trim(name) <> '' GROUP BY name HAVING count(*) > 1",
     "archive_manifest": BASE
     + """SELECT project, path FROM (SELECT DISTINCT name AS project, trim(regexp_replace(name, '[<>:"/\\\\|?*]', '', 'g')) AS safe FROM projects WHERE name <> ''), unnest(['Field Manuals/' || safe || ' Field Manual.pdf', 'Sticker Sheets/' || safe || ' Sticker Sheet.pdf']) u(path)""",

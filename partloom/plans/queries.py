@@ -286,6 +286,36 @@ def slot_names(d):
     return dispatch.source_names(d.projects.drop("source").withColumn("slot_idx", F.col("slot"))).select("slot", "source")
 
 
+@query
+def locked_names(d):
+    titles = d.table("orders").where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("slot"), F.concat(F.lit("Title "), F.col("o_orderkey").cast("string")).alias("title"))
+    return dispatch.locked_names(d.projects.drop("source").withColumn("slot_idx", F.col("slot")), titles).select("slot", "locked_name")
+
+
+@query
+def total_stats(d):
+    return ingest.total_stats(ingest.stats(d.scanned))
+
+
+@query
+def injection_warnings(d):
+    old = inventory.aggregate(d.events).select("category", F.when(F.col("value") == "SOCKET8", "8 PIN DIP SOCKET").when(F.col("value") == "ADAPTER", "SMD_ADAPTER_BOARD").otherwise(F.col("value")).alias("value"), "qty")
+    return purchasing.socket_warnings(old)
+
+
+@query
+def first_preset(d):
+    return presets.first(presets.metadata(d.keys, "key"))
+
+
+@query
+def csv_payloads(d):
+    of = d.lines.where("slot % 3 = 0").select("slot", "ordinal", F.concat(F.regexp_extract("line", ingest.TOKEN, 1), F.lit(',"'), F.regexp_extract("line", ingest.TOKEN, 2), F.lit('"')).alias("row"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "row"))), lambda x: x["row"]), "\r\n")
+    slots = of.groupBy("slot").agg(F.concat(F.lit("\ufeffRef,Value\r\n"), body).alias("payload")).withColumn("source", F.lit("CSV"))
+    return ingest.stats(csv.scan_payloads(slots))
+
+
 @query
 def dup_projects(d):
     return reports.duplicate_names(d.projects)

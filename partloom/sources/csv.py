@@ -61,3 +61,29 @@ def scan_stock(rows: DataFrame) -> DataFrame:
     value = F.coalesce(normalize("category", "part", F.col("n_"), trimmed=True), F.lit(""))
     kept = kept.select("category", value.alias("value"), "qty")
     return kept.groupBy("category", "value").agg(F.sum("qty").alias("qty"))
+
+
+def _cells(line):
+    """Fields of a line, quotes taken off; commas inside of quotes do not split."""
+    parts = F.split(line, r',(?=(?:[^"]*"[^"]*")*[^"]*$)')
+    return F.transform(parts, lambda c: F.when(c.rlike(r'(?s)^".*"$'), F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c))
+
+
+def scan_payloads(slots: DataFrame) -> DataFrame:
+    """(slot, source, payload) of many small CSV texts, each with its own header, resolved as scan_bom() does.
+
+    Line breaks inside of quotes are not understood here; read() does that for files.
+    """
+    body = F.regexp_replace("payload", "^\ufeff", "")
+    rows = slots.select("slot", "source", F.split(body, "\r?\n").alias("all"))
+    rows = rows.select("slot", "source", F.transform(_cells(F.get("all", F.lit(0))), lambda h: strip(F.lower(h))).alias("heads"), F.posexplode(F.slice("all", 2, F.greatest(F.size("all") - 1, F.lit(0)))).alias("at", "line"))
+    rows = rows.where("line <> ''").withColumn("cells", _cells(F.col("line")))
+    at = lambda name: nonempty(F.get("cells", F.array_position("heads", F.lit(name)).cast("int") - 1))
+    ref, value = F.coalesce(*[at(h) for h in REF_HEADERS]), F.coalesce(*[at(h) for h in VALUE_HEADERS])
+    rows = rows.withColumns({"r": ref, "v": value})
+    plain = (F.size("heads") == 2) & F.col("r").isNull() & F.col("v").isNull()
+    rows = rows.withColumns({"r": F.when(plain, nonempty(F.get("cells", F.lit(0)))).otherwise(F.col("r")), "v": F.when(plain, nonempty(F.get("cells", F.lit(1)))).otherwise(F.col("v"))})
+    both = F.col("r").isNotNull() & F.col("v").isNotNull()
+    out = rows.select("slot", "source", F.struct(F.lit(0).alias("phase"), F.col("at").cast("bigint").alias("at")).alias("ordinal"), "line", F.when(both, F.col("r")).alias("ref_raw"), F.when(both, F.col("v")).alias("val_raw"), F.lit(None).cast("string").alias("pcb"))
+    out = resolve(out)
+    return out.withColumn("rejected", (F.col("found") == 0) & (F.coalesce("pos", F.lit(0)) == 0))

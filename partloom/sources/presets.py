@@ -57,3 +57,8 @@ def labels(meta: DataFrame, source: str = "All", category: str = "All") -> DataF
         kept = kept.where(F.col("category") == category)
     extra = F.concat_ws(", ", F.col("source") if source == "All" else F.lit(None), F.when(F.col("category") != "Misc", F.col("category")) if category == "All" else F.lit(None))
     return kept.select("full_key", F.when(extra == "", F.col("name")).otherwise(F.concat("name", F.lit("  ("), extra, F.lit(")"))).alias("label"))
+
+
+def first(meta: DataFrame) -> DataFrame:
+    """The key that a new slot shows."""
+    return meta.select(F.min("full_key").alias("full_key"))

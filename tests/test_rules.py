@@ -12,7 +12,7 @@ from partloom.functions import units as U
 from partloom.functions.search import pedalpcb_url, search_term, tayda_url
 from partloom.operators import ingest, inventory, purchasing
 from partloom.operators.classify import with_class
-from partloom.plans import reports, shopping
+from partloom.plans import intake, reports, shopping
 from partloom.sources import csv, dispatch, pdf, presets, text
 
 
@@ -270,6 +270,36 @@ def test_pdf(spark):
     assert [r.error.split(":")[0] for r in pdf.extract(bad).collect()] == ["File Error"]
 
 
+def test_intake_of_all_kinds(spark, tmp_path):
+    rows = [(0, "A", "Paste Text", "R1 10k\nPCB Box", None), (1, "B", "Upload File", '\ufeffRef,Value\r\nR1,"10k"\r\nC1,"100n, film"\r\n\r\n,x', "b.csv"), (2, "C", "Fax", "x", None), (3, "D", "Paste Text", "", None), (4, "E", "Upload File", "a,b\nQ1,2N3904", "e.csv")]
+    slots = spark.createDataFrame(rows, "slot long, source string, method string, payload string, path string")
+    got = intake.take_in(slots, pages(spark, ("GAIN A1M", [[["R9", "1k"]]], None)).withColumn("slot", F.lit(9).cast("bigint")))
+    assert {(r.slot, r.category, r.value) for r in got["events"].collect()} == {(0, "Resistors", "10k"), (0, "PCB", "Box"), (1, "Resistors", "10k"), (1, "Capacitors", "100n"), (4, "Transistors", "2N3904"), (9, "Resistors", "1k"), (9, "Potentiometers", "A1M")}
+    assert {r.slot: (r.lines_read, r.parts_found) for r in got["stats"].collect()} == {0: (2, 2), 1: (3, 2), 4: (1, 1), 9: (1, 2)}
+    assert [tuple(r) for r in got["errors"].collect()] == [(2, "Unknown Method")]
+    f = tmp_path / "x.txt"
+    f.write_bytes(b"%PDF-1")
+    assert dispatch.fetch(f.as_uri()) == (b"%PDF-1", True)
+    assert inventory.empty(spark).columns == inventory.aggregate(got["events"]).columns
+
+
+def test_archive(spark):
+    import io
+    import zipfile
+
+    events = ingest.text_events(scan(spark, "R1 10k\nQ1 2N3904"))
+    data = reports.archive(run_list(spark, ["R1 10k\nQ1 2N3904"]), inventory.sources(events), "made here", {"a.pdf": b"1"})
+    z = zipfile.ZipFile(io.BytesIO(data))
+    assert sorted(z.namelist()) == ["Field Manuals/P0 Field Manual.csv", "My Inventory Updated.csv", "Shopping List.csv", "Source Documents/a.pdf", "Sticker Sheets/P0 Sticker Sheet.csv", "info.txt"]
+    assert z.read("Field Manuals/P0 Field Manual.csv").decode("utf-8-sig").splitlines()[1:] == ["1,10k,R1", "1,2N3904 [Polarized],Q1"]
+
+
+def test_feedback_log(spark, tmp_path):
+    for i in range(2):
+        reports.save_feedback(spark, str(tmp_path / "log"), "good", f"n{i}")
+    assert sorted(r.text for r in spark.read.parquet(str(tmp_path / "log")).collect()) == ["n0", "n1"]
+
+
 def test_empty_inputs(spark):
     assert parts(spark, "", "  \n ") == {}
     empty = spark.createDataFrame([], "slot long, count int, source string")

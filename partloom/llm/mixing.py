@@ -4,7 +4,9 @@ A source's target over its size is the expected number of copies of each of its
 taken as it is; of the fractional parts, two documents at a time move words from one to the other, at random and
 without bias, until one of them is all in or all out. Words are kept exactly in every move. A group of rows ends
 with one undecided document at most; those meet in groups sixteen times fewer, level by level, and the last one
-of a source is settled by its own probability. Groups hang on a hash of the id, so reruns agree on any layout.
+of a source is settled by its own probability; single documents of that last group then change over wherever that
+brings the source nearer to its target. Large documents come first: later moves settle them, so what stays
+undecided tends to be small, and a source's words end near its target. Groups hang on a hash of the id, so reruns agree on any layout.
 
 Defined cases: null text has no words; documents without words are taken by their own probability and count
 nothing; null sources are a source of their own, last in order; repeated rows are rows; an empty table gives
@@ -14,6 +16,7 @@ no rows; other columns do not matter.
 from __future__ import annotations
 
 import math
+import operator
 
 import numpy as np
 import pyarrow as pa
@@ -51,8 +54,11 @@ def _draw(a: int, b: int) -> float:
 
 
 def pivot(size: list[int], x: list[float], h: list[int], last: bool) -> None:
-    """Settle the fractional ``x`` in place, all but one; that one too if ``last``."""
-    held = -1
+    """Settle the fractional ``x`` in place, all but one; that one too if ``last``.
+
+    The last one leaves an error of up to its size. From the largest on, documents whose other value brings the words
+    nearer to what they were change it, each at most once."""
+    held, mine, words = -1, [j for j in range(len(x)) if 1e-9 < x[j] < 1 - 1e-9 and size[j]], sum(map(operator.mul, size, x))
     for j in range(len(x)):
         if not 1e-9 < x[j] < 1 - 1e-9:
             x[j] = float(round(x[j]))
@@ -75,11 +81,16 @@ def pivot(size: list[int], x: list[float], h: list[int], last: bool) -> None:
         held = still[0] if still else -1
     if last and held >= 0:
         x[held] = float(_draw(h[held], 2) < x[held])
+        over = sum(map(operator.mul, size, x)) - words
+        for j in sorted(mine, key=lambda j: (-size[j], h[j])):
+            d = size[j] * (1 - 2 * x[j])
+            if abs(over + d) < abs(over):
+                x[j], over = 1 - x[j], over + d
 
 
 def _level(rows: DataFrame, shift: int, last: bool) -> DataFrame:
     g = F.shiftright("salt", shift)
-    dealt = rows.withColumn("g", g).repartition("sid", "g").sortWithinPartitions("sid", "g", "h", "size", "id")
+    dealt = rows.withColumn("g", g).repartition("sid", "g").sortWithinPartitions("sid", "g", F.desc("size"), "h", "id")
 
     @lean
     def run(batches):

@@ -1,3 +1,5 @@
+import math
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -63,6 +65,19 @@ def test_tree_keeps_words_and_is_unbiased(spark):
         assert abs(got - target) <= 17
 
 
+def test_rounding_is_near_and_fair():
+    rng = random.Random(1)
+    size = sorted((int(math.exp(rng.gauss(5.6, 1.0))) for _ in range(50)), reverse=True)
+    taken = [0.0] * 50
+    for _ in range(2000):
+        x = [0.4] * 50
+        mixing.pivot(size, x, [rng.getrandbits(64) for _ in size], True)
+        assert set(x) <= {0.0, 1.0}
+        assert abs(sum(a * b for a, b in zip(size, x, strict=True)) / sum(size) - 0.4) < 0.01
+        taken = [a + b for a, b in zip(taken, x, strict=True)]
+    assert all(abs(t / 2000 - 0.4) < 0.06 for t in taken)
+
+
 def test_edges(spark):
     rows = [(1, None, "b"), (2, "", "a"), (3, "x y", None), (3, "x y", None), (None, "z " * 5, "a"), (4, "w " * 20_000, "c"), (5, "one", "a")]
     df = spark.createDataFrame([(*r, 9, 9) for r in rows], "doc_id long, text string, source string, size int, h int")

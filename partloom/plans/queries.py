@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import refs as R
 from ..functions import units as U
-from ..functions.search import pedalpcb_url, search_term, tayda_url
+from ..functions.search import bare_pot, pedalpcb_url, search_term, tayda_url
 from ..operators import ingest, inventory, purchasing
 from ..operators.classify import with_class
 from ..sources import csv, dispatch, pdf, presets, text
@@ -216,8 +216,9 @@ def germanium_rule(d):
 @query
 def search_terms(d):
     rows = d.events.select("category", "value").distinct()
-    rows = rows.withColumn("number", U.parse_value("value", trimmed=True)).withColumn("spec", U.spec_type("category", "value", F.col("number")))
-    return rows.select("category", "value", search_term("category", "value", "spec").alias("search_term"))
+    rows = rows.withColumns({"number": U.parse_value("value", trimmed=True), "bare": bare_pot("value")})
+    rows = rows.withColumns({"spec": U.spec_type("category", "value", F.col("number")), "pot": U.parse_value("bare", trimmed=True)})
+    return rows.select("category", "value", search_term("category", "value", "spec", F.col("bare"), F.col("pot")).alias("search_term"))
 
 
 @query

@@ -44,7 +44,7 @@ def table_rows(pages: DataFrame) -> DataFrame:
 
 
 def text_matches(pages: DataFrame, strict: bool) -> DataFrame:
-    """Candidates of the page text: references or control names, each followed by a value."""
+    """Candidates of the page text: references or control names, each followed by a value; null where unusable."""
     words = "|".join(rf"\b{k}\b" for k in KEYWORDS)
     ref = words if strict else rf"\b[A-Z]{{1,4}}\d+\b|{words}"
     mark = F.regexp_replace("text", rf"(?iuU)((?:{ref})\s+\S+)", "\u0001$1")
@@ -54,14 +54,17 @@ def text_matches(pages: DataFrame, strict: bool) -> DataFrame:
     parts = parts.select("slot", "source", "page", "match_no", r.alias("ref_raw"), rest.alias("rest"))
     keyword = F.col("ref_raw").isin(KEYWORDS)
     v = F.when(keyword | starts_any(F.col("ref_raw"), ["LDR", "POT", "VR"]), strip(F.regexp_extract("rest", r"(?d)^([^\n]*)", 1))).otherwise(F.regexp_extract("rest", r"(?U)^(\S+)", 1))
-    bare = F.when(v.rlike(r"(?s)^\(.*\)$") | v.rlike(r"(?s)^\[.*\]$"), strip(F.substring(v, F.lit(2), F.length(v) - 2))).otherwise(v)
-    parts = parts.withColumn("val_raw", bare).withColumn("keyword", keyword)
-    val, up, name = F.col("val_raw"), F.upper("val_raw"), F.col("ref_raw")
+    parts = parts.withColumns({"raw": v, "keyword": keyword})
+    raw = F.col("raw")
+    bare = F.when(raw.rlike(r"(?s)^\(.*\)$|^\[.*\]$"), strip(F.substring(raw, F.lit(2), F.length(raw) - 2))).otherwise(raw)
+    parts = parts.withColumn("val_raw", bare).withColumn("up", F.upper("val_raw"))
+    val, up, name = F.col("val_raw"), F.col("up"), F.col("ref_raw")
     usable = F.length(val).between(1, 50) & ~contains_any(up, IGNORE_VALUES) & ~val.rlike(r"(?iU)^(?:is|see|note)\s") & ~val.rlike(r"^[0-9]{1,2}[.\-/][0-9]{1,2}[.\-/][0-9]{2,4}")
     plain = starts_any(name, PDF_PREFIXES) & ~((F.length(name) >= 3) & val.rlike("^[0-9]+$"))
     control = (has_digit(val) | up.rlike("SPDT|DPDT|3PDT|ON/ON|ON/OFF")) & ~starts_any(up, ["IC", "DIP", "SOIC", "PKG", "MODULE", "PCB", "TL", "OP", "NE5"]) & ~(up.rlike("DIP|SOIC") & ~has_digit(val))
-    kept = parts.where(usable & F.when(F.col("keyword"), control).otherwise(plain))
-    return kept.select("slot", "source", _ordinal(1, F.col("page"), F.col("match_no"), F.lit(0)).alias("ordinal"), "ref_raw", "val_raw")
+    parts = parts.withColumn("ok", usable & F.when(F.col("keyword"), control).otherwise(plain))
+    # nulls rather than a filter: that would be pushed down, and carry all of the above along
+    return parts.select("slot", "source", _ordinal(1, F.col("page"), F.col("match_no"), F.lit(0)).alias("ordinal"), F.when(F.col("ok"), name).alias("ref_raw"), F.when(F.col("ok"), val).alias("val_raw"))
 
 
 def scan(pages: DataFrame) -> DataFrame:

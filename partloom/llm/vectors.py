@@ -1,9 +1,7 @@
-"""Vector columns: which rows take part, and their components as packed bytes."""
+"""Vector columns: which rows take part."""
 
 from __future__ import annotations
 
-import numpy as np
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -11,16 +9,3 @@ def usable(column: str):
     """Whether a vector is there, holds something, and holds neither null nor non-finite components."""
     bad = F.exists(column, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     return F.col(column).isNotNull() & (F.size(column) > 0) & ~F.coalesce(bad, F.lit(True))
-
-
-def matrix(col) -> np.ndarray:
-    """An Arrow list column of equally long vectors as a (rows, components) array of doubles."""
-    if hasattr(col, "combine_chunks") and not hasattr(col, "flatten_"):
-        col = col.combine_chunks() if hasattr(col, "num_chunks") else col
-    flat = col.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(col), -1) if len(col) else flat.reshape(0, 0)
-
-
-def by_length(df: DataFrame, column: str) -> list[int]:
-    """The distinct vector lengths: vectors of different lengths are never compared."""
-    return sorted(r[0] for r in df.select(F.size(column).alias("n")).distinct().collect())

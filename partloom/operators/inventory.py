@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.knowledge import CATEGORIES, Z_HEIGHT, Z_LARGE_CAP, Z_OTHER, Z_SMALL_CAP, Z_SOCKET
-from ..functions.refs import dedupe
+from ..functions.refs import natural_key
 from ..functions.text import col, nonempty
 from ..functions.units import bulky, parse_value
 
@@ -100,6 +100,15 @@ def z_rank(category: Column | str, value: Column | str) -> Column:
     return F.when(F.contains(F.upper(v), F.lit("SOCKET")), Z_SOCKET).when(c == "Capacitors", F.when(bulky(v), Z_LARGE_CAP).otherwise(Z_SMALL_CAP)).otherwise(_rank(c, Z_HEIGHT, Z_OTHER))
 
 
-def project_parts(by_source: DataFrame) -> DataFrame:
-    """(project, category, value, refs, qty): parts of each project with their distinct references in natural order."""
-    return by_source.select(F.col("source").alias("project"), *KEY, dedupe("refs").alias("refs")).withColumn("qty", F.size("refs").cast("bigint"))
+def project_parts(rows: DataFrame) -> DataFrame:
+    """(project, category, value, refs, qty): parts of each project with their distinct references in natural order.
+
+    ``rows``: events under their projects' names, or what sources() gives of them. References are made distinct as
+    rows, which combines before the exchange, and only then listed."""
+    if "refs" in rows.columns:
+        each = rows.select("source", *KEY, F.explode("refs").alias("ref"))
+    else:
+        each = rows.select("source", *KEY, F.when(F.col("kind") == "pcb", "PCB").otherwise(F.col("ref")).alias("ref")).where("ref <> ''")
+    each = each.distinct().withColumn("k", natural_key("ref"))
+    listed = each.groupBy(F.col("source").alias("project"), *KEY).agg(F.array_sort(F.collect_list(F.struct("k", "ref"))).alias("r"))
+    return listed.select("project", *KEY, F.transform("r", lambda x: x["ref"]).alias("refs"), F.size("r").cast("bigint").alias("qty"))

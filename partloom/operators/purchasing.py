@@ -61,23 +61,26 @@ def buy_note(category: Column | str, value: Column | str, need: Column | str, nu
     return F.when(n <= 0, "").otherwise(out)
 
 
+def kit(spark, projects: DataFrame) -> DataFrame:
+    """(category, value, qty, note) of the fixed kit, times the projects' counts."""
+    rows = spark.createDataFrame(HARDWARE, "category string, value string, each bigint, note string")
+    pedals = projects.agg(F.coalesce(F.sum("count"), F.lit(0)).cast("bigint").alias("pedals"))
+    return rows.select("category", "value", (F.col("each") * pedals.scalar()).alias("qty"), "note")
+
+
 def hardware(bom: DataFrame, projects: DataFrame) -> DataFrame:
     """(category, value, qty, note): the kit times the projects' counts; a fuzz board asks for a vintage transistor,
     pots for knobs and seals."""
-    spark = bom.sparkSession
-    kit = spark.createDataFrame(HARDWARE, "category string, value string, each bigint, note string")
-    pedals = projects.agg(F.coalesce(F.sum("count"), F.lit(0)).cast("bigint").alias("pedals"))
     seen = bom.agg(
         F.coalesce(F.sum(F.when(F.col("category").startswith("Potentiometers"), F.col("qty"))), F.lit(0)).alias("pots"),
         F.coalesce(F.max(F.when(F.col("category").startswith("PCB"), F.contains(F.upper(F.concat_ws(" | ", "category", "value")), F.lit("FUZZ")))), F.lit(False)).alias("fuzz"),
     )
-    kit = kit.select("category", "value", (F.col("each") * pedals.scalar()).alias("qty"), "note")
     extra = [F.struct(*[F.lit(x) for x in (GERMANIUM[0], GERMANIUM[1])], F.lit(0).cast("bigint"), F.lit(GERMANIUM[2]), F.col("fuzz"))]
     for name, label in POT_HARDWARE:
         extra.append(F.struct(F.lit("Hardware/Misc"), F.lit(name), F.col("pots"), F.concat(F.lit(label), F.lit(" ("), F.col("pots").cast("string"), F.lit(")")), F.col("pots") > 0))
     names = "struct<category:string,value:string,qty:bigint,note:string,wanted:boolean>"
     extra = seen.select(F.explode(F.array(*[e.cast(names) for e in extra])).alias("e")).select("e.*").where("wanted").drop("wanted")
-    return kit.unionByName(extra)
+    return kit(bom.sparkSession, projects).unionByName(extra)
 
 
 def socket_warnings(bom: DataFrame) -> DataFrame:

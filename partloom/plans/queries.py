@@ -66,10 +66,13 @@ class Data:
         return shopping.shopping_list(self.events, self.projects, self.stock)
 
     @property
-    def by_source(self) -> DataFrame:
+    def named(self) -> DataFrame:
         """Events under their projects' names."""
-        named = self.events.drop("source").join(self.projects.select("slot", "source"), "slot")
-        return inventory.sources(named)
+        return self.events.drop("source").join(self.projects.select("slot", "source"), "slot")
+
+    @property
+    def by_source(self) -> DataFrame:
+        return inventory.sources(self.named)
 
     @property
     def values(self) -> DataFrame:
@@ -264,17 +267,17 @@ def natural_sort(d):
 
 @query
 def condense_refs(d):
-    return inventory.project_parts(d.by_source).select("project", "category", "value", R.condense("refs").alias("refs"))
+    return inventory.project_parts(d.named).select("project", "category", "value", R.condense("refs").alias("refs"))
 
 
 @query
 def sticker_grid(d):
-    return reports.stickers(d.by_source)
+    return reports.stickers(d.named)
 
 
 @query
 def field_manual(d):
-    return reports.field_manual(d.by_source).select("project", "category", "value", "qty", "notes", "polarized", "z", "shown_value")
+    return reports.field_manual(d.named).select("project", "category", "value", "qty", "notes", "polarized", "z", "shown_value")
 
 
 @query

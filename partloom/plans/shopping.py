@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.knowledge import NOTES
+from ..functions.knowledge import GERMANIUM, NOTES, POT_HARDWARE
 from ..functions.search import bare_pot, pedalpcb_url, search_term, tayda_url
 from ..functions.units import parse_value, spec_type
 from ..operators.inventory import KEY, display_order, net_needs
-from ..operators.purchasing import AUTO, buy_note, buy_quantity, hardware
+from ..operators.purchasing import AUTO, buy_note, buy_quantity, kit
 
 EXTRA = "SOCKET|ADAPTER"
 
@@ -23,11 +23,23 @@ def bill(events: DataFrame, projects: DataFrame) -> DataFrame:
 
 
 def with_hardware(bom: DataFrame, projects: DataFrame) -> DataFrame:
-    """The bill with the hardware kit merged in: ``parsed`` tells parts of the bill, ``auto`` holds the kit's note."""
-    kit = hardware(bom, projects)
-    a = bom.select(*KEY, "qty", "pedalpcb", "tayda", F.lit(True).alias("parsed"), F.lit(None).cast("string").alias("auto"))
-    b = kit.select(*KEY, "qty", F.lit(False).alias("pedalpcb"), F.lit(False).alias("tayda"), F.lit(False).alias("parsed"), F.concat(F.lit(f"{AUTO} ("), "note", F.lit(")")).alias("auto"))
-    return a.unionByName(b).groupBy(*KEY).agg(F.sum("qty").alias("qty"), *[F.max(c).alias(c) for c in ("pedalpcb", "tayda", "parsed", "auto")])
+    """The bill with the hardware kit merged in: ``parsed`` tells parts of the bill, ``auto`` holds the kit's note.
+
+    What depends on the bill comes from its own rows in the same pass: each potentiometer brings its knob and seal,
+    each fuzz board the vintage transistor. Their sums are the totals that hardware() gives."""
+    names = "struct<category:string,value:string,qty:bigint,pedalpcb:boolean,tayda:boolean,parsed:boolean,auto:string,autos:bigint>"
+    row = lambda c, v, q, p, t, parsed, auto, n: F.struct(*[x if not isinstance(x, (str, bool, type(None))) else F.lit(x) for x in (c, v, q, p, t, parsed, auto, n)]).cast(names)
+    q, zero = F.col("qty"), F.lit(0).cast("bigint")
+    own = row(F.col("category"), F.col("value"), q, F.col("pedalpcb"), F.col("tayda"), True, None, zero)
+    pot = F.col("category").startswith("Potentiometers")
+    fuzz = F.col("category").startswith("PCB") & F.contains(F.upper(F.concat_ws(" | ", *KEY)), F.lit("FUZZ"))
+    more = [F.when(pot, row("Hardware/Misc", name, q, False, False, False, label, q)) for name, label in POT_HARDWARE]
+    more.append(F.when(fuzz, row(GERMANIUM[0], GERMANIUM[1], zero, False, False, False, GERMANIUM[2], zero)))
+    a = bom.select(F.explode(F.array_compact(F.array(own, *more))).alias("e")).select("e.*")
+    b = kit(bom.sparkSession, projects).select(*KEY, "qty", F.lit(False).alias("pedalpcb"), F.lit(False).alias("tayda"), F.lit(False).alias("parsed"), F.col("note").alias("auto"), zero.alias("autos"))
+    merged = a.unionByName(b).groupBy(*KEY).agg(F.sum("qty").alias("qty"), *[F.max(c).alias(c) for c in ("pedalpcb", "tayda", "parsed", "auto")], F.sum("autos").alias("autos"))
+    counted = F.when(F.col("autos") > 0, F.concat(F.lit(" ("), F.col("autos").cast("string"), F.lit(")"))).otherwise("")
+    return merged.withColumn("auto", F.concat(F.lit(f"{AUTO} ("), "auto", counted, F.lit(")"))).drop("autos")
 
 
 def shopping_list(events: DataFrame, projects: DataFrame, stock: DataFrame | None = None, show_hardware: bool = True, show_extras: bool = True) -> DataFrame:

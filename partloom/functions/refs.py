@@ -40,11 +40,16 @@ def condense(refs: Column | str) -> Column:
     odd = F.array_sort(F.filter(refs, lambda r: ~r.rlike(pattern)))
     known = F.array_sort(F.transform(F.filter(refs, lambda r: r.rlike(pattern)), lambda r: F.struct(F.regexp_extract(r, pattern, 1).alias("p"), F.regexp_extract(r, pattern, 2).cast("bigint").alias("n"))))
     follows = lambda a, b: (a["p"] == b["p"]) & (a["n"] + 1 == b["n"])
-    first = F.filter(known, lambda x, i: ~F.coalesce(follows(F.get(known, i - 1), x), F.lit(False)))
-    last = F.filter(known, lambda x, i: ~F.coalesce(follows(x, F.get(known, i + 1)), F.lit(False)))
     name = lambda x: F.concat(x["p"], x["n"].cast("string"))
-    both = F.zip_with(first, last, lambda a, b: F.when(a["n"] == b["n"], name(a)).otherwise(F.concat(name(a), F.lit("-"), name(b))))
-    return F.array_join(F.concat(odd, both), ", ")
+    pair = lambda a, b: F.when(a["n"] == b["n"], name(a)).otherwise(F.concat(name(a), F.lit("-"), name(b)))
+
+    def runs(known: Column) -> Column:
+        first = F.filter(known, lambda x, i: ~F.coalesce(follows(F.get(known, i - 1), x), F.lit(False)))
+        last = F.filter(known, lambda x, i: ~F.coalesce(follows(x, F.get(known, i + 1)), F.lit(False)))
+        return F.zip_with(first, last, pair)
+
+    # bound as a lambda's variable, so that the sorted list is made once and not for each of its elements
+    return F.array_join(F.concat(odd, F.get(F.transform(F.array(known), runs), F.lit(0))), ", ")
 
 
 PRESET_KEY = r"(?d)^\[(.*?)\] (?:\[(.*?)\] )?(.*)$"

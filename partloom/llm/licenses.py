@@ -49,7 +49,7 @@ TEMPLATES = [
 ]
 
 WORDS = lookup([(0x30, 0x39, 1), (0x41, 0x5A, 1), (0x61, 0x7A, 1), (0x80, 0xFF, 1)])
-VOTERS, LEAST_SHARE = 8, 0.6
+LEAST_SHARE = 0.6
 
 
 def words_of(data: np.ndarray, off: np.ndarray):
@@ -61,7 +61,7 @@ def words_of(data: np.ndarray, off: np.ndarray):
 
 
 class Index:
-    """Template words with their postings; words are numbers into ``words``."""
+    """Template words with their places in the templates; words are numbers into ``words``."""
 
     def __init__(self, phrases: dict[str, str], templates: list[tuple[str, str]]):
         split = [(label, t.replace("[", "").replace("]", "").split(), t) for label, t in templates]
@@ -75,12 +75,10 @@ class Index:
         self.small = np.zeros(1 << 16, bool)
         self.small[(self.hash & np.uint64(0xFFFF)).astype(np.int64)] = True
         self.phrases = [([number[w] for w in p.split()], label) for p, label in phrases.items()]
-        self.templates, self.postings = [], defaultdict(list)
-        for t, (label, ws, text) in enumerate(split):
+        self.templates = []
+        for label, ws, text in split:
             before, key = len(text.split("[")[0].split()), len(text.split("[")[1].split("]")[0].split())
             self.templates.append((label, [number[w] for w in ws], before, key))
-            for at, w in enumerate(ws):
-                self.postings[number[w]].append((t, at))
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Word numbers of hashes, -1 for words of no template."""
@@ -115,26 +113,32 @@ def frequencies(docs: DataFrame, index: Index, text_col: str) -> tuple[np.ndarra
     return df[:-1], int(df[-1])
 
 
-def _alignments(index: Index, idf: np.ndarray, w: np.ndarray, at: np.ndarray) -> tuple[set[str], float]:
-    """Labels and best score of one text, from its template words ``w`` at positions ``at`` (ascending)."""
-    present = np.unique(w)
-    rare = present[np.argsort(-idf[present], kind="stable")][:VOTERS]
-    place = dict(zip(at.tolist(), w.tolist(), strict=True))
-    votes: dict[tuple[int, int], set[int]] = defaultdict(set)
-    for p, x in zip(at[np.isin(w, rare)].tolist(), w[np.isin(w, rare)].tolist(), strict=True):
-        for t, q in index.postings[x]:
-            votes[(t, p - q)].add(x)
-    labels, best = set(), 0.0
-    for (t, d), voters in votes.items():
-        label, ws, before, key = index.templates[t]
-        if len(voters) < min(2, len(set(ws))):
-            continue
-        if any(place.get(d + before + k) != ws[before + k] for k in range(key)):
+def _stands(ws: list[int], idf: np.ndarray, w: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Where the words ``ws`` stand one after the other within a row, from the places of the rarest of them."""
+    k = max(range(len(ws)), key=lambda k: idf[ws[k]])
+    s = np.flatnonzero(w == ws[k]) - k
+    s = s[(s >= 0) & (s + len(ws) <= len(w))]
+    for q, x in enumerate(ws):
+        s = s[w[s + q] == x]
+    return s[row[s] == row[s + len(ws) - 1]]
+
+
+def _alignments(index: Index, idf: np.ndarray, w: np.ndarray, row: np.ndarray, rows: int) -> tuple[dict[int, set[str]], np.ndarray]:
+    """Labels and best scores of rows, from every place of every template's key phrase."""
+    labels, best = defaultdict(set), np.zeros(rows)
+    for label, ws, before, key in index.templates:
+        s = _stands(ws[before : before + key], idf, w, row)
+        if not len(s):
             continue
-        share = sum(place.get(d + k) == x for k, x in enumerate(ws)) / len(ws)
-        best = max(best, share)
-        if share >= LEAST_SHARE:
-            labels.add(label)
+        same = np.zeros(len(s), np.int64)
+        for k, x in enumerate(ws):
+            at = s - before + k
+            inside = np.clip(at, 0, len(w) - 1)
+            same += (at == inside) & (row[inside] == row[s]) & (w[inside] == x)
+        share = same / len(ws)
+        np.maximum.at(best, row[s], share)
+        for r in np.unique(row[s[share >= LEAST_SHARE]]).tolist():
+            labels[r].add(label)
     return labels, best
 
 
@@ -156,23 +160,15 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrase
                 w = index.find(h)
                 places: dict[int, list[tuple[str, int]]] = defaultdict(list)
                 for ws, label in index.phrases:
-                    k = max(range(len(ws)), key=lambda k: idf[ws[k]])
-                    s = np.flatnonzero(w == ws[k]) - k
-                    s = s[(s >= 0) & (s + len(ws) <= len(w))]
-                    for q, x in enumerate(ws):
-                        s = s[w[s + q] == x]
-                    s = s[row[s] == row[s + len(ws) - 1]] if len(s) else s
+                    s = _stands(ws, idf, w, row)
                     for r, p in zip(row[s].tolist(), at[s].tolist(), strict=True):
                         places[r].append((label, p))
-                hits = np.flatnonzero(w >= 0)
-                cut = np.searchsorted(row[hits], np.arange(j - i + 1))
+                more, best = _alignments(index, idf, w, row, j - i)
                 out = []
                 for r in range(j - i):
-                    mine = hits[cut[r] : cut[r + 1]]
                     base = sorted({x for x, _ in places[r]}) if r in places else []
-                    more, best = _alignments(index, idf, w[mine], at[mine]) if len(mine) else (set(), 0.0)
                     found = sorted(places[r], key=lambda x: (x[1], x[0])) if r in places else []
-                    out.append((int(n[r]), [{"label": x, "word": p} for x, p in found], ",".join(base), ",".join(sorted({*base, *more})), 1.0 if base else best))
+                    out.append((int(n[r]), [{"label": x, "word": p} for x, p in found], ",".join(base), ",".join(sorted({*base, *more.get(r, ())})), 1.0 if base else float(best[r])))
                 c = list(zip(*out, strict=True))
                 kind = pa.list_(pa.struct([("label", pa.string()), ("word", pa.int64())]))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(c[0], pa.int64()), pa.array(c[1], kind), pa.array(c[2], pa.string()), pa.array(c[3], pa.string()), pa.array(c[4], pa.float64())], names=["id", "n_words", "base_places", "base_labels", "labels", "score"])

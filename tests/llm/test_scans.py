@@ -86,3 +86,34 @@ def test_license_edges(spark):
     assert got[8].labels == "gpl-3" and got[8].score == 1
     assert got[0].labels == "" and got[0].score == 0
     assert licenses.scan(df.limit(0)).collect() == []
+
+
+MIT_TEXT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"
+GPL_TEXT = "Licensed under the GNU General Public License, version 3"
+
+
+def brute_templates(text):
+    """Labels and best score by trying every template at every word."""
+    w = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    labels, best = {x for x in brute_scan(text)[4].split(",") if x}, 0.0
+    for label, t in licenses.TEMPLATES:
+        ws = t.replace("[", "").replace("]", "").split()
+        before, key = len(t.split("[")[0].split()), t.split("[")[1].split("]")[0].split()
+        for d in range(-before, len(w)):
+            if w[d + before : d + before + len(key)] == key:
+                share = sum(0 <= d + k < len(w) and w[d + k] == x for k, x in enumerate(ws)) / len(ws)
+                best = max(best, share)
+                labels |= {label} if share >= licenses.LEAST_SHARE else set()
+    return ",".join(sorted(labels)), 1.0 if brute_scan(text)[4] else best
+
+
+def test_license_several_notices_in_one_text(spark):
+    words = sorted({w for _, t in licenses.TEMPLATES for w in t.replace("[", "").replace("]", "").split()})
+    plain = [t.replace("[", "").replace("]", "") for _, t in licenses.TEMPLATES]
+    texts = [f"{MIT_TEXT}. {GPL_TEXT}.", f"{GPL_TEXT}. {MIT_TEXT}.", " ".join(words[::-1]) + " # " + GPL_TEXT, (" ".join(words[::-1]) + " ") * 2000 + MIT_TEXT, "\n".join(plain), "\n".join(plain[::-1]), "Licensed under", "the GNU general public license version 2", "is hereby granted " * 40, MIT_TEXT[:45], "x " + MIT_TEXT[:70], *[GPL_TEXT] * 30]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.id: (r.labels, r.score) for r in licenses.scan(df).collect()}
+    assert got[0][0] == got[1][0] == "gpl-3,mit"
+    for i, t in enumerate(texts):
+        labels, score = brute_templates(t)
+        assert got[i][0] == labels and got[i][1] == pytest.approx(score), i

@@ -364,8 +364,8 @@ def csv_scan(d):
 
 
 def _pages(d: Data) -> DataFrame:
-    """Projects as pages: references and values as a table for even slots, as text for all."""
-    of = d.lines.where("slot % 7 < 4").withColumn("pair", F.array(F.regexp_extract("line", ingest.TOKEN, 1), F.regexp_extract("line", ingest.TOKEN, 2)))
+    """All projects as pages: references and values as a table for even slots, as text for all."""
+    of = d.lines.withColumn("pair", F.array(F.regexp_extract("line", ingest.TOKEN, 1), F.regexp_extract("line", ingest.TOKEN, 2)))
     ordered = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("ordinal", c))), lambda x: x[c])
     pages = of.groupBy("slot").agg(ordered("pair").alias("rows"), ordered("line").alias("text"))
     table = F.concat(F.array(F.array(F.lit("Location"), F.lit("Value"))), "rows")

@@ -314,7 +314,7 @@ def first_preset(d):
 
 @query
 def csv_payloads(d):
-    of = d.lines.where("slot % 3 = 0").select("slot", "ordinal", F.concat(F.regexp_extract("line", ingest.TOKEN, 1), F.lit(',"'), F.regexp_extract("line", ingest.TOKEN, 2), F.lit('"')).alias("row"))
+    of = d.lines.select("slot", "ordinal", F.concat(F.regexp_extract("line", ingest.TOKEN, 1), F.lit(',"'), F.regexp_extract("line", ingest.TOKEN, 2), F.lit('"')).alias("row"))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "row"))), lambda x: x["row"]), "\r\n")
     slots = of.groupBy("slot").agg(F.concat(F.lit("\ufeffRef,Value\r\n"), body).alias("payload")).withColumn("source", F.lit("CSV"))
     return ingest.stats(csv.scan_payloads(slots))

@@ -8,7 +8,7 @@ from partloom.plans.queries import QUERIES
 
 from .test_oracles import TABLES, canonical
 
-NARROW = {"pdf_tables": ("slot % 7 < 4 AND ", ""), "pdf_title": (" WHERE slot % 7 < 4", ""), "csv_payloads": (" WHERE slot % 3 = 0", "")}
+NARROW = {"pdf_tables": ("slot % 7 < 4 AND ", ""), "pdf_title": (" WHERE slot % 7 < 4", ""), "serialize_inventory": (" WHERE slot % 50 = 1", ""), "csv_payloads": (" WHERE slot % 3 = 0", "")}
 
 
 @pytest.mark.parametrize("name", sorted(NARROW))

@@ -30,7 +30,9 @@ _encoders: dict[int, object] = {}
 
 
 def encoder(vocabulary: bytes):
-    """A fast encoder for a byte-level BPE vocabulary file, giving the ids its own library gives (tests compare)."""
+    """A fast encoder for a byte-level BPE vocabulary file, giving the ids its own library gives (tests compare).
+
+    The file's added tokens are matched in texts, as that library does by default."""
     key = zlib.crc32(vocabulary)
     if key not in _encoders:
         import tiktoken
@@ -39,14 +41,14 @@ def encoder(vocabulary: bytes):
         hidden = [b for b in range(256) if b not in set(shown)]
         byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
         model = json.loads(vocabulary)
-        special = {t["content"] for t in model.get("added_tokens", [])}
+        special = {t["content"]: t["id"] for t in model.get("added_tokens", [])}
         ranks = {bytes(byte_of[c] for c in t): i for t, i in model["model"]["vocab"].items() if t not in special}
-        _encoders[key] = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        _encoders[key] = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
     return _encoders[key]
 
 
 def ids_of(enc, text: str | None, end_id: int) -> np.ndarray:
-    ids = enc.encode_to_numpy(text, disallowed_special=()) if text else np.zeros(0, np.uint32)
+    ids = enc.encode_to_numpy(text, allowed_special="all", disallowed_special=()) if text else np.zeros(0, np.uint32)
     return np.append(ids, np.uint32(end_id)).astype("<u4")
 
 

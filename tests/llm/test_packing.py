@@ -119,3 +119,13 @@ def test_reduction_never_loses_the_optimum(sizes):
     fixed = packing.reduce_histogram(count, 12)
     rest = [s for s in range(12, 0, -1) for _ in range(count[s])]
     assert sum(m for m, _ in fixed) + exact(rest, 12) == exact(sorted(sizes, reverse=True), 12)
+
+
+def test_added_tokens_as_the_library_matches_them_by_default(spark):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(queries.tokenizer())
+    texts = ["a <|endoftext|> b", "<|endoftext|><|endoftext|>x", "  <|endoftext|>  \n", "<|endoftext|", "wörter<|endoftext|>ñ 漢字 " * 900, "plain words", None]
+    ids = {i: np.array([*library.encode(t or "", add_special_tokens=False).ids, 2], "<u4") for i, t in enumerate(texts)}
+    assert ids[0].tolist() == [64, 220, 50256, 275, 2]
+    check(packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), queries.tokenizer()).collect(), ids)

@@ -6,7 +6,7 @@ merged, a text that differs becomes a slot, a kind that one side lacks becomes o
 either side becomes repeated. What results is a union-free regular expression, the host's wrapper. The place of
 the main text in it is its article or main element with the most text, or else the deepest element that holds
 most of the text outside of menus, notices, adverts, forms and the like; inside that place, elements that say the
-same on several different pages are template and dropped. Pages are read along their host's wrapper; one that
+same on several different pages are template and dropped wherever they say just that. Pages are read along their host's wrapper; one that
 does not fit it is read by a wrapper of its own.
 
 Bound: a wrapper is inferred from at most ``sample`` pages of a host (the least hashes); every page is read.
@@ -240,13 +240,13 @@ def align(a: list[Item], b: list[Item], same_page: bool = False) -> list[Item]:
 
 
 def infer(pages: list[str]) -> dict:
-    """Wrapper of pages: its expression, the path of the main text, and the paths of template inside of it."""
+    """Wrapper of pages: its expression, the path of the main text, and the (path, text) of template inside of it."""
     wrapper, seen = None, set()
     for html in pages:
         tree = parse(html)
         _holds(tree)
         one = items(tree)
-        body = text_of(tree, [], set())
+        body = text_of(tree, [], {})
         if body in seen:
             continue  # copies are no evidence of a template
         seen.add(body)
@@ -276,7 +276,7 @@ def infer(pages: list[str]) -> dict:
             if inner is None or inner.chars < 0.7 * at.chars:
                 break
             root, at = [*root, inner.kind], inner
-    drop: list[list[str]] = []
+    drop: list[tuple[list[str], str]] = []
 
     def template(item: Item, path: list[str], depth: int) -> None:
         for k in item.kids:
@@ -284,7 +284,7 @@ def infer(pages: list[str]) -> dict:
                 continue
             p = path if k.tag == "#cycle" else [*path, k.kind]
             if depth >= len(root) and k.fixed and k.pages >= 3 and k.pages > 0.5 * wrapper.pages and k.tag in ("div", "section", "span", "ul", "ol", "table", "small"):
-                drop.append(p)
+                drop.append((p, k.fixed))
             else:
                 template(k, p, depth if k.tag == "#cycle" else depth + 1)
 
@@ -307,7 +307,7 @@ def _find(node: Node, path: list[str]) -> list[Node]:
     return now
 
 
-def text_of(tree: Node, root: list[str], drop: set[tuple[str, ...]]) -> str:
+def text_of(tree: Node, root: list[str], drop: dict[tuple[str, ...], set[str]]) -> str:
     blocks: list[str] = []
     line: list[str] = []
 
@@ -324,7 +324,7 @@ def text_of(tree: Node, root: list[str], drop: set[tuple[str, ...]]) -> str:
                     line.append(unescape(k) if "&" in k else k)
                 continue
             p = (*path, k.kind)
-            if _gone(k) or p in drop:
+            if _gone(k) or (p in drop and items(k).fixed in drop[p]):
                 line.append(" ")
                 continue
             if k.tag == "br":
@@ -357,8 +357,11 @@ def extract(html: str | None, wrapper: dict | None) -> str:
     tree = parse(html)
     _holds(tree)
     if wrapper and wrapper["root"] and _find(tree, wrapper["root"]):
-        return text_of(tree, wrapper["root"], {tuple(p) for p in wrapper["drop"]})
-    return text_of(tree, infer([html])["root"], set())
+        drop: dict[tuple[str, ...], set[str]] = {}
+        for p, said in wrapper["drop"]:
+            drop.setdefault(tuple(p), set()).add(said)
+        return text_of(tree, wrapper["root"], drop)
+    return text_of(tree, infer([html])["root"], {})
 
 
 def host_of(url_col: str):

@@ -72,3 +72,12 @@ def test_edges(spark):
     want = [(1, "http://a.b/x", "a.b", ""), (2, None, "", "n"), (3, "http://A.B:80/y", "a.b", "t"), (3, "http://a.b/y", "a.b", "t"), (None, "odd", "", ""), (4, "https://u@a.b?q", "a.b", "\n".join(["word é"] * 20_000))]
     assert got == sorted(want, key=str)
     assert html.main_text(df.limit(0)).collect() == []
+
+
+def test_template_is_dropped_only_where_it_says_the_same():
+    def doc(i, box):
+        return f"<body><article><h1>Title {i}</h1><p>Words of page {i} " + f"and more {i} " * 20 + f"</p><ul><li>{box}</li></ul></article></body>"
+
+    wrapper = html.infer([doc(i, "Same list on every page") for i in range(12)])
+    assert "Same list" not in html.extract(doc(1, "Same list on every page"), wrapper)
+    assert html.extract(doc(99, "A list of the article itself"), wrapper).endswith("\nA list of the article itself")

@@ -40,7 +40,7 @@ def test_layout_without_article():
     texts = [[f"Paragraph {i} {k} " + "lorem ipsum dolor sit amet " * 6 + "&amp; more &lt;b&gt;" for k in range(1 + i % 4)] for i in range(6)]
     pages = [page(i, t) for i, t in enumerate(texts)]
     wrapper = html.infer(pages)
-    assert wrapper["root"][-1] == "div#post-0.entry"
+    assert wrapper["root"][-1] == ["div#post-0.entry", 1]
     assert "+" in wrapper["wrapper"] and "#SLOT" in wrapper["wrapper"] and wrapper["pages"] == 6
     for i, t in enumerate(texts):
         want = [f"Title {i}", *(" ".join(unescape(x).split()) for x in t), f"a{i} b"]
@@ -81,3 +81,66 @@ def test_template_is_dropped_only_where_it_says_the_same():
     wrapper = html.infer([doc(i, "Same list on every page") for i in range(12)])
     assert "Same list" not in html.extract(doc(1, "Same list on every page"), wrapper)
     assert html.extract(doc(99, "A list of the article itself"), wrapper).endswith("\nA list of the article itself")
+
+
+def test_deep_and_wide_pages_beside_good_ones(spark):
+    deep = "<body><article>" + "<div>" * 100_000 + "deep text" + "</div>" * 100_000 + "<p>tail</p></article></body>"
+    open_ended = "<body>" + "<div>" * 100_000 + "never closed"
+    wide = "<body><article>" + "".join(f"<p>p{i}</p>" for i in range(50_000)) + "</article>"
+    kinds = "<body><article>" + "".join(f"<div class='{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}{chr(97 + i // 17576)}'>d{i}</div>" for i in range(50_000)) + "</article>"
+    good = "<body><article><p>good {}</p></article>"
+    docs = [deep, good.format(1), open_ended, good.format(2), wide, kinds, kinds.replace("<article>", "<article><p>x</p>"), "<b>" * 50_000 + "<p>y</p>" * 50_000, good.format(3)]
+    got = {r.id: r.text for r in html.main_text(spark.createDataFrame([(i, "http://one.host/", d) for i, d in enumerate(docs)], "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in (0, 1, 2, 3, 8)] == ["deep text\ntail", "good 1", "never closed", "good 2", "good 3"]
+    assert got[4] == "\n".join(f"p{i}" for i in range(50_000)) and got[5] == "\n".join(f"d{i}" for i in range(50_000))
+    assert got[6] == "x\n" + got[5] and got[7] == "\n".join("y" * 50_000)
+
+
+@pytest.mark.parametrize(
+    ("doc", "text"),
+    [
+        ('<main><p class="menu-item-description">Soup of the day</p><div class="share-price">12</div><div class="share-buttons">Tell</div></main>', "Soup of the day\n12"),
+        ('<main><p>a</p><div class="related-work"><a href="/1">all</a> <a href="/2">links</a></div><div class="related-work">mostly text <a href="/1">link</a></div></main>', "a\nmostly text link"),
+        ('<article><p>one <b title="x>bold</b></p><p>two</p></article>', "one bold\ntwo"),
+        ("<body><svg><p>after</p>", "after"),
+        ("<body><select><option>one<p>after</p>", "after"),
+        ("<body><object><p>inside</p>", "inside"),
+        ("<body><math><p>after</p>", "after"),
+        ("<head><title>never closed<body><p>after</p>", "after"),
+        ("<body><svg><text>drawn</text></svg><p>after</p>", "after"),
+    ],
+)
+def test_names_and_open_ends(doc, text):
+    assert html.extract(doc, html.infer([doc])) == text
+
+
+def test_wrapper_comes_from_all_pages_whatever_the_parts():
+    """Pages merged in any number of parts tell the same template; copies of a page are one page as evidence."""
+    def doc(i, box):
+        return f"<body><article><h1>Title {i}</h1><p>Words of page {i}</p><div>{box}</div></article></body>"
+
+    docs = [doc(i, "Follow us everywhere" if i % 10 < 6 else f"Own box {i}") for i in range(100)] + [doc(1000, "A box that copies share")] * 300
+    for parts in (1, 3, 40):
+        tops = []
+        for k in range(parts):
+            top = None
+            for d in docs[k::parts]:
+                top = html.page(d) if top is None else html.merge(top, html.page(d))
+            tops.append(html.unpack(html.pack(top)))
+        whole = tops[0]
+        for t in tops[1:]:
+            whole = html.merge(whole, t)
+        model = html.decide(whole)
+        assert html.extract(doc(0, "Follow us everywhere"), model) == "Title 0\nWords of page 0"
+        assert html.extract(doc(7, "Own box 7"), model).endswith("\nOwn box 7")
+        assert html.extract(docs[-1], model).endswith("\nA box that copies share")
+
+
+def test_same_shared_paragraph_stays():
+    docs = [f"<body><article><p>Shared by all.</p><p>Own words of {i}</p></article></body>" for i in range(20)]
+    assert html.extract(docs[3], html.infer(docs)) == "Shared by all.\nOwn words of 3"
+
+
+def test_cycles_meet_single_rounds():
+    w = html.infer(["<body><dl><dt>a</dt><dd>b</dd><dt>c</dt><dd>d</dd></dl></body>", "<body><dl><dt>e</dt><dd>f</dd></dl></body>"])
+    assert w["wrapper"] == "<#page><body><dl>((<dt>#SLOT</dt> <dd>#SLOT</dd>))+</dl></body></#page>"

@@ -1,10 +1,8 @@
-"""Shared plumbing of the corpus operators: tables, scratch storage, byte views and key runs."""
+"""Shared plumbing of the corpus operators: tables, byte views and key runs."""
 
 from __future__ import annotations
 
 import sys
-import tempfile
-import uuid
 from functools import wraps
 
 import numpy as np
@@ -12,38 +10,18 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from ..storage import discard, kept, save, scratch, workspace  # noqa: F401
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def scratch(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is configured."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not where:
-        where = tempfile.mkdtemp(prefix="partloom-")
-        spark.sparkContext.setCheckpointDir(where)
-    return where
 
+def named(column: str):
+    """A column by its whole name, whatever dots and backticks it holds."""
+    from pyspark.sql import functions as F
 
-def save(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage is cut, a lost executor costs nothing."""
-    spark = df.sparkSession
-    path = f"{scratch(spark)}/partloom/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._partloom_path = path
-    return out
+    return F.col("`" + column.replace("`", "``") + "`")
 
 
-def discard(*frames: DataFrame) -> None:
-    """Delete tables that save() wrote; for intermediates that nothing reads any more."""
-    for df in frames:
-        path = getattr(df, "_partloom_path", None)
-        if path:
-            jvm = df.sparkSession._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def release(spark: SparkSession) -> None:

@@ -8,9 +8,13 @@ of a source is settled by its own probability; single documents of that last gro
 brings the source nearer to its target. Large documents come first: later moves settle them, so what stays
 undecided tends to be small, and a source's words end near its target. Groups hang on a hash of the id, so reruns agree on any layout.
 
+Rows alike in id, text and source are one unit with as many copies as they get together: its whole part and one
+fraction. So no group grows with the copies of a document, and what is dealt is counted before.
+
 Defined cases: null text has no words; documents without words are taken by their own probability and count
-nothing; null sources are a source of their own, last in order; repeated rows are rows; an empty table gives
-no rows; other columns do not matter.
+nothing; null sources are a source of their own, last in order; repeated rows are rows, and the copies of those
+alike are dealt evenly; the same id and text in two sources are two documents; an empty table gives no rows; other
+columns may have any name and type.
 """
 
 from __future__ import annotations
@@ -23,28 +27,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lean, runs, save, tune
+from ..operators.ordering import numbered
+from .common import lean, named, runs, save, tune
 
 FAN_IN = 16
+PIECE = 1 << 16  # rows that one row is multiplied into at once
 
 
 def targets(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0) -> DataFrame:
-    """(source, source_size, rows, sid, target) per source of ``sized`` (source, size). One row per source.
+    """(source, source_size, rows, sid, target) per source of ``sized`` (source, size, n): n rows of that size each.
 
-    With sources in order of cap over weight, all before some point are capped and the rest share what is left.
-    """
-    per = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows"))
-    order = Window.orderBy(F.col("source").asc_nulls_last())
+    All share by weight; sources above their cap stop there, and the rest is shared anew until none is above. Every
+    round is one aggregate over the sources, and a source that is capped stays so."""
+    per = sized.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("rows"))
+    per = numbered(per, F.col("source").asc_nulls_last(), name="sid").withColumn("sid", F.col("sid") - 1)
     pick = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("sid") % len(weights) + 1).cast("int"))
-    per = per.withColumn("sid", F.row_number().over(order) - 1).withColumn("w", pick).withColumn("cap", most * F.col("source_size"))
-    fill = Window.orderBy(F.col("cap") / F.col("w"), "sid")
-    whole = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    before = F.coalesce(F.sum("cap").over(fill.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    share = F.sum("w").over(fill.rowsBetween(0, Window.unboundedFollowing))
-    per = per.withColumn("level", (F.sum("source_size").over(whole) - before) / share).withColumn("nth", F.row_number().over(fill))
-    free = F.when(F.col("level") * F.col("w") <= F.col("cap"), F.struct("nth", "level"))
-    level = F.min(free).over(whole)["level"]
-    return per.select("source", "source_size", "rows", "sid", F.least(F.col("cap"), F.coalesce(level * F.col("w"), F.col("cap"))).alias("target"))
+    per = save(per.withColumn("w", pick).withColumn("cap", most * F.col("source_size")), "sources")
+    total = per.agg(F.sum("source_size")).first()[0] or 0
+    level, held = 0.0, -1
+    while True:
+        capped = F.col("w") * level >= F.col("cap")
+        used, free, n = per.agg(F.sum(F.when(capped, F.col("cap"))), F.sum(F.when(~capped, F.col("w"))), F.count(F.when(capped, 1))).first()
+        if not free or n == held:
+            break
+        level, held = (total - (used or 0.0)) / free, n
+    return per.select("source", "source_size", "rows", "sid", F.least(F.col("cap"), F.col("w") * level).alias("target"))
 
 
 def _draw(a: int, b: int) -> float:
@@ -90,7 +97,7 @@ def pivot(size: list[int], x: list[float], h: list[int], last: bool) -> None:
 
 def _level(rows: DataFrame, shift: int, last: bool) -> DataFrame:
     g = F.shiftright("salt", shift)
-    dealt = rows.withColumn("g", g).repartition("sid", "g").sortWithinPartitions("sid", "g", F.desc("size"), "h", "id")
+    dealt = rows.withColumn("g", g).repartition("sid", "g").sortWithinPartitions("sid", "g", F.desc("size"), "h", "id", "key")
 
     @lean
     def run(batches):
@@ -109,19 +116,27 @@ def _level(rows: DataFrame, shift: int, last: bool) -> DataFrame:
     return dealt.mapInArrow(run, rows.schema)
 
 
-def copies(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0, seed: int = 7, group_rows: int = 1024, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(id, key, size, source_size, target, copies) for every row; ``key`` is a hash of the row's text."""
-    tune(docs.sparkSession)
-    text = F.col(text_col)
+BY = ["id", "key", "source"]
+
+
+def _units(docs: DataFrame, id_col: str, text_col: str, source_col: str, other=None) -> DataFrame:
+    """(id, key, source, size, n), and ``other`` if given: rows alike in these are one unit, counted before the exchange."""
+    text = named(text_col)
     size = F.coalesce(F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("bigint")
-    sized = save(docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("key"), F.col(source_col).alias("source"), size.alias("size")), "sized")
-    per = save(targets(sized, weights, most), "targets")
-    n = per.agg(F.max("rows")).first()[0] or 0
+    cols = [named(id_col).alias("id"), F.xxhash64(text).alias("key"), named(source_col).alias("source"), size.alias("size"), *([] if other is None else [other.alias("other")])]
+    rows = docs.select(*cols)
+    return save(rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("n")), "units")
+
+
+def _decided(units: DataFrame, weights: tuple[int, ...], most: float, seed: int, group_rows: int) -> DataFrame:
+    """``units`` (id, key, source, size, n) with source_size, target, and the copies that a unit's rows get together."""
+    per = save(targets(units, weights, most), "targets")
+    biggest = per.agg(F.max("rows")).first()[0] or 0
     salts = F.pow(F.lit(2), F.ceil(F.log2(F.greatest(F.col("rows") / group_rows, F.lit(1.0))))).cast("bigint")
-    each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    rows = sized.join(per, sized["source"].eqNullSafe(per["source"])).select("id", "key", "size", "source_size", "target", F.col("sid").cast("bigint").alias("sid"), F.xxhash64("id", "key", F.lit(seed)).alias("h"), salts.alias("salts"), each.alias("each"))
-    rows = rows.select("id", "key", "size", "source_size", "target", "sid", "h", F.pmod(F.xxhash64("h"), "salts").alias("salt"), F.floor("each").alias("whole"), (F.col("each") - F.floor("each")).alias("x"))
-    levels = max(0, math.ceil(math.log2(max(n / group_rows, 1)))) if n else 0
+    each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0) * F.col("n")
+    rows = units.join(per.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).select(*units.columns, "source_size", "target", "sid", F.xxhash64("id", "key", F.lit(seed)).alias("h"), salts.alias("salts"), each.alias("each"))
+    rows = rows.select(*units.columns, "source_size", "target", "sid", "h", F.pmod(F.xxhash64("h"), "salts").alias("salt"), F.floor("each").alias("whole"), (F.col("each") - F.floor("each")).alias("x"))
+    levels = max(0, math.ceil(math.log2(max(biggest / group_rows, 1)))) if biggest else 0
     done, shift = [], 0
     while True:
         last = shift >= levels
@@ -134,17 +149,56 @@ def copies(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float =
     out = done[0]
     for d in done[1:]:
         out = out.unionAll(d)
-    return out.select("id", "key", "size", "source_size", "target", (F.col("whole") + F.col("x")).cast("bigint").alias("copies"))
-
-
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The mix itself: each row as often as it is taken, with its columns. Rows alike in all columns share their copies."""
-    names = docs.columns
-    key = F.xxhash64(F.col(text_col))
-    taken = copies(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
-    taken = taken.groupBy("id", "key").agg(F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__rows"))
-    kept = docs.withColumn("__key", key)
-    nth = F.row_number().over(Window.partitionBy(id_col, "__key").orderBy("__key"))
-    kept = kept.join(taken.select(F.col("id").alias("__id"), F.col("key").alias("__k"), "__copies", "__rows"), F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__k"))).withColumn("__nth", nth)
-    own = F.floor(F.col("__copies") / F.col("__rows")) + F.when(F.col("__nth") <= F.col("__copies") % F.col("__rows"), 1).otherwise(0)
-    return kept.withColumn("__own", own.cast("int")).where("__own > 0").withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__own")))).select(*names)
+    return out.select(*units.columns, "source_size", "target", (F.col("whole") + F.col("x")).cast("bigint").alias("copies"))
+
+
+def _spread(rows: DataFrame, times) -> DataFrame:
+    """Each row as often as ``times`` tells, numbered ``i`` from 0; rows that come very often are cut and dealt first."""
+    rows = rows.withColumn("times", times.cast("bigint")).where("times > 0")
+    few = rows.where(F.col("times") <= PIECE).withColumn("from", F.lit(0).cast("bigint"))
+    many = rows.where(F.col("times") > PIECE).withColumn("from", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("times") - 1, F.lit(PIECE).cast("bigint"))))
+    many = many.withColumn("times", F.least(F.lit(PIECE).cast("bigint"), F.col("times") - F.col("from"))).repartition("from")
+    return few.unionByName(many).withColumn("i", F.explode(F.sequence(F.col("from"), F.col("from") + F.col("times") - 1))).drop("from", "times")
+
+
+def copies(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0, seed: int = 7, group_rows: int = 1024, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """(id, key, source, size, source_size, target, copies) for every row; ``key`` is a hash of the row's text."""
+    tune(docs.sparkSession)
+    decided = _decided(_units(docs, id_col, text_col, source_col), weights, most, seed, group_rows)
+    one = F.floor(F.col("copies") / F.col("n")) + F.when(F.col("i") < F.col("copies") % F.col("n"), 1).otherwise(0)
+    return _spread(decided, F.col("n")).select(*BY, "size", "source_size", "target", one.cast("bigint").alias("copies"))
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0, seed: int = 7, group_rows: int = 1024, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mix itself: each row as often as it is taken, with its columns.
+
+    A row is found again by its id, the hash of its text, its source and a hash of all its other columns; rows alike in
+    all four are one row. Where rows differ in the last alone, they share the copies of their unit, in its order."""
+    tune(docs.sparkSession)
+    others = [c for c in docs.columns if c not in (id_col, text_col, source_col)]
+    other = F.xxhash64(F.to_json(F.struct(*[named(c).alias(f"c{i}") for i, c in enumerate(others)]), {"ignoreNullFields": "false"})) if others else F.lit(0).cast("bigint")
+    rows = _units(docs, id_col, text_col, source_col, other)
+    units = save(rows.groupBy(*BY, "size").agg(F.sum("n").alias("n")), "units")
+    decided = _decided(units, weights, most, seed, group_rows)
+    if rows.count() > units.count():
+        # places of a unit's rows: after those of smaller salts, then after those of smaller hashes
+        rows = rows.withColumn("salt", F.pmod("other", F.lit(64)))
+        salts = rows.groupBy(*BY, "salt").agg(F.sum("n").alias("sn")).select(*BY, "salt", (F.sum("sn").over(Window.partitionBy(*BY).orderBy("salt")) - F.col("sn")).alias("before"))
+        rows = rows.withColumn("place", F.sum("n").over(Window.partitionBy(*BY, "salt").orderBy("other")) - F.col("n"))
+        rows = rows.join(*_same(salts, [*BY, "salt"])).select(*BY, "other", "n", (F.col("place") + F.col("before")).alias("place"))
+    else:
+        rows = rows.select(*BY, "other", "n", F.lit(0).cast("bigint").alias("place"))
+    rows = rows.join(*_same(decided.select(*BY, F.col("n").alias("all"), "copies").where("copies > 0"), BY))
+    rest = F.greatest(F.lit(0), F.least(F.col("n"), F.col("copies") % F.col("all") - F.col("place")))
+    wanted = rows.select(*BY, "other", (F.col("n") * F.floor(F.col("copies") / F.col("all")) + rest).cast("bigint").alias("own")).where("own > 0")
+    keyed = docs.select(F.struct(*[named(c).alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("row"), named(id_col).alias("id"), F.xxhash64(named(text_col)).alias("key"), named(source_col).alias("source"), other.alias("other"))
+    if not rows.where("n > 1").isEmpty():
+        keyed = keyed.groupBy(*BY, "other").agg(F.first("row").alias("row"))
+    taken = _spread(keyed.join(*_same(wanted, [*BY, "other"])).select("row", "own"), F.col("own"))
+    return taken.select(*[F.col("row").getField(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
+
+
+def _same(other: DataFrame, by: list[str]) -> tuple:
+    """Arguments of a join on ``by``, where null equals null; the other side's keys are dropped by renaming."""
+    renamed = other.select(*[F.col(c).alias(f"{c}_of") if c in by else F.col(c) for c in other.columns])
+    return renamed, [F.col(c).eqNullSafe(F.col(f"{c}_of")) for c in by]

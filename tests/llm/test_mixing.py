@@ -89,3 +89,41 @@ def test_edges(spark):
     assert mixed.count() == sum(r.copies for r in got)
     assert Counter(r.doc_id for r in mixed.collect()) == +Counter({k: sum(r.copies for r in got if r.id == k) for k in {r.id for r in got}})
     assert mixing.copies(df.limit(0)).collect() == [] and mixing.mix(df.limit(0)).collect() == []
+
+
+def test_same_text_in_two_sources_and_odd_columns(spark):
+    df = spark.range(200).selectExpr("id AS doc_id", "concat('same words ', id % 7) AS text", "explode(array('a', 'b')) AS source")
+    df = df.selectExpr("*", "map('k', doc_id) AS `__own`", "array(source) AS `__key`", "doc_id AS `a.b`", "source AS copies", "1 AS n", "2 AS `row`", "3 AS `tick``s`")
+    rows = mixing.copies(df).collect()
+    got = mixing.mix(df)
+    assert got.columns == df.columns
+    mixed = got.collect()
+    assert Counter((r.doc_id, r.text, r.source) for r in mixed) == +Counter({k: n for k, n in total(rows, df.collect()).items()})
+    per = Counter(r.source for r in mixed)
+    assert abs(per["a"] - 400 / 3) <= 1 and abs(per["b"] - 800 / 3) <= 1
+    assert all(r["__own"] == {"k": r.doc_id} and r["__key"] == [r.source] and r["a.b"] == r.doc_id and r.copies == r.source and r["tick`s"] == 3 for r in mixed)
+
+
+def total(rows, docs):
+    out = Counter()
+    for r in rows:
+        out[(r.id, r.key, r.source)] += r.copies
+    by_id = defaultdict(set)
+    for d in docs:
+        by_id[(d.doc_id, d.source)].add(d.text)
+    assert all(len(v) == 1 for v in by_id.values())
+    return Counter({(i, next(iter(by_id[(i, s)])), s): n for (i, _, s), n in out.items()})
+
+
+def test_a_third_of_all_rows_alike(spark):
+    """Rows without id and text, alike in all or differing in another column, share their unit's copies evenly."""
+    df = spark.range(9000).selectExpr("if(id % 3 = 0, null, id) AS doc_id", "if(id % 3 = 0, null, repeat('w ', cast(id % 11 AS int))) AS text", "if(id % 2 = 0, 's', 't') AS source", "if(id % 3 = 0, id % 5, 0) AS more")
+    rows = mixing.copies(df, group_rows=64).collect()
+    assert len(rows) == 9000
+    mixed = mixing.mix(df, group_rows=64).collect()
+    assert len(mixed) == sum(r.copies for r in rows)
+    empty = Counter((r.source, r.more) for r in mixed if r.doc_id is None)
+    alike = [r.copies for r in rows if r.id is None and r.source == "s"]
+    assert max(alike) - min(alike) <= 1 and sum(n for (s, _), n in empty.items() if s == "s") == sum(alike)
+    again = mixing.mix(df.repartition(13), group_rows=64).collect()
+    assert Counter(map(tuple, again)) == Counter(map(tuple, mixed))

@@ -11,8 +11,15 @@ reranked by the exact cosine in doubles.
 Large lists are cut into blocks, and blocks of a list meet blocks of the vectors that probe it, so that no task
 holds more than two blocks of a list, however many copies of a vector there are.
 
-Bounds: centroids and codewords are fitted on at most ``fit_rows`` vectors (least hashes) and at most ``lists``
-lists; every vector is indexed. Recall is measured in the tests and, with ``spread`` 3, has been 1.
+Bounds: there are as many lists as the square root of the number of distinct vectors, so lists and probes grow
+alike; centroids and codewords are fitted on ``fit_rows`` vectors (least hashes), or on ``fit_per_list`` for each list
+where that is more; the driver and each task hold these centroids, a square root of the rows. Every vector is indexed.
+Recall is measured in the tests and, with ``spread`` 3, has been 1; a ``spread`` of sqrt(dimensions) and more probes
+all lists that a neighbour can be in, which is exact.
+
+Lengths are taken after each vector is scaled by a power of two, so tiny and huge components count as they are. Rows
+find their distinct vector again by a join on the vector, where equal vectors that make up much of the table are split
+by Spark's skew join.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components, and rows with a null
 id, link with nothing; vectors of different lengths are never linked; rows that repeat an id are other vectors;
@@ -32,10 +39,29 @@ from .components import components
 from .vectors import usable
 
 
+CELLS = 1 << 22  # entries of the distance matrices that are held at once
+
+
+def level(v: np.ndarray) -> np.ndarray:
+    """Vectors scaled by powers of two, exactly, so that their largest components lie between a half and one."""
+    return np.ldexp(v, -np.frexp(np.abs(v).max(1))[1][:, None])
+
+
+def unit(v: np.ndarray) -> np.ndarray:
+    v = level(v)
+    return v / np.sqrt((v * v).sum(1))[:, None]
+
+
+def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The nearest of ``c`` for each of ``x``, some rows at a time."""
+    step, c2 = max(1, CELLS // len(c)), (c**2).sum(1)
+    return np.concatenate([np.argmin(c2 - 2 * x[i : i + step] @ c.T, axis=1) for i in range(0, len(x), step)])
+
+
 def _means(x: np.ndarray, k: int, rounds: int, rng) -> np.ndarray:
     c = x[rng.choice(len(x), min(k, len(x)), replace=False)]
     for _ in range(rounds):
-        own = np.argmin((c**2).sum(1) - 2 * x @ c.T, axis=1)
+        own = nearest(x, c)
         total = np.zeros_like(c)
         np.add.at(total, own, x)
         n = np.bincount(own, minlength=len(c))
@@ -47,25 +73,32 @@ def train(sample: np.ndarray, lists: int, subspaces: int = 8, words: int = 64, s
     """Coarse centroids and, for each subspace, codewords of the residuals."""
     rng = np.random.default_rng(seed)
     coarse = _means(sample, lists, 8, rng)
-    rest = sample - coarse[np.argmin((coarse**2).sum(1) - 2 * sample @ coarse.T, axis=1)]
+    rest = sample - coarse[nearest(sample, coarse)]
     edges = np.linspace(0, sample.shape[1], min(subspaces, sample.shape[1]) + 1).astype(int)
     return {"coarse": coarse, "edges": edges, "words": [_means(rest[:, a:b], words, 8, rng) for a, b in zip(edges[:-1], edges[1:], strict=True)]}
 
 
 def index(model: dict, x: np.ndarray, radius: float, spread: float):
-    """(list, codes, what the code misses, probes as a boolean matrix) of vectors of length one."""
+    """(list, codes, what the code misses, probes as pairs of row and list) of vectors of length one."""
     c = model["coarse"]
-    d2 = 1 + (c**2).sum(1) - 2 * x @ c.T
-    own = np.argmin(d2, axis=1)
+    c2, own, rows, lists = (c**2).sum(1), np.zeros(len(x), np.int64), [], []
+    step = max(1, CELLS // len(c))
+    for i in range(0, len(x), step):
+        part = x[i : i + step]
+        d2 = 1 + c2 - 2 * part @ c.T
+        own[i : i + step] = o = np.argmin(d2, axis=1)
+        apart = np.sqrt(np.maximum(c2[o][:, None] + c2 - 2 * c[o] @ c.T, 0))
+        reach = 2 * radius * min(1.0, spread / np.sqrt(x.shape[1])) * apart
+        r, k = np.nonzero(d2 - d2[np.arange(len(part)), o][:, None] <= reach + 1e-9)
+        rows.append(r + i)
+        lists.append(k)
     rest = x - c[own]
     codes, miss = np.zeros((len(x), len(model["words"])), np.uint8), np.zeros(len(x))
     for s, w in enumerate(model["words"]):
         part = rest[:, model["edges"][s] : model["edges"][s + 1]]
         codes[:, s] = np.argmin((w**2).sum(1) - 2 * part @ w.T, axis=1)
         miss += ((part - w[codes[:, s]]) ** 2).sum(1)
-    apart = np.sqrt(np.maximum((c**2).sum(1)[:, None] + (c**2).sum(1) - 2 * c @ c.T, 0))
-    reach = 2 * radius * min(1.0, spread / np.sqrt(x.shape[1])) * apart[own]
-    return own, codes, np.sqrt(miss), d2 - d2[np.arange(len(x)), own][:, None] <= reach + 1e-9
+    return own, codes, np.sqrt(miss), np.concatenate(rows), np.concatenate(lists)
 
 
 def tables(model: dict, q: np.ndarray, c: int) -> np.ndarray:
@@ -79,7 +112,7 @@ def tables(model: dict, q: np.ndarray, c: int) -> np.ndarray:
 
 
 def match(model: dict, c: int, q: np.ndarray, qv: np.ndarray, codes: np.ndarray, miss: np.ndarray, v: np.ndarray, radius: float, least: float):
-    """Pairs (query, item) of one list with exact cosine of at least ``least``. q: queries of length one; qv, v: as given."""
+    """Pairs (query, item) of one list with exact cosine of at least ``least``. q: queries of length one; qv, v: scaled."""
     table = tables(model, q, c)
     a, b = [], []
     qn, vn = np.sqrt((qv * qv).sum(1)), np.sqrt((v * v).sum(1))
@@ -114,7 +147,7 @@ def _joined(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         low = new
 
 
-def near_duplicates(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", fit_rows: int = 20_000, lists: int = 1024, spread: float = 3.0, block: int = 1024) -> DataFrame:
+def near_duplicates(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", fit_rows: int = 20_000, fit_per_list: int = 20, spread: float = 3.0, block: int = 1024) -> DataFrame:
     """(id, n_links, component_id, kept) of every row; ids are integers."""
     spark = vectors.sparkSession
     tune(spark)
@@ -126,12 +159,12 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_
     radius, found = float(np.sqrt(max(0.0, 2 - 2 * least))), []
     for dim, n in sorted(map(tuple, distinct.groupBy(F.size("v").alias("d")).count().collect())):
         of = distinct.where(F.size("v") == dim)
-        part = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
-        picked = of.where(part < int(min(1.0, 0.9 * fit_rows / n) * (1 << 30))) if n > fit_rows else of
-        sample = sorted(picked.select(part.alias("h"), "id", "v").limit(fit_rows).collect())
-        x = np.array([r.v for r in sample], np.float64)
-        x /= np.sqrt((x * x).sum(1))[:, None]
-        found.append(_links(of, train(x, max(1, min(lists, int(np.sqrt(n))))), dim, size, radius, least, spread, block))
+        lists = max(1, int(np.sqrt(n)))
+        most = max(fit_rows, fit_per_list * lists)
+        part = F.pmod(F.xxhash64("id", "v"), F.lit(1 << 30))
+        picked = of.where(part < int(min(1.0, 0.9 * most / n) * (1 << 30))) if n > most else of
+        sample = sorted(picked.select(part.alias("h"), "id", "v").limit(most).collect())
+        found.append(_links(of, train(unit(np.array([r.v for r in sample], np.float64)), lists), dim, size, radius, least, spread, block))
     if found:
         both = found[0]
         for f in found[1:]:
@@ -149,17 +182,14 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_
 
 def _links(distinct: DataFrame, model: dict, dim: int, size, radius: float, least: float, spread: float, block: int) -> DataFrame:
     """(id, n, null): other vectors that a block links ``id`` with; (id, null, root): ids that a block connects."""
-    shared = distinct.sparkSession.sparkContext.broadcast(model)  # at most ``lists`` centroids and some codewords
-
-    def unit(v):
-        return v / np.sqrt((v * v).sum(1))[:, None]
+    shared = distinct.sparkSession.sparkContext.broadcast(model)  # a square root of the rows, and some codewords
 
     @lean
     def assign(batches):
         for b in batches:
             v = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-            own, codes, miss, probes = index(shared.value, unit(v.astype(np.float64)), radius, spread)
-            r, c = np.nonzero(probes)
+            v = v if size is np.float32 else level(v)
+            own, codes, miss, r, c = index(shared.value, unit(v.astype(np.float64)), radius, spread)
             lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(r, np.arange(len(v) + 1)), pa.int32()), pa.array(c, pa.int32()))
             yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array([x.tobytes() for x in v.astype(size)], pa.binary()), pa.array(own, pa.int32()), pa.array([x.tobytes() for x in codes], pa.binary()), pa.array(miss), lists], names=["id", "copies", "x", "c", "codes", "miss", "probes"])
 
@@ -184,7 +214,8 @@ def _links(distinct: DataFrame, model: dict, dim: int, size, radius: float, leas
                 if m == a or m == b:
                     continue
                 code = np.frombuffer(b"".join(codes[a:m]), np.uint8).reshape(m - a, -1)
-                x, y = match(shared.value, int(c[a]), unit(vec[m:b]), vec[m:b], code, miss[a:m], vec[a:m], radius, least)
+                asking, asked_of = level(vec[m:b]), level(vec[a:m])
+                x, y = match(shared.value, int(c[a]), unit(asking), asking, code, miss[a:m], asked_of, radius, least)
                 other = ids[m:b][x] != ids[a:m][y]
                 x, y = x[other], y[other]
                 if not len(x):

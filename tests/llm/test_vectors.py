@@ -1,4 +1,7 @@
+import math
 import random
+from fractions import Fraction
+from itertools import combinations
 
 import duckdb
 import numpy as np
@@ -89,3 +92,63 @@ def test_recall(spark):
     true = (u @ u.T >= 0.95).sum() - len(x)
     got = sum(r.n_links for r in ann.near_duplicates(df).collect())
     assert 0.99 * true <= got <= true
+
+
+def exact_top(vectors, asked, k, factor=256):
+    """By Python's integers; scores that no long holds are the nearest long."""
+    whole = {i: [max(-(2**62), min(2**62, math.floor(factor * c) if abs(factor * c) < 2**62 else (2**62 if c > 0 else -(2**62)))) for c in v] for i, v in vectors}
+    dot = lambda a, b: max(-(2**63), min(2**63 - 1, sum(x * y for x, y in zip(a, b, strict=True))))
+    out = []
+    for q in asked:
+        best = sorted((-dot(whole[q], x), i) for i, x in whole.items() if i != q and len(x) == len(whole[q]))[:k]
+        out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
+    return sorted(out)
+
+
+def test_top_with_outliers(spark):
+    rng = random.Random(4)
+    vectors = [(i, [rng.uniform(-2, 2) for _ in range(4)]) for i in range(200)]
+    vectors += [(300, [1e8, 0.1, -1.0, 2.0]), (301, [-1e8, 1e8, 1.0, 1.0]), (302, [1e300, -1e300, 0.0, 1.0]), (303, [1e15, 1e-300, -1e15, 3.0]), (304, [0.0] * 4)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    asked = [0, 1, 2, 3, 300, 301, 302, 303, 304]
+    got = topk.search(df, df.where(df.vec_id.isin(asked)), k=4, block_rows=4)
+    assert rows_of(got, ["query_id", "rank", "id", "score"]) == exact_top(vectors, asked, 4)
+
+
+def exact_links(vectors, least=Fraction(95, 100)):
+    """Cosine of at least ``least`` by fractions: products and squares, no roots."""
+    v = {i: [Fraction(c) for c in x] for i, x in vectors if any(x)}
+    n = {i: 0 for i, _ in vectors}
+    for a, b in combinations(sorted(v), 2):
+        dot = sum(x * y for x, y in zip(v[a], v[b], strict=True))
+        if dot > 0 and dot * dot >= least**2 * sum(x * x for x in v[a]) * sum(x * x for x in v[b]):
+            n[a] += 1
+            n[b] += 1
+    return n
+
+
+def test_links_of_tiny_and_huge_vectors(spark):
+    vectors = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.001]), (3, [1e-200, 0.0]), (4, [5e-324, 0.0]), (5, [1e300, 1e299]), (6, [-1e300, 0.0]), (7, [1e-310, 2e-310]), (8, [1.0, 2.0]), (9, [0.0, 0.0]), (10, [1e-320, 1e300]), (11, [0.0, 5e-324])]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    assert {r.id: r.n_links for r in ann.near_duplicates(df).collect()} == exact_links(vectors)
+
+
+def test_recall_at_a_thousand_lists():
+    """Over 64 dimensions and 1024 lists, as a table of a million rows has: the share of true pairs that are probed and pass."""
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(8000, 64))
+    x = ann.unit(np.concatenate([base, base[rng.integers(0, 2000, 4000)] + rng.normal(size=(4000, 64)) * rng.uniform(0.1, 0.4, (4000, 1))]))
+    model = ann.train(x, 1024)
+    radius = math.sqrt(0.1)
+    own, codes, miss, rows, lists = ann.index(model, x, radius, 3.0)
+    probed = np.zeros((len(x), 1024), bool)
+    probed[rows, lists] = True
+    found = true = 0
+    for c in range(1024):
+        mine, asking = np.flatnonzero(own == c), np.flatnonzero(probed[:, c])
+        if len(mine) and len(asking):
+            a, b = ann.match(model, c, x[asking], x[asking], codes[mine], miss[mine], x[mine], radius, 0.95)
+            found += int((asking[a] != mine[b]).sum())
+    for i in range(0, len(x), 1000):
+        true += int((x[i : i + 1000] @ x.T >= 0.95).sum())
+    assert found >= 0.99 * (true - len(x))

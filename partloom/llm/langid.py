@@ -3,27 +3,31 @@
 A text is a TF-IDF vector of hashed byte bigrams and trigrams of its lower-cased letters (square root of the
 count, times the inverse document frequency, scaled to length one). Each language has several centroids, found
 by spherical k-means on a bounded sample of labelled rows; a text gets the language of the centroid with the
-highest cosine. It is rejected if its cosine is under a quarter of the least
-that a training text of that language had, so ordinary short texts stay.
+highest cosine. It is rejected if it is too far from it for its length: short texts have few n-grams in common with
+any centroid, so held-out labelled rows tell, for each length, the cosine that all but one in a hundred reach, and a
+text with less than half of that is rejected.
 
-Bounds: ``fit_docs`` documents a language (the smallest hashes of their ids), ``max_languages`` languages.
+Bounds: ``fit_docs`` documents a language (the smallest hashes of their ids and texts); every language is learned, so
+the model grows with the number of languages, some 100 kB each.
 
 Defined cases: null text or text without a letter is ``und`` with score 0 and rejected; texts in an unknown
 script get the nearest language, a score near 0, and are rejected; repeated rows are scored alike; without any
-labelled row every text is ``und``; an empty table gives no rows; other columns do not matter.
+labelled row every text is ``und``; an empty table gives no rows; other columns may have any name.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import by_crc, lean, slices, text_bytes, tune
+from .common import by_crc, discard, lean, named, runs, save, slices, text_bytes, tune
 from .textvec import CHUNK, LOWER, lookup
 
 UNDETERMINED = "und"
+CLASSES = 48
 #: Letters keep their byte; everything else below 0x80 is a gap.
 LETTERS = np.where(lookup([(0x41, 0x5A, 1), (0x61, 0x7A, 1), (0x80, 0xFF, 1)]) == 1, LOWER, 32).astype(np.uint64)
 
@@ -78,83 +82,123 @@ def cluster(x: np.ndarray, k: int, rounds: int = 10) -> np.ndarray:
     return c
 
 
-def fit(docs: DataFrame, lang_col: str, text_col: str, key, features: int = 8192, centroids: int = 3, fit_docs: int = 400, max_languages: int = 200) -> dict:
-    """The model of labelled ``docs``; ``key`` is a column whose hash picks the sample."""
+def _class(grams: np.ndarray) -> np.ndarray:
+    """Length class of a text: the whole part of the binary logarithm of its n-grams."""
+    return np.minimum(np.log2(grams + 1).astype(np.int64), CLASSES - 1)
+
+
+def bounds(grams: np.ndarray, cosine: np.ndarray, share: float = 0.01) -> np.ndarray:
+    """For each length class, half of the cosine that all but ``share`` of known texts of that length reach. A class
+    never asks for more than a longer one with rows; one without rows asks for what the next shorter one does."""
+    out, of = np.full(CLASSES, np.nan), _class(grams)
+    for k in np.unique(of):
+        out[k] = np.quantile(cosine[of == k], share) / 2
+    low = np.inf
+    for k in range(CLASSES - 1, -1, -1):
+        low = out[k] = min(low, out[k]) if not np.isnan(out[k]) else np.nan
+        low = np.inf if np.isnan(low) else low
+    seen = 0.0
+    for k in range(CLASSES):
+        seen = out[k] = seen if np.isnan(out[k]) else out[k]
+    return out
+
+
+def fit(docs: DataFrame, lang_col: str, text_col: str, key, features: int = 8192, centroids: int = 3, fit_docs: int = 400) -> dict:
+    """The model of labelled ``docs``; ``key`` is a column whose hash picks the sample.
+
+    Each language is clustered in a task of its own, on at most ``fit_docs`` rows, of which every fourth is held out
+    and tells what cosine texts of a known language and its length have."""
     tune(docs.sparkSession)
-    labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike("\\p{L}"))
-    per = labelled.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(max_languages).collect()
-    languages = sorted(r[0] for r in per)
-    if not languages:
-        return {"languages": []}
-    h = F.pmod(F.xxhash64(key), F.lit(1 << 30))
-    most = F.lit(0)
-    for r in per:
-        most = F.when(F.col(lang_col) == r[0], int(min(1.0, 1.3 * fit_docs / r[1]) * (1 << 30))).otherwise(most)
+    lang, text = named(lang_col), named(text_col)
+    labelled = docs.where(lang.isNotNull() & text.rlike("\\p{L}")).select(lang.alias("lang"), F.pmod(F.xxhash64(key, text), F.lit(1 << 30)).alias("h"), text.alias("text"))
+    per = save(labelled.groupBy("lang").count().select("lang", (F.least(F.lit(1.0), 1.3 * fit_docs / F.col("count")) * (1 << 30)).alias("most")), "languages")
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", F.xxhash64("text")))
+    picked = labelled.join(per, "lang").where("h < most").select("lang", "text", nth.alias("nth")).where(F.col("nth") <= fit_docs)
 
     @lean
-    def run(batches):
+    def counted(batches):
         for b in batches:
-            data, off = text_bytes(b.column(2))
+            data, off = text_bytes(b.column(1))
             for i, j in slices(off, rows=256):
                 c = counts(data[off[i] : off[j]], off[i : j + 1] - off[i], features)
                 r, f = np.nonzero(c)
                 cut = np.searchsorted(r, np.arange(j - i + 1))
                 v = c[r, f].astype("<f4")
                 rows = [(f[a:e].astype("<u4").tobytes(), v[a:e].tobytes()) for a, e in zip(cut[:-1], cut[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), *(pa.array([x[k] for x in rows], pa.binary()) for k in (0, 1))], names=["lang", "h", "f", "v"])
-
-    sample = labelled.where(h < most).select(lang_col, h.alias("h"), text_col).mapInArrow(run, "lang string, h bigint, f binary, v binary").collect()
-    x, of = [], []
-    for lang in languages:
-        mine = sorted((r for r in sample if r.lang == lang), key=lambda r: (r.h, r.f, r.v))[:fit_docs]
-        for r in mine:
-            row = np.zeros(features, np.float32)
-            row[np.frombuffer(r.f, "<u4")] = np.frombuffer(r.v, "<f4")
-            x.append(row)
-            of.append(lang)
-    x, of = np.stack(x), np.array(of)
-    idf = (np.log((1 + len(x)) / (1 + (x > 0).sum(0))) + 1).astype(np.float32)
-    x = vectors(x, idf)
-    model: dict = {"languages": [], "idf": idf, "centroids": [], "of": [], "least": []}
-    for lang in languages:
-        mine = x[of == lang]
-        if not len(mine):
-            continue
-        c = cluster(mine, centroids)
-        model["of"] += [len(model["languages"])] * len(c)
-        model["languages"].append(lang)
-        model["centroids"].append(c.astype(np.float32))
-        model["least"].append(float((mine @ c.T).max(1).min()) / 4)
-    model["centroids"] = np.concatenate(model["centroids"])
-    model["of"], model["least"] = np.array(model["of"]), np.array(model["least"])
-    return model
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(2).slice(i, j - i), *(pa.array([x[k] for x in rows], pa.binary()) for k in (0, 1))], names=["lang", "nth", "f", "v"])
 
+    sample = save(picked.mapInArrow(counted, "lang string, nth int, f binary, v binary"), "sample")
 
-def predict(docs: DataFrame, model: dict, text_col: str = "text", keep: list[str] | None = None, out: tuple[str, str, str] = ("lang_pred", "score", "rejected")) -> DataFrame:
-    """Columns ``keep`` of every row, with predicted language, cosine, and whether it is rejected."""
-    spark = docs.sparkSession
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in out]
-    shared = spark.sparkContext.broadcast(model)  # languages times centroids rows at most
+    @lean
+    def held_by(batches):
+        df, rows = np.zeros(features, np.int64), 0
+        for b in batches:
+            for f in b.column(0).to_pylist():
+                df[np.frombuffer(f, "<u4")] += 1
+                rows += 1
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(np.flatnonzero(df), features), pa.int32()), pa.array(np.append(df[df > 0], rows), pa.int64())], names=["f", "n"])
+
+    df = np.zeros(features + 1)
+    for f, n in sample.select("f").mapInArrow(held_by, "f int, n bigint").groupBy("f").agg(F.sum("n")).collect():  # a row a feature
+        df[f] = n
+    idf = (np.log((1 + df[-1]) / (1 + df[:-1])) + 1).astype(np.float32)
+
+    @lean
+    def clustered(batches):
+        for t in runs(batches, ["lang"]):
+            of = t.column("lang").to_pylist()
+            cut = [0, *[i for i in range(1, len(of)) if of[i] != of[i - 1]], len(of)]
+            for a, e in zip(cut[:-1], cut[1:], strict=True):
+                x = np.zeros((e - a, features), np.float32)
+                for r, (f, v) in enumerate(zip(t.column("f")[a:e].to_pylist(), t.column("v")[a:e].to_pylist(), strict=True)):
+                    x[r, np.frombuffer(f, "<u4")] = np.frombuffer(v, "<f4")
+                grams, x = x.sum(1), vectors(x, idf)
+                out = np.arange(len(x)) % 4 == 3
+                c = cluster(x[~out], centroids).astype(np.float32)
+                yield pa.RecordBatch.from_arrays([pa.array([of[a]], pa.string()), pa.array([c.tobytes()], pa.binary()), pa.array([grams[out].astype("<f8").tobytes()], pa.binary()), pa.array([(x[out] @ c.T).max(1, initial=0).astype("<f8").tobytes()], pa.binary())], names=["lang", "c", "grams", "cosine"])
+
+    told = sorted(sample.repartition("lang").sortWithinPartitions("lang", "nth").mapInArrow(clustered, "lang string, c binary, grams binary, cosine binary").collect())  # a row a language
+    discard(per, sample)
+    if not told:
+        return {"languages": []}
+    each = [np.frombuffer(r.c, "<f4").reshape(-1, features) for r in told]
+    grams, cosine = (np.frombuffer(b"".join(r[k] for r in told), "<f8") for k in ("grams", "cosine"))
+    return {"languages": [r.lang for r in told], "idf": idf, "centroids": np.concatenate(each), "of": np.repeat(np.arange(len(each)), [len(c) for c in each]), "least": bounds(grams, cosine)}
+
+
+def _predicted(docs: DataFrame, model: dict, text_col: str, keep: list[str]) -> DataFrame:
+    """(row, lang, score, rejected): ``row`` a struct of the columns ``keep``, by number."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # some centroids a language
 
     @lean
     def run(batches):
         m = shared.value
         for b in batches:
-            data, off = text_bytes(b.column(len(keep)))
-            has = b.column(len(keep) + 1).to_numpy(zero_copy_only=False).astype(bool)
+            data, off = text_bytes(b.column(1))
+            has = b.column(2).to_numpy(zero_copy_only=False).astype(bool)
             lang, score, no = np.full(len(has), UNDETERMINED, object), np.zeros(len(has)), np.ones(len(has), bool)
             for i, j in slices(off, rows=256) if m["languages"] else ():
-                x = vectors(counts(data[off[i] : off[j]], off[i : j + 1] - off[i], len(m["idf"])), m["idf"])
-                sim = x @ m["centroids"].T
+                c = counts(data[off[i] : off[j]], off[i : j + 1] - off[i], len(m["idf"]))
+                sim = vectors(c, m["idf"]) @ m["centroids"].T
                 best = np.argmax(sim, axis=1)
-                top, which = sim[np.arange(j - i), best], m["of"][best]
-                lang[i:j], score[i:j], no[i:j] = np.array(m["languages"], object)[which], np.clip(top, 0, 1), top < m["least"][which]
+                top = np.clip(sim[np.arange(j - i), best], 0, 1)
+                lang[i:j], score[i:j], no[i:j] = np.array(m["languages"], object)[m["of"][best]], top, top < m["least"][_class(c.sum(1))]
             lang[~has], score[~has], no[~has] = UNDETERMINED, 0.0, True
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(lang, pa.string()), pa.array(score), pa.array(no)], names=[*keep, *out])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array(score), pa.array(no)], names=["row", "lang", "score", "rejected"])
+
+    row = T.StructType([T.StructField(f"c{i}", docs.schema[c].dataType) for i, c in enumerate(keep)])
+    schema = T.StructType([T.StructField("row", row), T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
+    letter = F.coalesce(named(text_col).rlike("\\p{L}"), F.lit(False))
+    whole = F.struct(*[named(c).alias(f"c{i}") for i, c in enumerate(keep)]) if keep else F.struct(F.lit(None).alias("c"))
+    return docs.select(whole.alias("row"), named(text_col).alias("text"), letter.alias("letter")).mapInArrow(run, schema)
+
 
-    fields = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), f"`{out[0]}` string, `{out[1]}` double, `{out[2]}` boolean"])
-    letter = F.coalesce(F.col(text_col).rlike("\\p{L}"), F.lit(False))
-    return docs.select(*keep, F.col(text_col).alias("__text"), letter.alias("__letter")).mapInArrow(run, fields)
+def predict(docs: DataFrame, model: dict, text_col: str = "text", keep: list[str] | None = None, out: tuple[str, str, str] = ("lang_pred", "score", "rejected")) -> DataFrame:
+    """Columns ``keep`` of every row, with predicted language, cosine, and whether it is rejected; these three take the
+    place of columns of their names."""
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in out]
+    told = _predicted(docs, model, text_col, keep)
+    return told.select(*[F.col("row").getField(f"c{i}").alias(c) for i, c in enumerate(keep)], *[F.col(c).alias(o) for c, o in zip(("lang", "score", "rejected"), out, strict=True)])
 
 
 def learned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> dict:
@@ -164,5 +208,5 @@ def learned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 
 def keep_known(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows that are not rejected, with their columns."""
-    model = learned(docs, id_col, text_col, lang_col)
-    return predict(docs, model, text_col, out=("__lang", "__score", "__rejected")).where("NOT __rejected").select(*docs.columns)
+    told = _predicted(docs, learned(docs, id_col, text_col, lang_col), text_col, docs.columns).where("NOT rejected")
+    return told.select(*[F.col("row").getField(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -60,6 +60,86 @@ def test_language_edges(spark, sf):
     assert langid.keep_known(docs.withColumn("score", docs.doc_id)).columns == [*docs.columns, "score"]
 
 
+REJECT = [
+    "Привет мир, как дела сегодня и всегда " * 3, "你好世界，今天天气很好" * 3, "qzxv wkjq zzxq vvkw jqxz pfqz " * 4, "12 345 kg 77 x 9 mm 3 ft " * 12,
+    "def f(x):\n    return np.zeros((len(x), 3)) if x else None\n" * 5, '<div class="a"><span id=b>{{x}}</span></div>' * 8, "asdf " * 80, "aaaaaaaaaaaa" * 20,
+]
+
+
+def test_language_rejects_what_no_language_is_near(spark, sf):
+    """Junk of other scripts, code, keys and numbers goes; of the table's own texts at most one in a thousand."""
+    big = sf.replace("0.001", "0.1")
+    docs = spark.read.parquet(f"{big}/documents.parquet")
+    model = langid.learned(docs)
+    rows = spark.createDataFrame(list(enumerate(REJECT)), "doc_id long, text string")
+    assert all(r.rejected and r.lang_pred != "und" for r in langid.predict(rows, model).collect())
+    short = spark.createDataFrame([(i, " ".join((t or "").split()[:n])) for i, t in enumerate(r.text for r in docs.limit(60).collect()) for n in (2, 5, 20)], "doc_id long, text string")
+    kept = [r.rejected for r in langid.predict(short, model).collect()]
+    assert sum(kept) <= 0.03 * len(kept)
+
+
+def test_language_scores_again_in_plain_python(spark, sf):
+    """Cosines of a text's n-grams to each centroid, one text at a time."""
+    import math
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = langid.learned(docs)
+    bits = 64 - int(len(model["idf"])).bit_length() + 1
+    got = {r.doc_id: r for r in langid.predict(docs, model, keep=["doc_id"]).collect()}
+    for r in docs.limit(40).collect():
+        b = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in r.text.encode())
+        x = [0.0] * len(model["idf"])
+        for n in (2, 3):
+            for i in range(len(b) - n + 1):
+                if b[i : i + n].strip():
+                    x[((int.from_bytes(b[i : i + n], "big") + (n << 32)) * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> bits] += 1
+        x = [math.sqrt(c) * w for c, w in zip(x, model["idf"].tolist(), strict=True)]
+        norm = math.sqrt(sum(c * c for c in x))
+        sims = [sum(a * c for a, c in zip(x, row, strict=True)) / norm for row in model["centroids"].tolist()]
+        best = max(range(len(sims)), key=lambda k: sims[k])
+        assert got[r.doc_id].score == pytest.approx(sims[best], abs=1e-4)
+        assert got[r.doc_id].lang_pred == model["languages"][model["of"][best]]
+
+
+def test_language_learns_every_language_and_keeps_any_column(spark):
+    import random
+
+    rng = random.Random(3)
+    words = {f"l{k}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 7))) for _ in range(60)] for k in range(300)}
+    rows = [(i, " ".join(rng.choices(words[f"l{i % 300}"], k=60)), f"l{i % 300}") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.learned(docs)
+    assert len(model["languages"]) == 300
+    right = [r.lang_pred == r.lang for r in langid.predict(docs, model, keep=["lang"]).collect()]
+    assert np.mean(right) > 0.95
+    odd = docs.limit(900).selectExpr("*", "map('a', doc_id) AS `__lang`", "lang AS `row`", "1 AS `a.b`", "2 AS score", "true AS rejected")
+    kept = langid.keep_known(odd)
+    assert kept.columns == odd.columns
+    assert all(r["__lang"] == {"a": r.doc_id} and r.row == r.lang and r["a.b"] == 1 and r.score == 2 and r.rejected for r in kept.collect())
+
+
+def test_quality_scores_again_in_plain_python(spark, sf):
+    import math
+
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    weights = quality.fit(docs, labels)
+    got = {r.id: r.score for r in quality.score(docs, weights).collect()}
+    mask, base, inverse = (1 << 64) - 1, 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
+
+    def mixed(x):
+        x = ((x ^ x >> 32) * 0xD6E8FEB86659FD93) & mask
+        return x ^ x >> 29
+
+    bits = int(len(weights) - 1).bit_length() - 1
+    for r in docs.limit(25).collect():
+        raw = r.text.encode()
+        h = [mixed(sum((raw[i] + 1) * pow(base, i - m.start(), 1 << 64) for i in range(m.start(), m.end())) & mask) for m in re.finditer(rb"[0-9A-Za-z\x80-\xff]+|[\x21-\x2f\x3a-\x40\x5b-\x60\x7b-\x7e]+", raw)]
+        f = h + [mixed(((1 if a == b else a * 3 + b) + 0x51ED27) & mask) for a, b in zip(h, h[1:], strict=False)] + [mixed(int(math.log2(len(h) + 1)) + 0xABCD)]
+        dot = sum(float(weights[x >> 64 - bits]) for x in f) * quality.SCALE / len(f) + float(weights[-1])
+        assert got[r.doc_id] == pytest.approx(1 / (1 + math.exp(-max(-35, min(35, dot)))), abs=1e-5)
+    assert inverse * base & mask == 1
+
+
 def brute_scan(text):
     w = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     at = [(i, label) for p, label in BASE.items() for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]

@@ -2,12 +2,14 @@
 
 Fingerprints that differ in at most ``bits`` of 64 bits agree in at least 8 - bits of their 8 bytes, so a pair
 shares that many postings (position, byte). Postings of one byte grow as 1/256 of the corpus, and tallying them
-all would grow with its square; so the index holds intersections of three postings, chosen so that any four
-positions hold one of the chosen triples. Pairs that meet are tallied over all eight positions, kept from four
-matches on, and verified on the bits.
+pair by pair would grow with its square; so the count filter is in the index: it holds the intersections of the
+postings of every 8 - bits positions (70 for four bits), and two fingerprints meet there if and only if their tally
+of shared positional bytes reaches the guaranteed minimum. Pairs that meet are verified on the bits. A list holds a
+fingerprint in 2**32 by chance, so lists stay short in a corpus of billions.
 
-A triple that many distinct fingerprints share is cut into blocks, and every pair of blocks is one group of
-rows; within a group a search over the not yet linked fingerprints gives a spanning forest, never all pairs.
+A list that many distinct fingerprints share is cut into blocks, and every pair of blocks is one group of
+rows; within a group a search over the not yet linked fingerprints gives a spanning forest, never all pairs. Which
+lists to cut is told by the fingerprints of one hash in sixteen; uncut and cut lists give the same links.
 
 Defined cases: null and empty texts have the fingerprint zero and link like any other; exact copies share a
 fingerprint and are linked once; rows with a null id keep their fingerprint, link nothing and have a null
@@ -24,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, npcol, runs, save, tune
+from .common import lean, named, npcol, runs, save, tune
 from .components import components
 
 
@@ -64,23 +66,8 @@ def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42, id_col: str =
     return thin.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, key bigint, fp bigint")
 
 
-def triples() -> list[tuple[int, int, int]]:
-    """Three positions of eight, so that any four positions hold one of them: parts of 3, 3 and 2 positions;
-    three of one part, or two of one and one of the next part."""
-    parts = [(0, 1, 2), (3, 4, 5), (6, 7)]
-    out = [t for p in parts for t in combinations(p, 3)]
-    for i, p in enumerate(parts):
-        out += [(*two, one) for two in combinations(p, 2) for one in parts[(i + 1) % 3]]
-    return [tuple(sorted(t)) for t in out]
-
-
 def near(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
-    """Tally of matching byte positions, count filter, then the bits."""
-    x = a ^ b
-    tally = (x.view(np.uint8).reshape(-1, 8) == 0).sum(1) if x.ndim == 1 else None
-    ok = np.ones(len(x), bool) if tally is None else tally >= 8 - bits
-    ok[ok] = np.bitwise_count(x[ok]) <= bits
-    return ok
+    return np.bitwise_count(a ^ b) <= bits
 
 
 def forest(fp: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -102,12 +89,18 @@ def forest(fp: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def links(distinct: DataFrame, bits: int = 4, hot: int = 4096) -> DataFrame:
-    """``distinct`` (fp, node) -> links (u, v) whose chains join all fingerprints within ``bits``."""
+    """``distinct`` (fp, node) -> links (u, v) whose chains join all fingerprints within ``bits`` (one to four)."""
     byte = lambda p: F.shiftrightunsigned("fp", 56 - 8 * p).bitwiseAND(255)
-    keys = [F.lit(i << 24).cast("bigint") + byte(a) * 65536 + byte(b) * 256 + byte(c) for i, (a, b, c) in enumerate(triples())]
-    posted = distinct.select("fp", "node", F.explode(F.array(*keys)).alias("k"))
-    many = posted.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("k", F.ceil(F.col("n") / hot).cast("int").alias("blocks"))
-    many = save(many, "hot")
+    keys = []
+    for i, positions in enumerate(combinations(range(8), 8 - bits)):
+        key = F.lit(i).cast("bigint")
+        for p in positions:
+            key = F.shiftleft(key, 8).bitwiseOR(byte(p))
+        keys.append(key)
+    post = lambda df: df.select("fp", "node", F.explode(F.array(*keys)).alias("k"))
+    posted = post(distinct)
+    some = post(distinct.where(F.pmod(F.xxhash64("fp", F.lit(3)), F.lit(16)) == 0)).groupBy("k").agg((F.count(F.lit(1)) * 16).alias("n"))
+    many = save(some.where(F.col("n") > hot).select("k", F.ceil(F.col("n") / hot).cast("int").alias("blocks")), "hot")
     cold = posted.join(many, "k", "left_anti").select("k", F.lit(0).alias("x"), F.lit(0).alias("y"), "fp", "node")
     block = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     split = posted.join(many, "k").withColumn("b", block).select("k", "b", "fp", "node", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"))
@@ -156,10 +149,13 @@ def group(docs: DataFrame, bits: int = 4, words: int = 4, seed: int = 42, hot: i
 
 
 def keep_first(docs: DataFrame, bits: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each group: that of the smallest id; of rows that repeat an id, the first by their values.
-    Rows without an id stay."""
-    found = group(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), bits, id_col="id", text_col="text")
-    kept = found.where("id = component_id").groupBy("id").agg(F.collect_set("key").alias("keys"))
-    keyed = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.struct(*docs.columns).alias("row"))
-    first = keyed.join(kept, "id").where(F.array_contains("keys", F.col("key"))).groupBy("id").agg(F.min("row").alias("row"))
-    return first.select("row.*").unionByName(docs.where(F.col(id_col).isNull()))
+    """One row of each group: that of the smallest id; of rows that repeat an id, the first by the hash of its text and
+    its other columns as JSON. Rows without an id stay. Other columns may have any name and type."""
+    found = group(docs.select(named(id_col).alias("id"), named(text_col).alias("text")), bits, id_col="id", text_col="text")
+    kept = found.where("id = component_id").select("id", "key").distinct()
+    whole = F.struct(*[named(c).alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    others = F.struct(F.lit(0).alias("c"), *[named(c).alias(f"c{i}") for i, c in enumerate(docs.columns) if c != text_col])
+    keyed = docs.select(named(id_col).alias("id"), F.xxhash64(named(text_col)).alias("key"), whole.alias("row"), F.to_json(others, {"ignoreNullFields": "false"}).alias("others"))
+    first = keyed.join(kept, ["id", "key"]).groupBy("id").agg(F.min_by("row", F.struct("key", "others")).alias("row"))
+    rows = first.select("row").unionAll(keyed.where("id IS NULL").select("row"))
+    return rows.select(*[F.col("row").getField(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -33,12 +33,6 @@ def brute(rows):
     return {d: (f"{fp[d]:016x}", root(d)) for d in fp}
 
 
-def test_triples_cover_every_four_positions():
-    t = [set(x) for x in simhash.triples()]
-    assert len(t) == 20
-    assert all(any(x <= set(four) for x in t) for four in combinations(range(8), 4))
-
-
 def test_whole_table(spark, sf):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     got = {r.doc_id: (r.fingerprint, r.component_id) for r in queries.op8_simhash_near_dedup(spark, sf).collect()}
@@ -86,3 +80,34 @@ def test_edges(spark):
     odd = spark.createDataFrame([(8, long), (9, long), (9, "quite another text of some words"), (9, "quite another text of some words")], "doc_id long, text string")
     assert sorted(map(tuple, simhash.keep_first(odd).collect())) == [(8, long), (9, "quite another text of some words")]
     assert simhash.keep_first(df).columns == df.columns
+    strange = df.selectExpr("*", "map(doc_id, text) AS `key`", "1 AS `a.b`", "2 AS `row`", "3 AS `others`", "4 AS `c``0`").where("doc_id is not null")
+    kept = simhash.keep_first(strange)
+    assert kept.columns == strange.columns
+    assert all(r.key == {r.doc_id: r.text} and r["a.b"] == 1 and r.row == 2 and r.others == 3 and r["c`0"] == 4 for r in kept.collect())
+
+
+@pytest.mark.parametrize("sf_dir", ["/root/testdata/sf0.01"])
+def test_larger_table(spark, sf_dir):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in queries.op8_simhash_near_dedup(spark, sf_dir).collect()}
+    assert got == brute(rows)
+
+
+@pytest.mark.parametrize("bits", [1, 2, 3])
+def test_other_distances(spark, bits):
+    from partloom.llm.components import components
+
+    rng = random.Random(bits)
+    fps = [rng.getrandbits(64) for _ in range(40)]
+    fps += [f ^ sum(1 << b for b in rng.sample(range(64), n)) for f in fps for n in (1, 2, 3, 4)]
+    df = spark.createDataFrame([(int(np.uint64(f).astype(np.int64)), i) for i, f in enumerate(fps)], "fp long, node long")
+    got = {r.node: r.component for r in components(simhash.links(df, bits)).collect()}
+    low = list(range(len(fps)))
+    changed = True
+    while changed:
+        changed = False
+        for a, b in combinations(range(len(fps)), 2):
+            if (fps[a] ^ fps[b]).bit_count() <= bits and low[a] != low[b]:
+                low[a] = low[b] = min(low[a], low[b])
+                changed = True
+    assert {i: got.get(i, i) for i in range(len(fps))} == dict(enumerate(low))

@@ -29,10 +29,27 @@ PRINTABLE = [(0x21, 0x7E), (0xA1, 0xAC), (0xAE, 0xFF)]
 _encoders: dict[int, object] = {}
 
 
+def pattern_of(model: dict) -> str:
+    """The word pattern that the file's settings stand for; raises on settings that encoder() does not follow."""
+    steps = model["pre_tokenizer"] or {}
+    steps = steps["pretokenizers"] if steps.get("type") == "Sequence" else [steps]
+    level = steps[-1]
+    split = steps[:-1]
+    known = level.get("type") == "ByteLevel" and not level.get("add_prefix_space") and len(split) == (0 if level.get("use_regex", True) else 1)
+    known &= all(s.get("type") == "Split" and s.get("behavior") == "Isolated" and not s.get("invert") and "Regex" in s.get("pattern", {}) for s in split)
+    bpe, added = model["model"], model.get("added_tokens", [])
+    known &= bpe.get("type") == "BPE" and not model.get("normalizer") and not any(bpe.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    known &= not any(t.get(k) for t in added for k in ("single_word", "lstrip", "rstrip", "normalized"))
+    if not known:
+        raise ValueError("not a plain byte-level BPE vocabulary")
+    return split[0]["pattern"]["Regex"] if split else PATTERN
+
+
 def encoder(vocabulary: bytes):
     """A fast encoder for a byte-level BPE vocabulary file, giving the ids its own library gives (tests compare).
 
-    The file's added tokens are matched in texts, as that library does by default."""
+    The file's added tokens are matched in texts, as that library does by default. Its merges must be in the order of
+    their ids, which is how this encoder ranks them."""
     key = zlib.crc32(vocabulary)
     if key not in _encoders:
         import tiktoken
@@ -43,7 +60,10 @@ def encoder(vocabulary: bytes):
         model = json.loads(vocabulary)
         special = {t["content"]: t["id"] for t in model.get("added_tokens", [])}
         ranks = {bytes(byte_of[c] for c in t): i for t, i in model["model"]["vocab"].items() if t not in special}
-        _encoders[key] = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
+        pattern, at = pattern_of(model), [model["model"]["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model["model"]["merges"]]
+        if any(a >= b for a, b in zip(at, at[1:], strict=False)):
+            raise ValueError("merges are not in the order of their ids")
+        _encoders[key] = tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
     return _encoders[key]
 
 

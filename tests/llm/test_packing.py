@@ -15,7 +15,6 @@ def library_ids(texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(queries.tokenizer())
-    t.encode_special_tokens = True
     return [np.array([*e.ids, 2], "<u4") for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
@@ -129,3 +128,17 @@ def test_added_tokens_as_the_library_matches_them_by_default(spark):
     ids = {i: np.array([*library.encode(t or "", add_special_tokens=False).ids, 2], "<u4") for i, t in enumerate(texts)}
     assert ids[0].tolist() == [64, 220, 50256, 275, 2]
     check(packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), queries.tokenizer()).collect(), ids)
+
+
+def test_settings_of_the_file():
+    import json
+
+    with open(queries.tokenizer()) as f:
+        plain = json.load(f)
+    assert packing.pattern_of(plain) == packing.PATTERN
+    split = {"type": "Split", "pattern": {"Regex": "[a-z]+"}, "behavior": "Isolated", "invert": False}
+    level = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}
+    assert packing.pattern_of({**plain, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [split, level]}}) == "[a-z]+"
+    for odd in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {**plain["pre_tokenizer"], "add_prefix_space": True}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"model": {**plain["model"], "unk_token": "?"}}, {"added_tokens": [{**plain["added_tokens"][0], "lstrip": True}]}):
+        with pytest.raises(ValueError):
+            packing.pattern_of({**plain, **odd})

@@ -9,7 +9,9 @@ anchor has other segments too are compared: their bytes are joined, the Burrows-
 intervals are expanded by backward extension, common prefixes in increasing order, up to ``least``. Where very
 many different segments share an anchor, they are cut into shorter segments keyed by the longer core that their
 strings have in common, and counted again; the last cut is single strings, for which counting is exact. So no
-group grows beyond ``hot`` segments, and none is dropped.
+group grows beyond ``hot`` segments, and none is dropped. Segments and cores are told apart by pairs of 64-bit
+hashes, of the anchor and of the bytes; only what goes through the transform is compared byte for byte. Frequent
+anchors and segments are dealt to many tasks; rows alike in id and text give their examples once.
 
 Defined cases: null text is empty; texts below ``least`` bytes lose nothing; repeated rows, with equal or null
 ids too, are other places to each other; an empty table gives no rows; other columns do not matter.
@@ -23,9 +25,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .bwt import repeated
-from .common import discard, lean, release, runs, save, slices, text_bytes, tune
+from .common import discard, lean, named, release, runs, save, slices, text_bytes, tune
 from .textvec import mixed, prefix, span
 
 GRAM = 32
@@ -34,6 +37,8 @@ CHUNK = 1 << 19
 BATCH = 256 << 10
 #: Lengths of the ranges of starts that hot segments are cut into, one after the other; the last is single strings.
 CUTS = (32, 8, 1)
+#: Keys that are dealt to several tasks, and to how many; a key that is not among so many has few of all rows.
+HOT_KEYS, SALTS = 1024, 64
 
 
 def window_argmin(h: np.ndarray, w: int) -> np.ndarray:
@@ -86,18 +91,39 @@ def _occurrences(docs: DataFrame, least: int) -> DataFrame:
     return docs.select("kid", "th", "text").mapInArrow(run, "kid bigint, th bigint, lo bigint, n bigint, a bigint, s bigint, c bigint")
 
 
+def _hot(rows: DataFrame, by: list[str]) -> DataFrame:
+    """At most ``HOT_KEYS`` keys that a sixteenth of ``rows`` shows to be frequent. It only tells how to deal rows."""
+    seen = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).where("n >= 16")
+    return save(seen.orderBy(F.desc("n"), *by).limit(HOT_KEYS).select(*by, F.lit(SALTS).alias("salts")), "hot")
+
+
+def _sixteenth(*by: str):
+    return F.pmod(F.xxhash64(*by), F.lit(16)) == 0
+
+
+def _split_join(many: DataFrame, few: DataFrame, by: list[str], hot: DataFrame, salt, how: str = "inner") -> DataFrame:
+    """Join on ``by``, where rows of ``many`` with a hot key are dealt to ``SALTS`` tasks, and ``few`` to each."""
+    hot = F.broadcast(hot)  # HOT_KEYS rows at most
+    many = many.join(hot, by, "left").withColumn("salt", F.when(F.col("salts").isNotNull(), F.pmod(salt, F.lit(SALTS)).cast("int")).otherwise(0)).drop("salts")
+    few = few.join(hot, by, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+    return many.join(few, [*by, "salt"], how).drop("salt")
+
+
 def _count(rows: DataFrame) -> DataFrame:
     """(a, s, c, kinds): occurrences of each segment, and how many its anchor has; those alone in both are left out."""
     each = rows.groupBy("a", "s").agg(F.sum("c").alias("c"))
     kinds = each.groupBy("a").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    return each.join(kinds, "a", "left").where("c > 1 OR kinds > 1").select("a", "s", "c", F.coalesce("kinds", F.lit(1)).cast("bigint").alias("kinds"))
+    hot = _hot(rows.where(_sixteenth("s")).select("a", "s").distinct(), ["a"])
+    both = _split_join(each, kinds, ["a"], hot, F.col("s"), "left")
+    return both.where("c > 1 OR kinds > 1").select("a", "s", "c", F.coalesce("kinds", F.lit(1)).cast("bigint").alias("kinds"))
 
 
 def _shared(rows: DataFrame) -> DataFrame:
     """Rows whose segment occurs again, or whose anchor has other segments: with both counts, their own as ``one``."""
     counts = save(_count(rows), "counts")
     release(rows.sparkSession)  # what the counts were dealt by, before all rows are dealt again
-    return rows.withColumnRenamed("c", "one").join(counts, ["a", "s"])
+    hot = _hot(rows.where(_sixteenth("kid", "th", "lo")), ["a", "s"])
+    return _split_join(rows.withColumnRenamed("c", "one"), counts, ["a", "s"], hot, F.xxhash64("kid", "th", "lo"))
 
 
 def _whole(shared: DataFrame, least: int) -> DataFrame:
@@ -145,6 +171,8 @@ def _compare(rows: DataFrame, least: int) -> DataFrame:
 
 def _bytes(docs: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
     """``wanted`` segments with their bytes."""
+    if not docs.groupBy("kid", "th").count().where("count > 1").isEmpty():
+        docs = docs.dropDuplicates(["kid", "th"])  # one of the rows alike gives an example
     lists = wanted.groupBy("kid", "th").agg(F.collect_list(F.struct("lo", "n", "a", "s", "c", "kinds")).alias("w"))
     joined = docs.select("kid", "th", "text").join(lists, ["kid", "th"])
 
@@ -225,8 +253,8 @@ def remove(docs: DataFrame, least: int = 200, hot: int = 256, id_col: str = "doc
     and the remaining text ``kept`` if ``with_text`` (characters that a cut halves are left out)."""
     tune(docs.sparkSession)
     keep = [id_col] if keep is None else keep
-    text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
-    keyed = docs.select(F.xxhash64(id_col).alias("kid"), F.xxhash64(text).alias("th"), text.alias("text"), F.struct(*keep).alias("row"))
+    text = F.coalesce(named(text_col).cast("binary"), F.lit(b""))
+    keyed = docs.select(F.xxhash64(named(id_col)).alias("kid"), F.xxhash64(text).alias("th"), text.alias("text"), F.struct(*[named(c).alias(f"c{i}") for i, c in enumerate(keep)]).alias("row"))
     found = ranges(keyed.select("kid", "th", "text"), least, hot)
     lists = found.groupBy("kid", "th").agg(F.collect_set(F.shiftleft("lo", 32) + F.col("hi")).alias("cuts"))
     joined = keyed.join(lists, ["kid", "th"], "left").select("row", "text", "cuts")
@@ -255,10 +283,11 @@ def remove(docs: DataFrame, least: int = 200, hot: int = 256, id_col: str = "doc
             cols = [pa.array(x, t) for x, t in zip(c, kinds, strict=True)][: len(names)]
             yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=["row", *names])
 
-    own = ", ".join(f"`{c}`:{docs.schema[c].dataType.simpleString()}" for c in keep)
-    schema = f"row struct<{own}>, n_bytes bigint, n_removed bigint, spans array<struct<start:bigint,end:bigint>>, kept_sha256 string" + ", kept string" * with_text
-    out = joined.mapInArrow(run, schema)
-    return out.select(*(F.col("row").getField(c).alias(c) for c in keep), *[c for c in out.columns if c != "row" and c not in keep])
+    own = T.StructType([T.StructField(f"c{i}", docs.schema[c].dataType) for i, c in enumerate(keep)])
+    span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
+    kinds = [("row", own), ("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("spans", span), ("kept_sha256", T.StringType()), ("kept", T.StringType())]
+    out = joined.mapInArrow(run, T.StructType([T.StructField(c, t) for c, t in kinds[: 5 + with_text]]))
+    return out.select(*(F.col("row").getField(f"c{i}").alias(c) for i, c in enumerate(keep)), *[c for c in out.columns if c != "row" and c not in keep])
 
 
 def trim(docs: DataFrame, least: int = 200, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:

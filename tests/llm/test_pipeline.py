@@ -54,3 +54,32 @@ def test_run_gives_the_last_stage(spark, sf):
     out = corpus_pipeline.run(spark, sf)
     assert out.columns == queries.op6_best_fit_packing(spark, sf).columns and out.count() > 0
     assert 4 <= len(corpus_pipeline.STAGES) <= 5 and all(callable(f) for _, f in corpus_pipeline.STAGES)
+
+
+def test_odd_rows_and_columns_end_to_end(spark, sf, tmp_path):
+    """Null ids, null and empty texts, repeated rows, helper names, dotted names and a map column go through all stages."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    odd = spark.createDataFrame([(None, None, None, None, None), (None, None, None, None, None), (5_000_001, "", "en", "src0", 0), (5_000_002, None, "en", "src1", 0), (None, docs.first().text, "en", "src2", 7), (5_000_003, "кириллица " * 40, None, None, 400)], docs.schema)
+    few = docs.limit(60).unionByName(odd)
+    wide = few.selectExpr("*", "map('id', doc_id) AS `row`", "1 AS `a.b`", "source AS `__own`", "2 AS component_id", "3 AS copies", "4 AS `key`", "5 AS id", "6 AS salt")
+    for rows in (wide, wide.limit(0)):
+        now = rows
+        for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            now = save(stage(spark, now, sf), name)
+            if k < 4:
+                assert now.columns == wide.columns
+        got = now.collect()
+        assert bool(got) == (rows is wide)
+    assert "кириллица" not in " ".join(r.text or "" for r in corpus_pipeline.language_id(spark, wide, sf).collect())
+
+
+def test_tables_of_the_stages_are_gone(spark, sf):
+    import os
+
+    from partloom.storage import scratch
+
+    where = scratch(spark).removeprefix("file://") + "/partloom"
+    before = set(os.listdir(where)) if os.path.isdir(where) else set()
+    out = corpus_pipeline.run(spark, sf)
+    assert out.count() > 0
+    assert len(set(os.listdir(where)) - before) == 1

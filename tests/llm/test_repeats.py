@@ -66,3 +66,29 @@ def test_edges(spark, monkeypatch):
     same = spark.createDataFrame([(7, "y" * 250, 3, "a")] * 2 + [(8, "z" * 150, 3, "a")], "doc_id long, text string, n_chars int, row string")
     assert sorted(tuple(r) for r in repeats.trim(same).collect()) == [(7, "", 0, "a")] * 2 + [(8, "z" * 150, 150, "a")]
     assert repeats.trim(same).columns == same.columns
+
+
+def test_frequent_anchors_and_rows_alike(spark, monkeypatch):
+    """One passage in many texts, one anchor with many segments, and rows that repeat id and text, ids null too."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8)))
+    line = lambda n: " ".join(word() for _ in range(n))
+    common, gram = line(70), "0123456789 all rights reserved !!"
+    texts = [f"{line(20)} {common} {line(20)}" for _ in range(150)]
+    texts += [f"{line(12)} {gram} {line(12)}" for _ in range(200)]
+    texts += [texts[3]] * 60 + [None] * 80 + ["short"] * 30
+    ids = [i if i < 350 else None for i in range(len(texts))]
+    df = spark.createDataFrame([(i, n, t) for n, (i, t) in enumerate(zip(ids, texts, strict=True))], "doc_id long, n int, text string")
+    want = dict(enumerate(brute(texts, 200)))
+    for salts in (1, 64):
+        monkeypatch.setattr(repeats, "SALTS", salts)
+        got = repeats.remove(df, keep=["n"]).collect()
+        assert {r.n: (r.n_bytes, r.n_removed, len(r.spans), r.kept_sha256) for r in got} == want
+
+
+def test_other_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "q" * 450), (2, "tail")], "doc_id long, text string").selectExpr("*", "map('k', doc_id) AS `row`", "1 AS `a.b`", "2 AS kid", "3 AS cuts", "4 AS `c``0`", "9 AS n_chars")
+    got = repeats.trim(df)
+    assert got.columns == df.columns
+    rows = {r.doc_id: r for r in got.collect()}
+    assert rows[1].text == "" and rows[2].text == "tail" and rows[2]["row"] == {"k": 2} and rows[1]["a.b"] == 1 and rows[1].n_chars == 0 and rows[2]["c`0"] == 4

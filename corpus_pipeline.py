@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from partloom.llm import langid, mixing, packing, queries, repeats, simhash
-from partloom.llm.common import save, table
+from partloom.llm.common import discard, kept, table, workspace
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +50,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. Each stage's own tables go when its result is written, and so does what it has read."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = save(stage(spark, docs, sf_dir), name)
+        before = docs
+        with workspace(spark):
+            docs = kept(stage(spark, before, sf_dir), name)
+        discard(before)
     return docs

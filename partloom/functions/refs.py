@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import col, strip
@@ -11,8 +11,33 @@ RANGE = r"^([A-Z]+)([0-9]+)-([A-Z]+)?([0-9]+)"
 LONGEST = 50
 
 
+def expansion(rows: DataFrame, ref: str) -> DataFrame:
+    """Adds what the references in column ``ref`` expand to: ``numbers`` of the members of a range, one null for a
+    literal; ``base``, the members' prefix or the literal; ``shape``, the reference with a 0 for each run of digits.
+
+    ``R1-R4`` has four members; spans of 50 and more stay literal; a backward range is empty. What several columns look
+    at is a column of its own, so that it is computed once."""
+    part = lambda i: F.regexp_extract("r_", RANGE, i)
+    rows = rows.withColumn("r_", strip(ref))
+    rows = rows.withColumn("e_", F.when(F.contains(F.col("r_"), F.lit("-")), F.when(F.col("r_").rlike(RANGE), F.struct(part(1).alias("p"), part(2).try_cast("bigint").alias("a"), part(4).try_cast("bigint").alias("b")))))
+    rows = rows.withColumn("e_", F.when(F.col("e_.b") - F.col("e_.a") < LONGEST, F.col("e_")))
+    first, last = F.col("e_.a"), F.col("e_.b")
+    literal = F.array(F.lit(None).cast("bigint"))
+    numbers = F.when(F.col("e_").isNull(), literal).when(last < first, F.array().cast("array<bigint>")).otherwise(F.sequence(first, F.greatest(first, last)))
+    return rows.withColumns({
+        "numbers": F.when(F.col("r_").isNotNull(), numbers),
+        "base": F.coalesce("e_.p", "r_"),
+        "shape": F.regexp_replace(F.coalesce(F.concat("e_.p", F.lit("0")), "r_"), "[0-9]+", "0"),
+    }).drop("r_", "e_")
+
+
+def member(pos: Column | str, number: Column | str, base: Column | str = "base") -> Column:
+    """The reference at a place of an expansion that was exploded; null where there was nothing."""
+    return F.when(col(pos).isNotNull(), F.concat(col(base), F.coalesce(col(number).cast("string"), F.lit(""))))
+
+
 def expand(ref: Column | str) -> Column:
-    """``R1-R4`` -> its members; spans of 50 and more stay literal; a backward range is empty."""
+    """``R1-R4`` -> its members, as an array; for single columns. Tables are expanded by expansion()."""
     r = strip(ref)
     a, b = (F.regexp_extract(r, RANGE, i).try_cast("bigint") for i in (2, 4))
     ok = r.rlike(RANGE) & a.isNotNull() & b.isNotNull()

@@ -1,7 +1,7 @@
 """From candidate references to part events, rejected lines and statistics.
 
-Rows carry ``slot`` (one project's input) and ``ordinal`` (a struct that orders its lines). Everything that depends
-on order or on a whole line is a window within a slot, so one exchange by slot serves all of them.
+Rows carry ``slot`` (one project's input) and ``ordinal`` (a struct that orders its lines). What depends on order is a
+window within a slot's reference, what depends on a whole line a window within a slot's line.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.knowledge import SAFE_WORDS
-from ..functions.refs import expand
+from ..functions.refs import expansion, member
 from ..functions.text import contains_any, has_digit
 from .classify import SOCKET_CATEGORY, SOCKET_VALUE, with_class
 
@@ -18,16 +18,34 @@ from .classify import SOCKET_CATEGORY, SOCKET_VALUE, with_class
 TOKEN = r"(?Ud)^([a-zA-Z0-9_\-]+)[\s,]+([0-9a-zA-Z./\-]+)"
 
 
+def classes(candidates: DataFrame) -> DataFrame:
+    """(shape, val_raw, category, value, socket) of the different pairs. A reference's numbers decide nothing but that
+    there are some, so its shape has one digit for each run of them, and pairs are as many as labels and values."""
+    pairs = candidates.select("shape", "val_raw").distinct()
+    return with_class(pairs, "shape").select(F.col("shape").alias("shape_"), F.col("val_raw").alias("val_"), "category", "value", "socket")
+
+
+def dealt(candidates: DataFrame) -> DataFrame:
+    """Candidates dealt by line. For those that long expressions give: Spark would put these into all that looks at them,
+    and an exchange is where it stops."""
+    return candidates.repartition("slot", "ordinal")
+
+
 def resolve(candidates: DataFrame) -> DataFrame:
     """Expand, keep the first sighting of each reference in its slot, classify.
 
     ``candidates`` (slot, ordinal, ref_raw, val_raw, ...) give one row per expanded reference, or one with a null
-    ``ref``; ``valid`` tells the parts, ``found`` how many the candidate's line has.
+    ``ref``; ``valid`` tells the parts, ``found`` how many the candidate's line has. A slot may be of any size: what is
+    first is told within (slot, reference), what a line has within (slot, line); input that is dealt by slot already is
+    not dealt again.
     """
-    dealt = candidates.repartition("slot")
-    rows = dealt.select("*", F.posexplode_outer(expand("ref_raw")).alias("pos", "ref"))
-    first = F.row_number().over(Window.partitionBy("slot", "ref").orderBy("ordinal", "pos")) == 1
-    rows = with_class(rows.withColumn("fresh", first & F.col("ref").isNotNull()))
+    rows = expansion(candidates, "ref_raw")
+    rows = rows.join(classes(rows), F.col("shape").eqNullSafe(F.col("shape_")) & F.col("val_raw").eqNullSafe(F.col("val_")), "left").drop("shape_", "val_")
+    rows = rows.select("*", F.posexplode_outer("numbers").alias("pos", "number")).withColumn("ref", member("pos", "number"))
+    # lines without a reference are no group of their own
+    apart = F.when(F.col("ref").isNull(), F.xxhash64("ordinal"))
+    first = F.row_number().over(Window.partitionBy("slot", "ref", apart).orderBy("ordinal", "pos")) == 1
+    rows = rows.withColumn("fresh", first & F.col("ref").isNotNull()).drop("numbers", "number", "base", "shape")
     rows = rows.withColumn("valid", F.col("fresh") & F.col("category").isNotNull())
     found = F.sum(F.col("valid").cast("bigint")).over(Window.partitionBy("slot", "ordinal"))
     return rows.withColumn("found", F.coalesce(found, F.lit(0)))
@@ -86,8 +104,12 @@ def suspicious(rejected: DataFrame, line: str = "line") -> DataFrame:
     return rejected.where(up.rlike("ERROR|EXCEPTION") | (~contains_any(up, SAFE_WORDS) & has_digit(F.col(line))))
 
 
-def stats(scanned: DataFrame) -> DataFrame:
-    """(slot, lines_read, parts_found, residuals) of text or CSV rows resolved."""
+def stats(scanned: DataFrame, slots: DataFrame | None = None) -> DataFrame:
+    """(slot, lines_read, parts_found, residuals) of text or CSV rows resolved; zeros for those of ``slots`` without any."""
+    if slots is not None:
+        counted = stats(scanned)
+        zeros = [F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in counted.columns if c != "slot"]
+        return slots.select("slot").distinct().join(counted, "slot", "left").select("slot", *zeros)
     one = F.coalesce("pos", F.lit(0)) == 0
     count = lambda c: F.coalesce(F.sum(c.cast("bigint")), F.lit(0)).alias
     return scanned.groupBy("slot").agg(count(one)("lines_read"), count(F.col("valid") | F.col("pcb").isNotNull())("parts_found"), count(F.col("rejected"))("residuals"))

@@ -34,8 +34,15 @@ def with_refs(events: DataFrame) -> DataFrame:
 
 def merge(events: DataFrame, counts: DataFrame) -> DataFrame:
     """Quantities times each project's ``count``; references are not multiplied."""
-    weighted = events.join(counts.select("slot", "count"), "slot").withColumn("qty", F.col("qty") * F.col("count"))
-    return aggregate(weighted)
+    # a row a project and part is what meets the counts
+    each = events.groupBy("slot", *KEY).agg(F.sum("qty").alias("qty"), F.count(nonempty(F.col("ref"))).alias("n_refs"))
+    each = each.join(counts.select("slot", "count"), "slot")
+    return each.groupBy(*KEY).agg(F.sum(F.col("qty") * F.col("count")).alias("qty"), F.sum("n_refs").alias("n_refs"), F.min("slot").alias("first_slot"))
+
+
+def sku_count(events: DataFrame) -> DataFrame:
+    """One row: how many different parts there are."""
+    return events.select(*KEY).distinct().agg(F.count(F.lit(1)).alias("skus"))
 
 
 def sources(events: DataFrame, counts: DataFrame | None = None) -> DataFrame:
@@ -109,6 +116,9 @@ def project_parts(rows: DataFrame) -> DataFrame:
         each = rows.select("source", *KEY, F.explode("refs").alias("ref"))
     else:
         each = rows.select("source", *KEY, F.when(F.col("kind") == "pcb", "PCB").otherwise(F.col("ref")).alias("ref")).where("ref <> ''")
-    each = each.distinct().withColumn("k", natural_key("ref"))
+    each = each.distinct()
+    # references repeat from project to project: each is given its key once
+    keys = each.select("ref").distinct().select(F.col("ref").alias("of"), natural_key("ref").alias("k"))
+    each = each.join(keys, F.col("ref") == F.col("of")).drop("of")
     listed = each.groupBy(F.col("source").alias("project"), *KEY).agg(F.array_sort(F.collect_list(F.struct("k", "ref"))).alias("r"))
     return listed.select("project", *KEY, F.transform("r", lambda x: x["ref"]).alias("refs"), F.size("r").cast("bigint").alias("qty"))

@@ -21,16 +21,23 @@ def _placed(events: DataFrame) -> DataFrame:
 def take_in(projects: DataFrame, pages: DataFrame | None = None) -> dict[str, DataFrame]:
     """``projects`` (slot, source, method, payload, path); ``pages`` of the slots that are PDFs (see sources.pdf).
 
-    events: all part events; stats: (slot, lines_read, parts_found); errors: (slot, error) of slots that could not be
-    read, which count nothing.
+    events: all part events; stats: (slot, lines_read, parts_found), zeros for slots that gave nothing; errors: (slot,
+    error) of slots that could not be read, and of PDF pages that could not.
     """
     routed = dispatch.route(projects)
     lines = ingest.scan_lines(dispatch.text_lines(routed))
     rows = csv.scan_payloads(routed.where("kind = 'csv'").select("slot", "source", "payload"))
     events = _placed(ingest.text_events(lines)).unionByName(_placed(ingest.events_of(rows)))
     stats = ingest.stats(lines).unionByName(ingest.stats(rows)).select("slot", "lines_read", "parts_found")
+    errors = routed.where("error IS NOT NULL").select("slot", "error")
     if pages is not None:
+        if "error" in pages.columns:
+            errors = errors.unionByName(pages.where("error IS NOT NULL").select("slot", "error").distinct())
+            pages = pages.where("error IS NULL").drop("error")
         found = pdf.scan(pages)
         events = events.unionByName(_placed(ingest.events_of(found)))
         stats = stats.unionByName(pdf.stats(pages, found))
-    return {"events": events, "stats": stats, "errors": routed.where("error IS NOT NULL").select("slot", "error")}
+    zeros = [F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in ("lines_read", "parts_found")]
+    none = projects.select("slot", F.lit(0).cast("bigint").alias("lines_read"), F.lit(0).cast("bigint").alias("parts_found"))
+    stats = stats.unionByName(none).groupBy("slot").agg(*zeros)
+    return {"events": events, "stats": stats, "errors": errors}

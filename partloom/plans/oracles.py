@@ -203,6 +203,9 @@ DIP = "CASE WHEN contains(upper(value), 'DIP SOCKET') THEN 'DIP Socket' ELSE val
 POLAR = "(category IN ('Diodes', 'Transistors', 'ICs') OR (category = 'Capacitors' AND (contains(value, 'u') OR contains(value, 'µ'))))"
 ORDERED = f"{rank('category')}, coalesce({parse('value')}, 0), value"
 
+#: R2 before R10: each run of digits by its number, after what stands before it.
+NATURAL = r"list_transform(regexp_extract_all(upper(ref), '[^0-9]*[0-9]+|[^0-9]+'), lambda p: {'t': regexp_extract(p, '^([^0-9]*)', 1), 'n': coalesce(TRY_CAST(regexp_extract(p, '([0-9]+)$', 1) AS HUGEINT), -1)})"
+
 ORACLES: dict[str, str] = {
     "shopping_list": BASE + "SELECT * FROM shopping",
     "text_scan_stats": BASE
@@ -223,6 +226,12 @@ ORACLES: dict[str, str] = {
     "inventory_agg": BASE + "SELECT category, value, count(*) AS qty, count(*) FILTER (ref <> '') AS n_refs, min(slot) AS first_slot FROM events GROUP BY ALL",
     "inventory_merge_weighted": BASE + "SELECT category, value, CAST(sum(count) AS BIGINT) AS qty, count(*) FILTER (ref <> '') AS n_refs, min(slot) AS first_slot FROM events JOIN projects USING (slot) GROUP BY ALL",
     "inventory_sources": BASE + "SELECT category, value, source, n FROM by_source",
+    "inventory_sources_weighted": BASE
+    + "SELECT category, value, source, CAST(sum(count) AS BIGINT) AS n FROM (SELECT DISTINCT slot, category, value, kind, CASE WHEN kind = 'pcb' THEN 'PCB' ELSE ref END AS ref FROM events) JOIN projects USING (slot) GROUP BY ALL",
+    "sku_count": BASE + "SELECT count(*) AS skus FROM (SELECT DISTINCT category, value FROM events)",
+    "preset_lookup": f"""SELECT slot, a.key, CASE WHEN k.key IS NULL THEN '' ELSE 'R1 10k # ' || k.key END AS payload FROM (
+        SELECT o_orderkey AS slot, CASE WHEN o_orderkey % 3 = 0 THEN '[None] such' ELSE '[Tayda] Box ' || CAST(o_custkey % 80 AS VARCHAR) END AS key FROM orders) a
+        LEFT JOIN ({PRESET_KEYS.format(orders='orders')}) k ON a.key = k.key""",
     "rename_source": BASE
     + """SELECT category, value, CASE source WHEN 'PedalPCB 1' THEN 'PedalPCB 2' ELSE source END AS source, n FROM by_source s
         WHERE source <> 'PedalPCB 2' OR NOT EXISTS (SELECT 1 FROM by_source o WHERE o.source = 'PedalPCB 1' AND o.category = s.category AND o.value = s.value)""",
@@ -246,7 +255,7 @@ ORACLES: dict[str, str] = {
     "origin_filter": BASE + "SELECT origin, category, part, bom_qty FROM shopping WHERE origin <> 'Hardware Kit' AND NOT regexp_matches(part, 'SOCKET|ADAPTER')",
     "sort_inventory": BASE + f"SELECT category, value, row_number() OVER (ORDER BY {ORDERED}, category) AS place FROM bill",
     "z_height_order": BASE + f"SELECT category, value, {z('category', 'value')} AS z, row_number() OVER (ORDER BY {z('category', 'value')}, first_slot, category, value) AS place FROM (SELECT category, value, min(slot) AS first_slot FROM events GROUP BY ALL)",
-    "natural_sort": BASE + "SELECT ref, row_number() OVER (ORDER BY regexp_extract(ref, '^([^0-9]*)', 1), TRY_CAST(regexp_extract(ref, '([0-9]+)', 1) AS BIGINT) NULLS FIRST, ref) AS place FROM (SELECT DISTINCT ref FROM fresh WHERE regexp_matches(ref, '^[A-Z]+[0-9]*$'))",
+    "natural_sort": BASE + "SELECT ref, row_number() OVER (ORDER BY " + NATURAL + ", ref) AS place FROM (SELECT DISTINCT ref FROM fresh)",
     "condense_refs": BASE + "SELECT project, category, value, refs FROM condensed",
     "sticker_grid": BASE
     + f"""SELECT project, code, category, value, qty, label, refs, CAST(n // 30 AS INTEGER) AS page, CAST(n % 30 // 3 AS INTEGER) AS row, CAST(n % 30 % 3 AS INTEGER) AS col FROM (
@@ -254,12 +263,13 @@ ORACLES: dict[str, str] = {
           CASE WHEN qty > 1 THEN '(x' || qty || ') ' ELSE '' END || refs AS refs, row_number() OVER (PARTITION BY project ORDER BY value, category) - 1 AS n
         FROM pieces JOIN condensed USING (project, category, value))""",
     "field_manual": BASE
-    + f"""SELECT project, category, value, qty, notes, polarized, z, substring(CASE WHEN words <> '' AND NOT contains({DIP}, 'DIP Socket') THEN {DIP} || ' [' || words || ']' ELSE {DIP} END, 1, 35) AS shown_value FROM (
+    + f""", listed AS (SELECT project, category, value, string_agg(ref, ', ' ORDER BY {NATURAL}, ref) AS refs FROM sheet GROUP BY ALL)
+        SELECT project, category, value, qty, refs, CASE WHEN length(refs) > 50 THEN substring(refs, 1, 47) || '...' ELSE refs END AS shown_refs, notes, polarized, z, substring(CASE WHEN words <> '' AND NOT contains({DIP}, 'DIP Socket') THEN {DIP} || ' [' || words || ']' ELSE {DIP} END, 1, 35) AS shown_value FROM (
         SELECT *, CASE WHEN notes <> '' THEN replace(notes, '[!] ', '') WHEN polarized THEN 'Polarized' ELSE '' END AS words FROM (
-        SELECT *, CASE WHEN contains(value, 'DIP SOCKET') THEN '[!] Check Size' ELSE '' END AS notes, {POLAR} AS polarized, CAST({z("category", "value")} AS INTEGER) AS z FROM pieces))""",
+        SELECT *, CASE WHEN contains(value, 'DIP SOCKET') THEN '[!] Check Size' ELSE '' END AS notes, {POLAR} AS polarized, CAST({z("category", "value")} AS INTEGER) AS z FROM pieces JOIN listed USING (project, category, value)))""",
     "serialize_inventory": BASE
-    + f""", one AS (SELECT * FROM events WHERE slot % 50 = 1), placed AS (SELECT category, value, count(*) AS qty, count(*) FILTER (ref <> '') AS n, row_number() OVER (ORDER BY {ORDERED}, category) AS place FROM one GROUP BY category, value)
-        SELECT CAST(place AS INTEGER) AS "at", CAST(row_number() OVER (PARTITION BY place ORDER BY slot, {AT}, pos, kind, ref) - 1 AS INTEGER) AS pos, ref || ' ' || value AS line FROM one JOIN placed USING (category, value) WHERE ref <> ''
+    + f""", placed AS (SELECT category, value, count(*) AS qty, count(*) FILTER (ref <> '') AS n, row_number() OVER (ORDER BY {ORDERED}, category) AS place FROM events GROUP BY category, value)
+        SELECT CAST(place AS INTEGER) AS "at", CAST(row_number() OVER (PARTITION BY place ORDER BY slot, {AT}, pos, kind, ref) - 1 AS INTEGER) AS pos, ref || ' ' || value AS line FROM events JOIN placed USING (category, value) WHERE ref <> ''
         UNION ALL SELECT CAST(place AS INTEGER), 0, value || ' (Qty: ' || qty || ')' FROM placed WHERE n = 0""",
     "slot_names": BASE + "SELECT slot, source FROM projects",
     "locked_names": BASE + "SELECT slot, CASE WHEN trim(name) <> '' THEN name WHEN slot % 3 = 0 THEN 'Title ' || CAST(slot AS VARCHAR) ELSE source END AS locked_name FROM projects",
@@ -269,7 +279,7 @@ ORACLES: dict[str, str] = {
         FROM (SELECT DISTINCT value FROM events WHERE category = 'Hardware/Misc' AND value IN ('ADAPTER', 'SOCKET8'))""",  # noqa: RUF001
     "first_preset": f"SELECT min(key) AS full_key FROM ({PRESET_KEYS.format(orders='orders')}) WHERE regexp_matches(key, '{KEY}')",
     "csv_payloads": CSV
-    + """SELECT b.slot, b.n AS lines_read, coalesce(p.n, 0) AS parts_found, b.n - coalesce(g.n, 0) AS residuals FROM (SELECT slot, count(*) AS n FROM bom WHERE slot % 3 = 0 GROUP BY slot) b
+    + """SELECT b.slot, b.n AS lines_read, coalesce(p.n, 0) AS parts_found, b.n - coalesce(g.n, 0) AS residuals FROM (SELECT slot, count(*) AS n FROM bom GROUP BY slot) b
         LEFT JOIN (SELECT slot, count(*) AS n FROM parts GROUP BY slot) p USING (slot) LEFT JOIN (SELECT slot, count(*) AS n FROM perline GROUP BY slot) g USING (slot)""",
     "dup_projects": BASE + "SELECT name, count(*) AS n FROM projects WHERE trim(name) <> '' GROUP BY name HAVING count(*) > 1",
     "archive_manifest": BASE
@@ -286,7 +296,7 @@ ORACLES: dict[str, str] = {
     + """SELECT b.slot, b.n AS lines_read, coalesce(p.n, 0) AS parts_found, b.n - coalesce(g.n, 0) AS residuals FROM (SELECT slot, count(*) AS n FROM bom GROUP BY slot) b
         LEFT JOIN (SELECT slot, count(*) AS n FROM parts GROUP BY slot) p USING (slot) LEFT JOIN (SELECT slot, count(*) AS n FROM perline GROUP BY slot) g USING (slot)""",
     "pdf_tables": BASE
-    + f"SELECT slot, regexp_extract(line, '{TOKEN}', 1) AS ref_raw, regexp_extract(line, '{TOKEN}', 2) AS val_raw FROM bom WHERE slot % 7 < 4 AND slot % 2 = 0 AND regexp_matches(line, '{TOKEN}')",
-    "pdf_title": BASE + "SELECT DISTINCT slot, 'Big Drive' AS title FROM bom WHERE slot % 7 < 4",
+    + f"SELECT slot, regexp_extract(line, '{TOKEN}', 1) AS ref_raw, regexp_extract(line, '{TOKEN}', 2) AS val_raw FROM bom WHERE slot % 2 = 0 AND regexp_matches(line, '{TOKEN}')",
+    "pdf_title": BASE + "SELECT DISTINCT slot, 'Big Drive' AS title FROM bom",
     "page_route": "SELECT page_id, CASE WHEN html IS NULL OR html = '' THEN 'empty' WHEN ends_with(lower(trim(url)), '.pdf') OR starts_with(html, '%PDF') THEN 'pdf' ELSE 'text' END AS kind FROM pages",
 }

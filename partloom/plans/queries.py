@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import wraps
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import refs as R
@@ -13,6 +13,7 @@ from ..functions import units as U
 from ..functions.search import bare_pot, pedalpcb_url, search_term, tayda_url
 from ..operators import ingest, inventory, purchasing
 from ..operators.classify import with_class
+from ..operators.ordering import numbered
 from ..sources import csv, dispatch, pdf, presets, text
 from . import adapters, reports, shopping
 
@@ -172,6 +173,24 @@ def inventory_sources(d):
     return d.by_source.select("category", "value", "source", "n")
 
 
+@query
+def inventory_sources_weighted(d):
+    return inventory.sources(d.named, d.projects).select("category", "value", "source", "n")
+
+
+@query
+def sku_count(d):
+    return inventory.sku_count(d.events)
+
+
+@query
+def preset_lookup(d):
+    """Each project asks for a key; a third of them for one that the library lacks."""
+    library = d.keys.select(F.col("key").alias("full_key"), F.concat(F.lit("R1 10k # "), "key").alias("bom_text"))
+    asked = F.when(F.col("o_orderkey") % 3 == 0, F.lit("[None] such")).otherwise(F.concat(F.lit("[Tayda] Box "), (F.col("o_custkey") % 80).cast("string")))
+    return presets.lookup(d.table("orders").select(F.col("o_orderkey").alias("slot"), asked.alias("key")), library)
+
+
 @query
 def rename_source(d):
     return inventory.rename_source(d.by_source.select("category", "value", "source", "n"), "PedalPCB 1", "PedalPCB 2")
@@ -247,22 +266,19 @@ def origin_filter(d):
 
 @query
 def sort_inventory(d):
-    place = F.row_number().over(Window.orderBy(*inventory.display_order(), "category"))
-    return d.bill.select("category", "value", place.cast("bigint").alias("place"))
+    return numbered(d.bill.select("category", "value"), *inventory.display_order(), "category")
 
 
 @query
 def z_height_order(d):
     rows = inventory.aggregate(d.events).withColumn("z", inventory.z_rank("category", "value"))
-    place = F.row_number().over(Window.orderBy("z", "first_slot", "category", "value"))
-    return rows.select("category", "value", "z", place.cast("bigint").alias("place"))
+    return numbered(rows, "z", "first_slot", "category", "value").select("category", "value", "z", "place")
 
 
 @query
 def natural_sort(d):
-    rows = d.scanned.where("fresh").select("ref").where(F.col("ref").rlike("^[A-Z]+[0-9]*$")).distinct()
-    place = F.row_number().over(Window.orderBy(R.natural_key("ref"), "ref"))
-    return rows.select("ref", place.cast("bigint").alias("place"))
+    rows = d.scanned.where("fresh").select("ref").distinct().withColumn("k", R.natural_key("ref"))
+    return numbered(rows, "k", "ref").select("ref", "place")
 
 
 @query
@@ -277,7 +293,8 @@ def sticker_grid(d):
 
 @query
 def field_manual(d):
-    return reports.field_manual(d.named).select("project", "category", "value", "qty", "notes", "polarized", "z", "shown_value")
+    sheet = reports.field_manual(d.named)
+    return sheet.select("project", "category", "value", "qty", F.array_join("refs", ", ").alias("refs"), "notes", "polarized", "z", "shown_value", "shown_refs")
 
 
 @query
@@ -292,7 +309,8 @@ def slot_names(d):
 
 @query
 def locked_names(d):
-    titles = d.table("orders").where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("slot"), F.concat(F.lit("Title "), F.col("o_orderkey").cast("string")).alias("title"))
+    title = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("Title "), F.col("o_orderkey").cast("string")))  # two of three have none
+    titles = d.table("orders").select(F.col("o_orderkey").alias("slot"), title.alias("title"))
     return dispatch.locked_names(d.projects.drop("source").withColumn("slot_idx", F.col("slot")), titles).select("slot", "locked_name")
 
 

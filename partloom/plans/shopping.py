@@ -86,14 +86,19 @@ def write_csv(rows: DataFrame, path: str) -> None:
     rows.coalesce(1).write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').option("lineSep", "\r\n").csv(path)
 
 
-def csv_bytes(rows: DataFrame) -> bytes:
-    """A list as one spreadsheet download: byte order mark, CRLF. Rows are streamed to the driver one by one."""
+def csv_text(columns: list[str], rows) -> bytes:
+    """Rows as a spreadsheet: byte order mark, CRLF."""
     import csv
     import io
 
     buf = io.StringIO()
     out = csv.writer(buf)
-    out.writerow(rows.columns)
-    for r in rows.toLocalIterator():
+    out.writerow(columns)
+    for r in rows:
         out.writerow(["" if x is None else x for x in r])
     return buf.getvalue().encode("utf-8-sig")
+
+
+def csv_bytes(rows: DataFrame) -> bytes:
+    """A list as one spreadsheet download. Rows are streamed to the driver one by one."""
+    return csv_text(rows.columns, rows.toLocalIterator())

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import nonempty, strip
 from ..functions.units import normalize, parse_value
-from ..operators.ingest import resolve
+from ..operators.ingest import dealt, resolve
 
 REF_HEADERS = ["ref", "designator", "part", "location"]
 VALUE_HEADERS = ["value", "val", "description"]
@@ -45,7 +45,7 @@ def scan_bom(rows: DataFrame, slot=None, source=None, order=None) -> DataFrame:
         F.when(both, value).alias("val_raw"),
         F.lit(None).cast("string").alias("pcb"),
     )
-    out = resolve(out)
+    out = resolve(dealt(out))
     return out.withColumn("rejected", (F.col("found") == 0) & (F.coalesce("pos", F.lit(0)) == 0))
 
 
@@ -85,5 +85,5 @@ def scan_payloads(slots: DataFrame) -> DataFrame:
     rows = rows.withColumns({"r": F.when(plain, nonempty(F.get("cells", F.lit(0)))).otherwise(F.col("r")), "v": F.when(plain, nonempty(F.get("cells", F.lit(1)))).otherwise(F.col("v"))})
     both = F.col("r").isNotNull() & F.col("v").isNotNull()
     out = rows.select("slot", "source", F.struct(F.lit(0).alias("phase"), F.col("at").cast("bigint").alias("at")).alias("ordinal"), "line", F.when(both, F.col("r")).alias("ref_raw"), F.when(both, F.col("v")).alias("val_raw"), F.lit(None).cast("string").alias("pcb"))
-    out = resolve(out)
+    out = resolve(dealt(out))
     return out.withColumn("rejected", (F.col("found") == 0) & (F.coalesce("pos", F.lit(0)) == 0))

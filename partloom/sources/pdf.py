@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.knowledge import IGNORE_VALUES, KEYWORDS, PDF_PREFIXES, TITLE_IGNORE
 from ..functions.text import contains_any, has_digit, starts_any, strip
-from ..operators.ingest import resolve
+from ..operators.ingest import dealt, resolve
 
 SCHEMA = "slot bigint, source string, page int, text string, tables array<array<array<string>>>, words array<struct<text:string,size:double,top:double,x0:double>>"
 REF_HEADS, VALUE_HEADS = ["LOCATION", "REF", "DESIGNATOR", "PART"], ["VALUE", "VAL", "DESCRIPTION"]
@@ -70,17 +70,20 @@ def text_matches(pages: DataFrame, strict: bool) -> DataFrame:
 def scan(pages: DataFrame) -> DataFrame:
     """All candidates resolved: tables first, then text, which is read loosely where no table gave a part."""
     tables = table_rows(pages)
+    tables = dealt(tables)
     by_table = resolve(tables).groupBy("slot").agg(F.max("valid").alias("some"))
     have = by_table.where("some").select("slot")
     loose = text_matches(pages.join(have, "slot", "left_anti"), strict=False)
     strict = text_matches(pages.join(have, "slot", "left_semi"), strict=True)
-    return resolve(tables.unionByName(loose).unionByName(strict))
+    return resolve(tables.unionByName(dealt(loose.unionByName(strict))))
 
 
 def stats(pages: DataFrame, resolved: DataFrame) -> DataFrame:
-    """(slot, lines_read, parts_found): lines are table rows."""
+    """(slot, lines_read, parts_found) of all slots of ``pages``: lines are table rows."""
     read = F.sum(((F.col("ordinal.phase") == 0) & (F.coalesce("pos", F.lit(0)) == 0)).cast("bigint"))
-    return resolved.groupBy("slot").agg(read.alias("lines_read"), F.sum(F.col("valid").cast("bigint")).alias("parts_found"))
+    counted = resolved.groupBy("slot").agg(read.alias("lines_read"), F.sum(F.col("valid").cast("bigint")).alias("parts_found"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
+    return pages.select("slot").distinct().join(counted, "slot", "left").select("slot", zero("lines_read"), zero("parts_found"))
 
 
 def titles(pages: DataFrame) -> DataFrame:

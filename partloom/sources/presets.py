@@ -59,6 +59,13 @@ def labels(meta: DataFrame, source: str = "All", category: str = "All") -> DataF
     return kept.select("full_key", F.when(extra == "", F.col("name")).otherwise(F.concat("name", F.lit("  ("), extra, F.lit(")"))).alias("label"))
 
 
+def lookup(slots: DataFrame, library: DataFrame) -> DataFrame:
+    """``slots`` (slot, key) with the ``payload`` that the library (full_key, bom_text) has under the key; unknown keys
+    and no key give an empty one."""
+    found = library.select(F.col("full_key").alias("key"), F.col("bom_text").alias("payload"))
+    return slots.join(found, "key", "left").select(*slots.columns, F.coalesce("payload", F.lit("")).alias("payload"))
+
+
 def first(meta: DataFrame) -> DataFrame:
     """The key that a new slot shows."""
     return meta.select(F.min("full_key").alias("full_key"))

@@ -237,8 +237,9 @@ def ranges(docs: DataFrame, least: int = 200, hot: int = 256) -> DataFrame:
         large = shared.where(F.col("kinds") > hot)
         if not length or large.isEmpty():
             break
-        counted = save(_shared(_cut(large, length, least)), "cut")
-        discard(shared)
+        cut = save(_cut(large, length, least), "cut")  # read several times to count it
+        counted = save(_shared(cut), "segments")
+        discard(shared, cut)
         out.append(_whole(counted, least))
         shared = save(_examples(counted), "examples")
     discard(shared)

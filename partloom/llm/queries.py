@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, html, langid, licenses, mixing, packing, quality, repeats, simhash, topk
+from . import ann, html, langid, licenses, mixing, packing, prefixtrie, quality, repeats, simhash, sql, topk
 from .common import by_crc, table
 
 
@@ -69,9 +69,15 @@ def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), "kept_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_exact_top_k, op3_quality_classifier, op4_mixing, op5_language_id, op6_best_fit_packing, op7_license_scan, op8_simhash_near_dedup, op9_embedding_near_dedup, op10_repeated_passages)}
+
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.trie(prefixtrie.rebuilt(table(spark, sf_dir, "conversations")))
+
+
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_exact_top_k, op3_quality_classifier, op4_mixing, op5_language_id, op6_best_fit_packing, op7_license_scan, op8_simhash_near_dedup, op9_embedding_near_dedup, op10_repeated_passages, op11_conversation_trie)}
 
 ORACLES: dict[str, str] = {
+    "op11_conversation_trie": sql.TRIE,
     "op2_exact_top_k": """
         WITH whole AS (
             SELECT vec_id, list_transform(embedding, lambda x: floor(256.0 * CAST(x AS DOUBLE))) AS v

@@ -3,11 +3,21 @@
 from __future__ import annotations
 
 
+def _halves() -> list[int]:
+    """What crc32 adds for each half byte."""
+    out = []
+    for x in range(16):
+        for _ in range(4):
+            x = (x >> 1) ^ (0xEDB88320 * (x & 1))
+        out.append(x)
+    return out
+
+
 def crc(x: str) -> str:
-    """crc32 (unsigned) of an ASCII text, bit by bit: the SQL dialect has no function for it."""
-    codes = f"list_transform(range(1, length({x}) + 1), lambda i: CAST(ascii(substr({x}, i, 1)) AS BIGINT))"
-    byte = "list_reduce(list_prepend(xor(a, b), range(8)), lambda y, z: xor(y >> 1, 3988292384 * (y & 1)))"
-    return f"xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {codes}), lambda a, b: {byte}))"
+    """crc32 (unsigned) of a text's UTF-8, half byte by half byte, the lower first: the dialect has no function for it."""
+    h = f"hex(encode({x}))"
+    halves = f"list_transform(range(0, length({h})), lambda i: CAST(instr('0123456789ABCDEF', substr({h}, CASE WHEN i % 2 = 0 THEN i + 2 ELSE i END, 1)) - 1 AS BIGINT))"
+    return f"xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {halves}), lambda a, b: xor(a >> 4, list_extract({_halves()}, 1 + (xor(a, b) & 15)))))"
 
 
 TRIE = f"""
@@ -43,3 +53,29 @@ TRIE = f"""
            CAST(saved AS BIGINT) AS saved_tokens, coalesce(ends, sha256('')) AS ends_sha256
     FROM whole w JOIN below USING (k) LEFT JOIN ends USING (k) LEFT JOIN nodes p ON p.k = w.up
 """
+
+SPELLING = f"""
+    WITH RECURSIVE found AS (
+        SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\u00c0-\u00ff]{{6,}}')) AS run FROM documents
+    ), counted AS (SELECT doc_id, run, count(*) AS n FROM found GROUP BY ALL),
+    marked AS (SELECT *, {crc("CAST(doc_id AS VARCHAR) || ':' || run")} AS h FROM counted),
+    changed AS (
+        SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM marked
+    ), words AS MATERIALIZED (
+        SELECT word, CAST(sum(n) AS BIGINT) AS n FROM changed GROUP BY word HAVING length(word) >= 6 AND sum(n) >= 5
+    ), gaps AS (
+        SELECT word, n, substr(word, 1, i - 1) AS a, substr(word, i + 1) AS b FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)
+    ), near AS (
+        SELECT x.word, y.word AS other, y.n FROM gaps x JOIN gaps y ON x.a = y.a AND x.b = y.b AND x.word <> y.word
+        UNION SELECT x.word, y.word, y.n FROM gaps x JOIN words y ON x.a || x.b = y.word
+        UNION SELECT y.word, x.word, x.n FROM gaps x JOIN words y ON x.a || x.b = y.word
+    ), best AS (SELECT word, count(*) AS n_near, max(n) AS top FROM near GROUP BY word),
+    chosen AS (
+        SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 5 * w.n THEN top END AS form_n,
+               CASE WHEN top >= 5 * w.n THEN (SELECT min(other) FROM near x WHERE x.word = w.word AND x.n = top) END AS form
+        FROM words w LEFT JOIN best USING (word)
+    ), chain(word, last) AS (
+        SELECT word, word FROM chosen UNION ALL SELECT c.word, x.form FROM chain c JOIN chosen x ON x.word = c.last WHERE x.form IS NOT NULL
+    ), ends AS (SELECT c.word, c.last AS root FROM chain c JOIN chosen x ON x.word = c.last WHERE x.form IS NULL)
+    SELECT word, form, root, n, n_near, form_n FROM chosen JOIN ends USING (word)
+"""

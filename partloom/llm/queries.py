@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, html, langid, licenses, mixing, packing, prefixtrie, quality, repeats, simhash, spelling, sql, topk
+from . import ann, html, katz, langid, licenses, mixing, packing, prefixtrie, quality, repeats, simhash, spelling, sql, topk
 from .common import by_crc, table
 
 
@@ -75,11 +75,16 @@ def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+def op12_katz_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return katz.perplexities(docs, by_crc(docs, "doc_id", 7) == 2).withColumnRenamed("id", "doc_id")
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(spelling.words(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_exact_top_k, op3_quality_classifier, op4_mixing, op5_language_id, op6_best_fit_packing, op7_license_scan, op8_simhash_near_dedup, op9_embedding_near_dedup, op10_repeated_passages, op11_conversation_trie, op13_spelling_variants)}
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_exact_top_k, op3_quality_classifier, op4_mixing, op5_language_id, op6_best_fit_packing, op7_license_scan, op8_simhash_near_dedup, op9_embedding_near_dedup, op10_repeated_passages, op11_conversation_trie, op12_katz_scoring, op13_spelling_variants)}
 
 ORACLES: dict[str, str] = {
     "op11_conversation_trie": sql.TRIE,

@@ -22,11 +22,11 @@ def scratch(spark: SparkSession) -> str:
     return where
 
 
-def save(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back."""
+def save(df: DataFrame, tag: str, codec: str = "snappy") -> DataFrame:
+    """Write ``df`` to the shared folder, compressed by ``codec``, and read it back."""
     spark = df.sparkSession
     path = f"{_workspaces[-1] if _workspaces else scratch(spark) + '/partloom'}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     out = spark.read.schema(df.schema).parquet(path)
     out._partloom_path = path
     return out

@@ -5,13 +5,15 @@ one histogram of at most ``capacity`` counts. The plan is made on that histogram
 fixed or placed at once, and what comes out is a table of slots, each a range of ranks within one size. The
 driver's work does not grow with the corpus; documents are ranked within their size by a two-level count.
 
-Defined cases: null or empty text is a document of the end token alone; repeated rows are packed as often as
+Defined cases: null or empty text is a document of the end token alone; runs of millions of one kind of character
+are taken whole; repeated rows are packed as often as
 they come; null ids are kept; an empty table gives no rows; columns other than the id and the text are ignored.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import zlib
 
 import numpy as np
@@ -24,8 +26,13 @@ from .common import lean, save, tune
 
 #: The word pattern and the printable stand-ins for bytes of this family of byte-level BPE files.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: White space as that pattern means it.
+SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PRINTABLE = [(0x21, 0x7E), (0xA1, 0xAC), (0xAE, 0xFF)]
 
+LONG = 4096
+LONG_SPACE = re.compile(f"[{SPACE}]{{{LONG},}}")
+
 _encoders: dict[int, object] = {}
 
 
@@ -45,13 +52,15 @@ def pattern_of(model: dict) -> str:
     return split[0]["pattern"]["Regex"] if split else PATTERN
 
 
-def encoder(vocabulary: bytes):
+class Encoder:
     """A fast encoder for a byte-level BPE vocabulary file, giving the ids its own library gives (tests compare).
 
     The file's added tokens are matched in texts, as that library does by default. Its merges must be in the order of
-    their ids, which is how this encoder ranks them."""
-    key = zlib.crc32(vocabulary)
-    if key not in _encoders:
+    their ids, which is how this encoder ranks them. The word pattern looks back over a whole run of white space, and
+    its engine gives up on very long ones; so a run of over LONG characters is taken out first. The pattern makes one
+    word of it, without its last character where something else than an added token follows."""
+
+    def __init__(self, vocabulary: bytes):
         import tiktoken
 
         shown = [b for lo, hi in PRINTABLE for b in range(lo, hi + 1)]
@@ -63,12 +72,31 @@ def encoder(vocabulary: bytes):
         pattern, at = pattern_of(model), [model["model"]["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model["model"]["merges"]]
         if any(a >= b for a, b in zip(at, at[1:], strict=False)):
             raise ValueError("merges are not in the order of their ids")
-        _encoders[key] = tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
+        self.added = tuple(special)
+        self.words = tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
+        self.whole = tiktoken.Encoding("whole", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={}) if pattern == PATTERN else None
+
+    def ids(self, text: str) -> np.ndarray:
+        out, at = [], 0
+        for run in LONG_SPACE.finditer(text) if self.whole else ():
+            end = run.end() - (run.end() < len(text) and not text.startswith(self.added, run.end()))
+            out += [self._words(text[at : run.start()]), self.whole.encode_to_numpy(text[run.start() : end], disallowed_special=())]
+            at = end
+        return np.concatenate([*out, self._words(text[at:])])
+
+    def _words(self, text: str) -> np.ndarray:
+        return self.words.encode_to_numpy(text, allowed_special="all", disallowed_special=())
+
+
+def encoder(vocabulary: bytes) -> Encoder:
+    key = zlib.crc32(vocabulary)
+    if key not in _encoders:
+        _encoders[key] = Encoder(vocabulary)
     return _encoders[key]
 
 
-def ids_of(enc, text: str | None, end_id: int) -> np.ndarray:
-    ids = enc.encode_to_numpy(text, allowed_special="all", disallowed_special=()) if text else np.zeros(0, np.uint32)
+def ids_of(enc: Encoder, text: str | None, end_id: int) -> np.ndarray:
+    ids = enc.ids(text) if text else np.zeros(0, np.uint32)
     return np.append(ids, np.uint32(end_id)).astype("<u4")
 
 

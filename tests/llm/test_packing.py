@@ -142,3 +142,13 @@ def test_settings_of_the_file():
     for odd in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {**plain["pre_tokenizer"], "add_prefix_space": True}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"model": {**plain["model"], "unk_token": "?"}}, {"added_tokens": [{**plain["added_tokens"][0], "lstrip": True}]}):
         with pytest.raises(ValueError):
             packing.pattern_of({**plain, **odd})
+
+
+def test_runs_of_millions(spark):
+    """No text ends the query: long runs of white space and of anything else have the library's ids, beside good rows."""
+    from tokenizers import Tokenizer
+
+    library, n = Tokenizer.from_file(queries.tokenizer()), 2_000_000
+    texts = ["a" + " " * n + "b", "\n" * n, "a" + " \n\t\u00a0\u2003" * (n // 5) + "<|endoftext|>x", "x" * n, "\U0001f600" * (n // 4), "good", " " * n + "\n?", "\u3000" * 5000 + "'s" + "\x85" * 4096 + "7" + "\x1c" * 9000 + " " * 4095 + "."]
+    ids = {i: np.array([*library.encode(t, add_special_tokens=False).ids, 2], "<u4") for i, t in enumerate(texts)}
+    check(packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), queries.tokenizer()).collect(), ids)

@@ -9,8 +9,10 @@ anchor has other segments too are compared: their bytes are joined, the Burrows-
 intervals are expanded by backward extension, common prefixes in increasing order, up to ``least``. Where very
 many different segments share an anchor, they are cut into shorter segments keyed by the longer core that their
 strings have in common, and counted again; the last cut is single strings, for which counting is exact. So no
-group grows beyond ``hot`` segments, and none is dropped. Segments and cores are told apart by pairs of 64-bit
-hashes, of the anchor and of the bytes; only what goes through the transform is compared byte for byte. Frequent
+group grows beyond ``hot`` segments, and none is dropped. Segments are told apart by the hash of their
+anchor and a keyed BLAKE2 digest of their bytes, whose key each run draws anew, so that texts cannot be made to
+collide; anchors and cores by hashes that only say what to compare; what goes through the transform is compared byte
+for byte. Results do not depend on the key. Frequent
 anchors and segments are dealt to many tasks; rows alike in id and text give their examples once.
 
 Defined cases: null text is empty; texts below ``least`` bytes lose nothing; repeated rows, with equal or null
@@ -20,6 +22,7 @@ ids too, are other places to each other; an empty table gives no rows; other col
 from __future__ import annotations
 
 import hashlib
+import secrets
 
 import numpy as np
 import pyarrow as pa
@@ -54,8 +57,14 @@ def window_argmin(h: np.ndarray, w: int) -> np.ndarray:
     return (np.minimum(right[: n - w + 1], left[w - 1 : n]) & np.uint64((1 << 24) - 1)).astype(np.int64)
 
 
-def segments(data: np.ndarray, off: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
-    """(row, first start, number of starts, anchor hash, segment hash) of all segments of the rows."""
+def digests(data: np.ndarray, start: np.ndarray, end: np.ndarray, key: bytes) -> np.ndarray:
+    """Keyed BLAKE2 of each byte range: nobody can make two of equal digest without the run's own random key."""
+    raw = data.tobytes()
+    return np.frombuffer(b"".join([hashlib.blake2b(raw[x:y], digest_size=8, key=key).digest() for x, y in zip(start.tolist(), end.tolist(), strict=True)]), "<u8")
+
+
+def segments(data: np.ndarray, off: np.ndarray, least: int, key: bytes) -> tuple[np.ndarray, ...]:
+    """(row, first start, number of starts, anchor hash, segment digest) of all segments of the rows."""
     w = least - GRAM + 1
     if len(data) < least:
         return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
@@ -71,11 +80,11 @@ def segments(data: np.ndarray, off: np.ndarray, least: int) -> tuple[np.ndarray,
     bounds = np.flatnonzero(np.append(edge | ~ok, True))
     n = bounds[np.searchsorted(bounds, first, "right")] - first
     a = anchor[first]
-    s = span(pre, first, first + n + least - 1) + mixed((a - first).astype(np.uint64) * np.uint64(1 << 32) + n.astype(np.uint64))
+    s = digests(data, first, first + n + least - 1, key) + mixed((a - first).astype(np.uint64) * np.uint64(1 << 32) + n.astype(np.uint64))
     return row[first], first - off[row[first]], n, h[a], s
 
 
-def _occurrences(docs: DataFrame, least: int) -> DataFrame:
+def _occurrences(docs: DataFrame, least: int, key: bytes) -> DataFrame:
     @lean
     def run(batches):
         for b in batches:
@@ -84,7 +93,7 @@ def _occurrences(docs: DataFrame, least: int) -> DataFrame:
                 own, o = data[off[i] : off[j]], off[i : j + 1] - off[i]
                 for c in range(0, max(1, len(own) - least + 1), CHUNK) if j == i + 1 else (0,):
                     part = own[c : c + CHUNK + least - 1] if j == i + 1 else own
-                    r, lo, n, a, s = segments(part, np.array([0, len(part)]) if j == i + 1 else o, least)
+                    r, lo, n, a, s = segments(part, np.array([0, len(part)]) if j == i + 1 else o, least, key)
                     take = pa.array(r + i)
                     yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(lo + c), pa.array(n), pa.array(a.view(np.int64)), pa.array(s.view(np.int64)), pa.array(np.ones(len(r), np.int64))], names=["kid", "th", "lo", "n", "a", "s", "c"])
 
@@ -189,7 +198,7 @@ def _bytes(docs: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
     return joined.mapInArrow(run, "kid bigint, th bigint, lo bigint, n bigint, a bigint, s bigint, c bigint, kinds bigint, bytes binary")
 
 
-def _cut(rows: DataFrame, length: int, least: int) -> DataFrame:
+def _cut(rows: DataFrame, length: int, least: int, secret: bytes) -> DataFrame:
     """Segments cut at multiples of ``length`` starts before the anchor, keyed by the core their strings share."""
 
     @lean
@@ -215,7 +224,7 @@ def _cut(rows: DataFrame, length: int, least: int) -> DataFrame:
             begin = off[:-1][k]
             core = span(pre, begin + place[k] - block * length, begin + place[k] - (block * length + length - 1) + least)
             key = mixed(a[k].view(np.uint64) + mixed(block.astype(np.uint64) + np.uint64(length << 40))) + core
-            s = span(pre, begin + x0, begin + x1 + least) + mixed((x1 - x0).astype(np.uint64) + (place[k] - x0).astype(np.uint64) * np.uint64(1 << 32))
+            s = digests(data, begin + x0, begin + x1 + least, secret) + mixed((x1 - x0).astype(np.uint64) + (place[k] - x0).astype(np.uint64) * np.uint64(1 << 32))
             got = [data[p:q].tobytes() for p, q in zip((begin + x0).tolist(), (begin + x1 + least).tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(kid[k]), pa.array(th[k]), pa.array(lo[k] + x0), pa.array(x1 - x0 + 1), pa.array(key.view(np.int64)), pa.array(s.view(np.int64)), pa.array(c[k]), pa.array(place[k] - x0), pa.array(got, pa.binary())], names=["kid", "th", "lo", "n", "a", "s", "c", "place", "bytes"])
 
@@ -225,7 +234,8 @@ def _cut(rows: DataFrame, length: int, least: int) -> DataFrame:
 def ranges(docs: DataFrame, least: int = 200, hot: int = 256) -> DataFrame:
     """``docs`` (kid, th, text as bytes) -> the byte ranges (kid, th, lo, hi) to remove; ranges may overlap."""
     spark = docs.sparkSession
-    rows = save(_occurrences(docs, least), "occurrences")
+    key = secrets.token_bytes(16)
+    rows = save(_occurrences(docs, least, key), "occurrences")
     counted = save(_shared(rows), "segments")
     discard(rows)
     release(spark)
@@ -237,7 +247,7 @@ def ranges(docs: DataFrame, least: int = 200, hot: int = 256) -> DataFrame:
         large = shared.where(F.col("kinds") > hot)
         if not length or large.isEmpty():
             break
-        cut = save(_cut(large, length, least), "cut")  # read several times to count it
+        cut = save(_cut(large, length, least, key), "cut")  # read several times to count it
         counted = save(_shared(cut), "segments")
         discard(shared, cut)
         out.append(_whole(counted, least))

@@ -92,3 +92,18 @@ def test_other_columns_of_any_name(spark):
     assert got.columns == df.columns
     rows = {r.doc_id: r for r in got.collect()}
     assert rows[1].text == "" and rows[2].text == "tail" and rows[2]["row"] == {"k": 2} and rows[1]["a.b"] == 1 and rows[1].n_chars == 0 and rows[2]["c`0"] == 4
+
+
+def test_strings_of_equal_polynomial_hash(spark):
+    """Two strings that the hash of textvec cannot tell apart, found by lattice reduction: nothing repeats, nothing goes."""
+    from partloom.llm.textvec import prefix, span
+
+    start = ("0123456789" * 20)[:178]
+    pair = [start + "k" * 22, start + "kmikmhhinnlnlnlkkhokoi"]
+    hashes = [span(prefix(np.frombuffer(t.encode(), np.uint8)), np.array([0]), np.array([200]))[0] for t in pair]
+    assert hashes[0] == hashes[1]
+    for texts in (pair, [*pair, pair[0]], [t + f" {i}" for i, t in enumerate(pair * 3)]):
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        for hot in (256, 1):
+            got = {r.doc_id: (r.n_bytes, r.n_removed, len(r.spans), r.kept_sha256) for r in repeats.remove(df, 200, hot).collect()}
+            assert got == dict(enumerate(brute(texts, 200)))

@@ -292,6 +292,7 @@ ORACLES: dict[str, str] = {
     "document_scan": r"""
         SELECT doc_id AS slot, count(*) AS lines_read, count(*) FILTER (regexp_matches(line, '^[a-zA-Z0-9_\-]+[\s,]+[0-9a-zA-Z./\-]+')) AS tokens
         FROM (SELECT doc_id, trim(unnest(string_split(text, chr(10))), ' ' || chr(9) || chr(13)) AS line FROM documents) WHERE line <> '' GROUP BY doc_id""",
+    "csv_file_scan": "SELECT doc_id, nullif(source, '') AS source, length(coalesce(text, '')) AS n_chars, md5(coalesce(text, '')) AS text_md5 FROM documents",
     "csv_scan": CSV
     + """SELECT b.slot, b.n AS lines_read, coalesce(p.n, 0) AS parts_found, b.n - coalesce(g.n, 0) AS residuals FROM (SELECT slot, count(*) AS n FROM bom GROUP BY slot) b
         LEFT JOIN (SELECT slot, count(*) AS n FROM parts GROUP BY slot) p USING (slot) LEFT JOIN (SELECT slot, count(*) AS n FROM perline GROUP BY slot) g USING (slot)""",

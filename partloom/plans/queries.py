@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import storage
 from ..functions import refs as R
 from ..functions import units as U
 from ..functions.search import bare_pot, pedalpcb_url, search_term, tayda_url
@@ -374,6 +376,17 @@ def page_route(d):
     return dispatch.route(pages).select(F.col("slot").alias("page_id"), "kind")
 
 
+@query
+def csv_file_scan(d):
+    """All documents written as one CSV folder, texts with their line breaks and quotes, and read back record by record."""
+    folder = f"{storage.scratch(d.spark)}/partloom/csv-{uuid.uuid4().hex}"
+    docs = d.table("documents").select("doc_id", "text", "source")
+    docs.write.csv(folder, header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    back = csv.read(d.spark, f"{folder}/*.csv")
+    text = F.coalesce("text", F.lit(""))
+    return back.select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", F.length(text).cast("bigint").alias("n_chars"), F.md5(text).alias("text_md5"))
+
+
 @query
 def csv_scan(d):
     rows = d.lines.select(F.regexp_extract("line", ingest.TOKEN, 1).alias("Designator"), F.regexp_extract("line", ingest.TOKEN, 2).alias("Description"), "slot", "ordinal")

@@ -301,3 +301,7 @@ ORACLES: dict[str, str] = {
     "pdf_title": BASE + "SELECT DISTINCT slot, 'Big Drive' AS title FROM bom",
     "page_route": "SELECT page_id, CASE WHEN html IS NULL OR html = '' THEN 'empty' WHEN ends_with(lower(trim(url)), '.pdf') OR starts_with(html, '%PDF') THEN 'pdf' ELSE 'text' END AS kind FROM pages",
 }
+
+ORACLES["mixed_intake"] = f"""SELECT slot, lines_read, parts_found, CAST(NULL AS VARCHAR) AS error FROM ({ORACLES["text_scan_stats"]}) WHERE slot % 4 = 0
+    UNION ALL SELECT slot, lines_read, parts_found, NULL FROM ({ORACLES["csv_payloads"]}) WHERE slot % 4 IN (1, 2)
+    UNION ALL SELECT DISTINCT l_orderkey, 0, 0, 'Unknown Method' FROM lineitem WHERE l_orderkey % 4 = 3"""

@@ -17,7 +17,7 @@ from ..operators import ingest, inventory, purchasing
 from ..operators.classify import with_class
 from ..operators.ordering import numbered
 from ..sources import csv, dispatch, pdf, presets, text
-from . import adapters, reports, shopping
+from . import adapters, intake, reports, shopping
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -332,12 +332,16 @@ def first_preset(d):
     return presets.first(presets.metadata(d.keys, "key"))
 
 
+def _csv_texts(lines: DataFrame) -> DataFrame:
+    """Each project's lines as one CSV text."""
+    of = lines.select("slot", "ordinal", F.concat(F.regexp_extract("line", ingest.TOKEN, 1), F.lit(',"'), F.regexp_extract("line", ingest.TOKEN, 2), F.lit('"')).alias("row"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "row"))), lambda x: x["row"]), "\r\n")
+    return of.groupBy("slot").agg(F.concat(F.lit("\ufeffRef,Value\r\n"), body).alias("payload"))
+
+
 @query
 def csv_payloads(d):
-    of = d.lines.select("slot", "ordinal", F.concat(F.regexp_extract("line", ingest.TOKEN, 1), F.lit(',"'), F.regexp_extract("line", ingest.TOKEN, 2), F.lit('"')).alias("row"))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "row"))), lambda x: x["row"]), "\r\n")
-    slots = of.groupBy("slot").agg(F.concat(F.lit("\ufeffRef,Value\r\n"), body).alias("payload")).withColumn("source", F.lit("CSV"))
-    return ingest.stats(csv.scan_payloads(slots))
+    return ingest.stats(csv.scan_payloads(_csv_texts(d.lines).withColumn("source", F.lit("CSV"))))
 
 
 @query
@@ -416,6 +420,18 @@ def pdf_regex_scan(d):
     return pdf.stats(pages, pdf.scan(pages))
 
 
+@query
+def mixed_intake(d):
+    """All projects at once, by slot: pasted text, CSV uploads, PDF tables, and a method that does not exist."""
+    of, kind = d.lines, F.col("slot") % 4
+    one = of.groupBy("slot", "source").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "line"))), lambda x: x["line"]), "\n").alias("text"))
+    sheets = _csv_texts(of).withColumnRenamed("payload", "sheet")
+    method = F.when(kind == 0, "Paste Text").when(kind == 1, "Upload File").when(kind == 3, "Fax")
+    slots = one.join(sheets, "slot").select("slot", "source", method.alias("method"), F.when(kind == 1, F.col("sheet")).otherwise(F.col("text")).alias("payload"), F.when(kind == 1, "parts.csv").alias("path"))
+    got = intake.take_in(slots.where("method IS NOT NULL"), _pages(d).where(kind == 2).withColumn("text", F.lit("")))
+    return got["stats"].join(got["errors"], "slot", "left").select("slot", "lines_read", "parts_found", "error")
+
+
 @query
 def pdf_title(d):
     return pdf.titles(_pages(d))

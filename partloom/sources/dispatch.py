@@ -33,15 +33,6 @@ def text_lines(routed: DataFrame) -> DataFrame:
     return lines(routed.where("kind = 'text'").select("slot", "source", "payload"))
 
 
-def fetch(url: str, timeout: float = 10.0) -> tuple[bytes, bool]:
-    """Content of one address, and whether it is a PDF; raises what goes wrong."""
-    from urllib.request import urlopen
-
-    with urlopen(url.strip(), timeout=timeout) as r:
-        body = r.read()
-    return body, url.strip().lower().endswith(".pdf") or body.startswith(b"%PDF")
-
-
 def source_names(projects: DataFrame, name: str = "name", index: str = "slot_idx") -> DataFrame:
     """Adds ``source``: the slot's name, or a numbered placeholder where it is blank."""
     given = F.coalesce(F.col(name), F.lit(""))

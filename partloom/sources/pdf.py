@@ -47,8 +47,11 @@ def text_matches(pages: DataFrame, strict: bool) -> DataFrame:
     """Candidates of the page text: references or control names, each followed by a value; null where unusable."""
     words = "|".join(rf"\b{k}\b" for k in KEYWORDS)
     ref = words if strict else rf"\b[A-Z]{{1,4}}\d+\b|{words}"
-    mark = F.regexp_replace("text", rf"(?iuU)((?:{ref})\s+\S+)", "\u0001$1")
-    parts = pages.where("text <> ''").select("slot", "source", "page", F.posexplode(F.split(mark, "\u0001")).alias("match_no", "part")).where("match_no > 0")
+    # matches are cut apart at a pair of characters that no text has: the first is doubled up differently where it has it
+    escaped = F.replace("text", F.lit("\u0001"), F.lit("\u0001\u0002"))
+    mark = F.regexp_replace(escaped, rf"(?iuU)((?:{ref})\s+\S+)", "\u0001\u0003$1")
+    parts = pages.where("text <> ''").select("slot", "source", "page", F.posexplode(F.split(mark, "\u0001\u0003")).alias("match_no", "part")).where("match_no > 0")
+    parts = parts.withColumn("part", F.replace("part", F.lit("\u0001\u0002"), F.lit("\u0001")))
     whole = rf"(?iuUs)^({ref})\s+(.*)$"
     r, rest = F.upper(F.regexp_extract("part", whole, 1)), F.regexp_extract("part", whole, 2)
     parts = parts.select("slot", "source", "page", "match_no", r.alias("ref_raw"), rest.alias("rest"))
@@ -95,35 +98,36 @@ def titles(pages: DataFrame) -> DataFrame:
     return w.groupBy("slot").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), " ").alias("title"))
 
 
-def extract(files: DataFrame) -> DataFrame:
-    """Binary files (path, content) -> (pages, error) rows, with pdfplumber where it is installed."""
-    fields = f"{SCHEMA}, error string"
+def plumbed(content: bytes):
+    """Pages of a file as (text, tables, words), by pdfplumber: words of the first page alone, for the title."""
+    import io
 
-    def run(frames):
-        import io
+    import pdfplumber
 
-        import pandas as pd
+    with pdfplumber.open(io.BytesIO(content)) as doc:
+        for n, p in enumerate(doc.pages):
+            words = [{k: w[k] for k in ("text", "size", "top", "x0")} for w in p.extract_words(extra_attrs=["size"])] if n == 0 else []
+            yield p.extract_text() or "", p.extract_tables() or [], words
 
+
+def extract(files: DataFrame, reader=plumbed) -> DataFrame:
+    """(slot, source, content) -> pages with an ``error``. ``reader`` turns a file's bytes into pages, one at a time: if
+    it fails before the first the file could not be read, else that page could not, and those before it stay."""
+    fields = f"{SCHEMA}, error string"
+
+    def run(frames):
         for pdf in frames:
             out = []
             for slot, source, content in zip(pdf["slot"], pdf["source"], pdf["content"], strict=True):
+                n = 0
                 try:
-                    import pdfplumber
+                    for text, tables, words in reader(bytes(content)):
+                        out.append((slot, source, n, text, tables, words, None))
+                        n += 1
                 except ImportError:
-                    out.append((slot, source, 0, None, None, None, "File Error: no PDF reader is installed"))
-                    continue
-                try:
-                    doc = pdfplumber.open(io.BytesIO(content))
-                except Exception as e:
-                    out.append((slot, source, 0, None, None, None, f"File Error: {e}"))
-                    continue
-                with doc:
-                    for n, p in enumerate(doc.pages):
-                        try:
-                            words = [{k: w[k] for k in ("text", "size", "top", "x0")} for w in p.extract_words(extra_attrs=["size"])] if n == 0 else []
-                            out.append((slot, source, n, p.extract_text() or "", p.extract_tables() or [], words, None))
-                        except Exception as e:
-                            out.append((slot, source, n, None, None, None, f"Parse Error: {e}"))
-            yield pd.DataFrame(out, columns=["slot", "source", "page", "text", "tables", "words", "error"])
+                    out.append((slot, source, n, None, None, None, "File Error: no PDF reader is installed"))
+                except Exception as e:  # whatever a damaged file makes the reader raise is the slot's error
+                    out.append((slot, source, n, None, None, None, f"{'Parse' if n else 'File'} Error: {e}"))
+            yield type(pdf)(out, columns=["slot", "source", "page", "text", "tables", "words", "error"])
 
     return files.select("slot", "source", "content").mapInPandas(run, fields)

@@ -277,9 +277,6 @@ def test_intake_of_all_kinds(spark, tmp_path):
     assert {(r.slot, r.category, r.value) for r in got["events"].collect()} == {(0, "Resistors", "10k"), (0, "PCB", "Box"), (1, "Resistors", "10k"), (1, "Capacitors", "100n"), (4, "Transistors", "2N3904"), (9, "Resistors", "1k"), (9, "Potentiometers", "A1M")}
     assert {r.slot: (r.lines_read, r.parts_found) for r in got["stats"].collect()} == {0: (2, 2), 1: (3, 2), 4: (1, 1), 2: (0, 0), 3: (0, 0), 9: (1, 2)}
     assert [tuple(r) for r in got["errors"].collect()] == [(2, "Unknown Method")]
-    f = tmp_path / "x.txt"
-    f.write_bytes(b"%PDF-1")
-    assert dispatch.fetch(f.as_uri()) == (b"%PDF-1", True)
     assert inventory.empty(spark).columns == inventory.aggregate(got["events"]).columns
 
 

@@ -197,3 +197,39 @@ def test_license_several_notices_in_one_text(spark):
     for i, t in enumerate(texts):
         labels, score = brute_templates(t)
         assert got[i][0] == labels and got[i][1] == pytest.approx(score), i
+
+
+def test_license_work_follows_the_postings_met():
+    """Hundreds of templates that a text does not meet add no alignments; the rarest key word is looked up first."""
+    text = (GPL_TEXT + " common words " * 50).encode()
+    raw, off = np.frombuffer(text, np.uint8), np.array([0, len(text)])
+    met = []
+    for more in ([], [("x", f"common words [of licence{i} and nothing{i}] else") for i in range(600)]):
+        index = licenses.Index(licenses.PHRASES, licenses.TEMPLATES + more)
+        index.weigh(np.array([1.0 if x in ("common", "words", "of", "and", "license", "the") else 9.0 for x in index.words]))
+        h, row, _, _ = licenses.words_of(raw, off)
+        t, s = index.alignments(index.find(h), row)
+        met.append([(index.entries[x][0], int(y)) for x, y in zip(t, s)])
+        for x in range(len(index.entries)):
+            k = index.place[x] >= 0
+            weights = [9.0 if index.words[y] not in ("common", "words", "of", "and", "license", "the") else 1.0 for y in index.word[x][k]]
+            assert weights == sorted(weights, reverse=True)
+    assert met[0] == met[1] == [("gpl-3", 0)]
+
+
+@pytest.mark.parametrize("text, label", [("// SPDX-License-Identifier: MIT", "mit"), ("BSD 3-Clause License", "bsd-3"), ("Mozilla Public License Version 2.0", "mpl-2"), ("The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", "mit"), ("SPDX-License-Identifier: Apache-2.0", "apache-2")])
+def test_license_short_notices(text, label):
+    data = text.encode()
+    index = licenses.Index(licenses.PHRASES, licenses.TEMPLATES)
+    index.weigh(np.ones(len(index.words)))
+    h, row, _, _ = licenses.words_of(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+    words = licenses.RUN.findall(data.lower())
+    found = {(index.entries[t][0], index.verify(t, s, words)) for t, s in zip(*(x.tolist() for x in index.alignments(index.find(h), row)))}
+    assert (label, 1.0) in found
+
+
+def test_license_words_are_verified():
+    """A place whose words are not the key phrase's, though their hashes say so, is no match."""
+    index = licenses.Index(licenses.PHRASES, licenses.TEMPLATES)
+    index.weigh(np.ones(len(index.words)))
+    assert index.verify(0, 0, b"under the mit licence".split()) is None and index.verify(0, 0, b"under the mit license".split()) == 1

@@ -1,10 +1,10 @@
 """SimHash near-duplicate groups over a byte-position inverted index with count filtering.
 
 Fingerprints that differ in at most ``bits`` of 64 bits agree in at least 8 - bits of their 8 bytes, so a pair
-shares that many postings (position, byte). Postings of one byte grow as 1/256 of the corpus, and tallying them
-pair by pair would grow with its square; so the count filter is in the index: it holds the intersections of the
-postings of every 8 - bits positions (70 for four bits), and two fingerprints meet there if and only if their tally
-of shared positional bytes reaches the guaranteed minimum. Pairs that meet are verified on the bits. A list holds a
+shares that many postings (position, byte). Postings of one byte grow as 1/256 of the corpus, and pairs of one posting
+with its square; so pairs are drawn from the intersections of the postings of every 8 - bits positions (70 for four
+bits), where a pair meets if it can reach the minimum at all. For each pair that meets, its shared postings are
+tallied; pairs below the minimum go, and the others are verified on the bits. A list of an intersection holds a
 fingerprint in 2**32 by chance, so lists stay short in a corpus of billions.
 
 A list that many distinct fingerprints share is cut into blocks, and every pair of blocks is one group of
@@ -66,8 +66,16 @@ def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42, id_col: str =
     return thin.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, key bigint, fp bigint")
 
 
+def tally(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many postings (position, byte) each pair shares: of eight, those where the bytes are equal."""
+    return ((a ^ b).view(np.uint8).reshape(-1, 8) == 0).sum(1)
+
+
 def near(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
-    return np.bitwise_count(a ^ b) <= bits
+    """Pairs that share at least the 8 - bits postings that ``bits`` differing bits must leave, then verified bit by bit."""
+    out = tally(a, b) >= 8 - bits
+    out[out] = np.bitwise_count(a[out] ^ b[out]) <= bits
+    return out
 
 
 def forest(fp: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:

@@ -111,3 +111,18 @@ def test_other_distances(spark, bits):
                 low[a] = low[b] = min(low[a], low[b])
                 changed = True
     assert {i: got.get(i, i) for i in range(len(fps))} == dict(enumerate(low))
+
+
+def test_tally_of_shared_postings_bounds_the_bits():
+    """Shared positional bytes are counted a pair; near pairs always reach the minimum, and not all that do are near."""
+    rng = np.random.default_rng(4)
+    a = rng.integers(0, 1 << 63, 4000, np.uint64)
+    b = a.copy()
+    for _ in range(6):
+        b ^= np.uint64(1) << rng.integers(0, 64, len(b)).astype(np.uint64)
+    shared = simhash.tally(a, b)
+    assert shared.tolist() == [sum(x == y for x, y in zip(int(p).to_bytes(8), int(q).to_bytes(8))) for p, q in zip(a, b)]
+    differ = np.bitwise_count(a ^ b)
+    for bits in (1, 2, 3, 4):
+        assert (shared[differ <= bits] >= 8 - bits).all() and ((shared >= 8 - bits) & (differ > bits)).any()
+        assert (simhash.near(a, b, bits) == (differ <= bits)).all()

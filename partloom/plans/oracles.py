@@ -302,6 +302,33 @@ ORACLES: dict[str, str] = {
     "page_route": "SELECT page_id, CASE WHEN html IS NULL OR html = '' THEN 'empty' WHEN ends_with(lower(trim(url)), '.pdf') OR starts_with(html, '%PDF') THEN 'pdf' ELSE 'text' END AS kind FROM pages",
 }
 
+#: All projects as pages: the table's rows, then matches in the text, loose where the table gave no part.
+_WORDS = "|".join(rf"\b{k}\b" for k in K.KEYWORDS)
+_LOOSE = rf"\b[A-Z]{{1,4}}[0-9]+\b|{_WORDS}"
+_MARKED = " ".join(["CASE WHEN slot IN (SELECT slot FROM have)", *(rf"{when} regexp_replace(text, '(?i)((?:{words})\s+\S+)', chr(1) || '\1', 'g')" for when, words in (("THEN", _WORDS), ("ELSE", _LOOSE))), "END"])
+_LISTED = ", ".join(q(k) for k in K.KEYWORDS)
+PDF = rf"""
+WITH bom AS ({LINES.format(lineitem="lineitem")}),
+have AS (SELECT DISTINCT slot FROM ({CSV} SELECT slot FROM parts) WHERE slot % 2 = 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY slot ORDER BY {AT}) AS nth FROM bom),
+texts AS (SELECT slot, string_agg(line, chr(10) ORDER BY nth) AS text FROM placed GROUP BY slot),
+cutting AS (SELECT slot, string_split({_MARKED}, chr(1)) AS cuts FROM texts),
+matches AS (SELECT slot, unnest(cuts) AS part, generate_subscripts(cuts, 1) AS nth FROM cutting),
+read AS (SELECT slot, nth, upper(regexp_extract(part, '(?is)^({_LOOSE})\s+(.*)$', 1)) AS name, regexp_extract(part, '(?is)^({_LOOSE})\s+(.*)$', 2) AS rest FROM matches WHERE nth > 1),
+taken AS (SELECT *, name IN ({_LISTED}) AS keyword, CASE WHEN name IN ({_LISTED}) OR regexp_matches(name, '^(LDR|POT|VR)') THEN trim(regexp_extract(rest, '^([^\n]*)', 1)) ELSE regexp_extract(rest, '^(\S+)', 1) END AS val FROM read),
+bare AS (SELECT * EXCLUDE (val), CASE WHEN regexp_matches(val, '^\(.*\)$|^\[.*\]$') THEN trim(substr(val, 2, length(val) - 2)) ELSE val END AS val FROM taken),
+usable AS (SELECT * FROM bare WHERE length(val) BETWEEN 1 AND 50 AND NOT regexp_matches(upper(val), '{any_of(K.IGNORE_VALUES)}') AND NOT regexp_matches(val, '(?i)^(?:is|see|note)\s')
+        AND NOT regexp_matches(val, '^[0-9]{{1,2}}[.\-/][0-9]{{1,2}}[.\-/][0-9]{{2,4}}')
+        AND CASE WHEN keyword THEN (regexp_matches(val, '[0-9]') OR regexp_matches(upper(val), 'SPDT|DPDT|3PDT|ON/ON|ON/OFF')) AND NOT regexp_matches(upper(val), '^(IC|DIP|SOIC|PKG|MODULE|PCB|TL|OP|NE5)')
+            AND NOT (regexp_matches(upper(val), 'DIP|SOIC') AND NOT regexp_matches(val, '[0-9]'))
+          ELSE regexp_matches(name, '^({any_of(K.PDF_PREFIXES)})') AND NOT (length(name) >= 3 AND regexp_matches(val, '^[0-9]+$')) END),
+raw AS (SELECT slot, 0 AS at1, nth AS at2, 0 AS at3, 0 AS at4, regexp_extract(line, '{TOKEN}', 1) AS ref_raw, regexp_extract(line, '{TOKEN}', 2) AS val_raw FROM placed WHERE slot % 2 = 0 AND regexp_matches(line, '{TOKEN}')
+    UNION ALL SELECT slot, 1, nth, 0, 0, name, val FROM usable),
+spans AS {BASE.split("spans AS", 1)[1].split("perline AS", 1)[0].rstrip().rstrip(",")}
+"""
+
+ORACLES["pdf_regex_scan"] = PDF + """SELECT b.slot, b.n AS lines_read, coalesce(p.n, 0) AS parts_found FROM (SELECT slot, count(*) FILTER (slot % 2 = 0) AS n FROM bom GROUP BY slot) b
+    LEFT JOIN (SELECT slot, count(*) AS n FROM parts GROUP BY slot) p USING (slot)"""
 ORACLES["mixed_intake"] = f"""SELECT slot, lines_read, parts_found, CAST(NULL AS VARCHAR) AS error FROM ({ORACLES["text_scan_stats"]}) WHERE slot % 4 = 0
     UNION ALL SELECT slot, lines_read, parts_found, NULL FROM ({ORACLES["csv_payloads"]}) WHERE slot % 4 IN (1, 2)
     UNION ALL SELECT DISTINCT l_orderkey, 0, 0, 'Unknown Method' FROM lineitem WHERE l_orderkey % 4 = 3"""

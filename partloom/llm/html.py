@@ -76,7 +76,12 @@ PLAIN = {
 STATES = {"has", "with", "no", "without", "js"}
 #: Elements that may be template inside the main text.
 TEMPLATE = {"div", "section", "span", "ul", "ol", "table", "small"}
+#: Of these, what articles are made of too: template only where nearly all of many pages say the same.
+LISTS = {"ul", "ol", "table"}
+#: Elements of running text: a name alone never drops them.
+PROSE = HEADINGS | {"p", "blockquote", "pre", "dl", "dt", "dd", "figure", "figcaption", "caption"}
 
+LEAD = 60  # characters outside of links from which on a paragraph in the article's header is no byline
 TEXTS = 8  # texts that an element's heavy-hitter count holds, and eight times as many if it repeats on a page
 BODIES = 32  # least hashes that stand for the different pages of a host
 SHOWN = 60  # characters of a fixed text that a wrapper holds, beside its hash
@@ -86,8 +91,8 @@ NODES = 200_000  # elements that a task merges before it hands on its wrappers
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)(?:((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|([^>]*)>)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z][^>]*\Z", re.S)
 ATTR = re.compile(r"(?:^|\s)(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?(?=\s|/|$)", re.I)
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
-#: How sure a name is: nothing, only with many links, alone.
-NONE, WEAK, SURE = 0, 1, 2
+#: How sure a name is: nothing, only with many links, for containers alone; and what is not shown at all.
+NONE, WEAK, SURE, UNSEEN = 0, 1, 2, 3
 
 
 class Node:
@@ -96,7 +101,7 @@ class Node:
     __slots__ = ("aside", "chars", "gone", "hash", "holds", "item", "kids", "kind", "links", "tag")
 
     def __init__(self, tag: str, kind: str, aside: int):
-        self.tag, self.kind, self.aside, self.kids = tag, kind, aside, []
+        self.tag, self.kind, self.aside, self.kids, self.item = tag, kind, aside, [], None
 
 
 def _sure(name: str) -> int:
@@ -120,7 +125,7 @@ def _describe(tag: str, attrs: str) -> tuple[str, int]:
         elif name in ("class", "id", "role"):
             sure = max([sure, *map(_sure, value.split())])
             extra += {"class": ".", "id": "#", "role": "@"}[name] + re.sub(r"\d+", "0", value)
-    return tag + extra, SURE if hidden else NONE if tag in ("html", "body", "main") else sure
+    return tag + extra, UNSEEN if hidden else NONE if tag in ("html", "body", "main") else sure
 
 
 def parse(html: str) -> Node:
@@ -195,6 +200,20 @@ def _chain(h: int, t: str) -> int:
     return xxhash.xxh64_intdigest(t.encode("utf-8", "replace"), h)
 
 
+def _headless(kids: list) -> None:
+    """A heading with such a name goes where the section right after it does: ``Comments`` above the comments."""
+    after = None
+    for k in reversed(kids):
+        if isinstance(k, str):
+            after = k if k.strip() else after
+            continue
+        if k.tag in HEADINGS and k.aside == SURE and isinstance(after, Node) and after.gone and after.tag not in RAW:
+            k.gone = True
+            if k.item is not None:
+                k.item.gone, k.item.chars = True, 0
+        after = k
+
+
 def measure(root: Node, with_items: bool = False) -> Node:
     """Fills in every element's text length, length of link texts, hash of its text, and whether it is no article;
     ``with_items`` its wrapper part too. Elements before their parents, without recursion."""
@@ -206,6 +225,7 @@ def measure(root: Node, with_items: bool = False) -> Node:
     for n in reversed(order):
         chars = links = h = 0
         holds, parts = False, []
+        _headless(n.kids)
         for k in n.kids:
             if isinstance(k, str):
                 t = " ".join((unescape(k) if "&" in k else k).split())
@@ -226,7 +246,7 @@ def measure(root: Node, with_items: bool = False) -> Node:
             chars, links = 0, links + chars
         n.chars, n.links, n.hash, n.holds = chars, links, h, holds
         # elements that hold an article or main element are not taken for its surroundings
-        n.gone = n.tag in ASIDE or (not holds and (n.aside == SURE or (n.aside == WEAK and links >= chars)))
+        n.gone = n.tag in ASIDE or (not holds and (n.aside == UNSEEN or (n.aside == SURE and n.tag not in PROSE) or (n.aside != NONE and links >= chars)))
         if with_items:
             n.item = Item(n.kind, n.tag, n.gone, fold(parts), None, 0 if n.gone else chars, n.links)
             if n.tag in TEMPLATE and not n.gone and chars + links:
@@ -522,7 +542,8 @@ def _template(top: Item, bodies: list[int]) -> list[list]:
             stack += [(d, place, k) for k in reversed(x.kids)]
             continue
         # the same hashes stand for the host's pages and for those that say a text
-        said = [t for t, (_, who) in (x.said or {}).items() if (n := sum(w <= bodies[-1] for w in who)) >= 3 and n > 0.5 * len(bodies)]
+        least, share = (8, 0.9) if x.tag in LISTS else (3, 0.5)
+        said = [t for t, (_, who) in (x.said or {}).items() if (n := sum(w <= bodies[-1] for w in who)) >= least and n > share * len(bodies)]
         lead.append([d, x.kind, place, said])
         if said:
             rows += lead[written:]
@@ -626,8 +647,8 @@ def text_of(nodes: list[Node], part: Part | None) -> str:
             elif k.tag in ("td", "th"):
                 todo += [" ", (k, q, head), " "]
             elif k.tag in BLOCK:
-                # a header has the title, and bylines and the like beside it
-                todo += [None, (k, q, k.tag == "header" or (head and k.tag not in HEADINGS)), None]
+                # a header has the title, often a lead, and bylines and the like beside them
+                todo += [None, (k, q, k.tag == "header" or (head and k.tag not in HEADINGS and not (k.tag == "p" and k.chars >= LEAD))), None]
             else:
                 todo.append((k, q, head))
         todo.reverse()

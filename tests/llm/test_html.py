@@ -102,6 +102,11 @@ def test_deep_and_wide_pages_beside_good_ones(spark):
         ('<main><p class="menu-item-description">Soup of the day</p><div class="share-price">12</div><div class="share-buttons">Tell</div></main>', "Soup of the day\n12"),
         ('<main><p>a</p><div class="related-work"><a href="/1">all</a> <a href="/2">links</a></div><div class="related-work">mostly text <a href="/1">link</a></div></main>', "a\nmostly text link"),
         ('<article><p>one <b title="x>bold</b></p><p>two</p></article>', "one bold\ntwo"),
+        ('<article><h1>Maps</h1><h2 id="search">Search</h2><p>a</p><h2 id="comments">Comments on the law</h2><p>b</p></article>', "Maps\nSearch\na\nComments on the law\nb"),
+        ('<article><p class="share">Each share is worth five.</p><p class="widget">A widget turns.</p><p class="share"><a href="/s">Tell all</a></p></article>', "Each share is worth five.\nA widget turns."),
+        ('<article><blockquote class="reply">Said so.</blockquote><p class="hidden" hidden>never</p></article>', "Said so."),
+        ('<main><p>a</p><h2 id="comments">Comments</h2> <!-- x --> <div id="commentlist">me too</div><h2 id="related">Related</h2></main>', "a\nRelated"),
+        ("<article><header><h1>T</h1><p>By me</p><p>" + "A lead that tells what the article is about. " * 2 + "</p></header><p>b</p></article>", "T\n" + ("A lead that tells what the article is about. " * 2).strip() + "\nb"),
         ("<body><svg><p>after</p>", "after"),
         ("<body><select><option>one<p>after</p>", "after"),
         ("<body><object><p>inside</p>", "inside"),
@@ -144,3 +149,15 @@ def test_same_shared_paragraph_stays():
 def test_cycles_meet_single_rounds():
     w = html.infer(["<body><dl><dt>a</dt><dd>b</dd><dt>c</dt><dd>d</dd></dl></body>", "<body><dl><dt>e</dt><dd>f</dd></dl></body>"])
     assert w["wrapper"] == "<#page><body><dl>((<dt>#SLOT</dt> <dd>#SLOT</dd>))+</dl></body></#page>"
+
+
+@pytest.mark.parametrize("tag", ["ul", "ol", "table"])
+def test_lists_that_some_pages_share_stay(tag):
+    cell = "<tr><td>{}</td></tr>" if tag == "table" else "<li>{}</li>"
+
+    def doc(i, same):
+        return f"<body><article><h1>Title {i}</h1><p>Words of page {i}</p><{tag}>{cell.format('Salt and pepper' if same else f'Own item {i}')}</{tag}></article></body>"
+
+    for pages, same in ((6, 4), (6, 6), (40, 30)):
+        docs = [doc(i, i < same) for i in range(pages)]
+        assert html.extract(docs[0], html.infer(docs)).endswith("\nSalt and pepper")

@@ -29,7 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lean, save, scratch, tune
+from ..operators.ordering import numbered
+from .common import discard, lean, save, scratch, tune
 from .vectors import usable
 
 BINS = 1 << 12
@@ -147,20 +148,20 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "ve
         if length not in longest:
             continue
         of = rows.where(F.size("v") == length)
-        own = asked.where(F.size("v") == length)
-        parts = -(-n // block_rows)
-        for p in range(parts):
-            got = own.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == p).orderBy("id").collect()
-            for i in range(0, len(got), block_rows):
-                part = got[i : i + block_rows]
-                block = {"ids": np.array([r.id for r in part], np.int64), "x": np.array([r.v for r in part], np.int64)}
-                _kth(of, block, k, length, longest[length])
-                shared = spark.sparkContext.broadcast(block)  # at most ``block_rows`` vectors
-                by = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-                best = _take(of, shared, length).withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
-                best.select("query_id", "rank", "id", "score").write.mode("append").parquet(path)
-                shared.destroy()
-                some = True
+        # numbered by ranges of ids, so that all blocks but the last are full and a block is read without the others
+        own = save(numbered(asked.where(F.size("v") == length), "id"), "numbered-queries")
+        for first in range(1, n + 1, block_rows):
+            part = own.where(F.col("place").between(first, first + block_rows - 1)).orderBy("id").collect()
+            block = {"ids": np.array([r.id for r in part], np.int64), "x": np.array([r.v for r in part], np.int64)}
+            _kth(of, block, k, length, longest[length])
+            shared = spark.sparkContext.broadcast(block)  # at most ``block_rows`` vectors
+            by = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+            best = _take(of, shared, length).withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+            best.select("query_id", "rank", "id", "score").write.mode("append").parquet(path)
+            shared.destroy()
+            some = True
+        discard(own)
+    discard(rows, asked)
     return spark.read.schema(kind).parquet(path) if some else spark.createDataFrame([], kind)
 
 

@@ -51,6 +51,17 @@ def test_top_ties_and_edges(spark):
     assert topk.search(df.limit(0), df, k=5).collect() == [] and topk.search(df, df.limit(0), k=5).collect() == []
 
 
+def test_blocks_of_queries_are_full(spark, monkeypatch):
+    rng, sizes = np.random.default_rng(8), []
+    vectors = [(int(i), rng.normal(size=4).tolist()) for i in rng.permutation(5000)[:1000]]
+    find = topk._kth
+    monkeypatch.setattr(topk, "_kth", lambda of, block, *rest: (sizes.append(len(block["ids"])), find(of, block, *rest)))
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").repartition(5)
+    got = topk.search(df, df, k=2, block_rows=300)
+    assert sizes == [300, 300, 300, 100]
+    assert rows_of(got, ["query_id", "rank", "id", "score"]) == brute_top(vectors, [i for i, _ in vectors], 2)
+
+
 def brute_links(vectors):
     ok = {i: np.array(v, float) for i, v in vectors if v and None not in v and np.isfinite(v).all() and np.any(v)}
     n, low = {i: 0 for i, _ in vectors}, {i: i for i, _ in vectors}

@@ -45,17 +45,36 @@ def expand(ref: Column | str) -> Column:
     return F.when(ok & (b < a), F.array().cast("array<string>")).when(ok & (b - a < LONGEST), members).otherwise(F.array(r))
 
 
+#: Ends a text in a natural key; in a text the mark is followed by another character.
+END, MARK, ESCAPED = "\0\0", "\0", "\0\1"
+
+
+def _digits(run: Column) -> Column:
+    """A run of digits so that byte order is order of numbers: digits of its length's length, its length, itself."""
+    bare = F.regexp_replace(run, "^0+", "")
+    size = F.length(bare).cast("string")
+    return F.when(run == "", "").otherwise(F.concat(F.length(size).cast("string"), size, bare))
+
+
 def natural_key(ref: Column | str) -> Column:
-    """Comparable key in which R2 comes before R10."""
-    pieces = F.regexp_extract_all(F.upper(col(ref)), F.lit(r"(\D*\d*)"), F.lit(1))
-    key = lambda p: F.struct(F.regexp_extract(p, r"^(\D*)", 1).alias("t"), F.coalesce(F.regexp_extract(p, r"(\d+)$", 1).try_cast("decimal(38,0)"), F.lit(-1).cast("decimal(38,0)")).alias("n"))
-    return F.transform(F.filter(pieces, lambda p: p != ""), key)
+    """Bytes whose order puts R2 before R10, whatever the length of a run of digits; 01 and 1 are equal.
+
+    Texts and numbers alternate, texts first. A text ends so that it comes before longer ones it begins; no number
+    comes before any. Most references are one text and one number, which needs no loop over pieces."""
+    upper = F.upper(col(ref))
+    piece = lambda p: F.concat(F.replace(F.regexp_extract(p, r"^(\D*)", 1), F.lit(MARK), F.lit(ESCAPED)), F.lit(END), _digits(F.regexp_extract(p, r"(\d*)$", 1)))
+    pieces = F.filter(F.regexp_extract_all(upper, F.lit(r"(\D*\d*)"), F.lit(1)), lambda p: p != "")
+    return F.when(upper.rlike(r"\A\D*\d+\z"), piece(upper)).otherwise(F.array_join(F.transform(pieces, piece), "")).cast("binary")
+
+
+def in_natural_order(refs: Column) -> Column:
+    """The references of an array without repeats, sorted; equal keys by their text."""
+    return F.transform(F.sort_array(F.transform(refs, lambda r: F.struct(natural_key(r).alias("k"), r.alias("r")))), lambda x: x["r"])
 
 
 def dedupe(refs: Column | str) -> Column:
     """Distinct references in natural order; equal keys by their text."""
-    keyed = F.transform(F.array_distinct(col(refs)), lambda r: F.struct(natural_key(r).alias("k"), r.alias("r")))
-    return F.transform(F.array_sort(keyed), lambda x: x["r"])
+    return in_natural_order(F.array_distinct(col(refs)))
 
 
 def condense(refs: Column | str) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.knowledge import CATEGORIES, Z_HEIGHT, Z_LARGE_CAP, Z_OTHER, Z_SMALL_CAP, Z_SOCKET
-from ..functions.refs import natural_key
+from ..functions.refs import in_natural_order
 from ..functions.text import col, nonempty
 from ..functions.units import bulky, parse_value
 
@@ -110,15 +110,11 @@ def z_rank(category: Column | str, value: Column | str) -> Column:
 def project_parts(rows: DataFrame) -> DataFrame:
     """(project, category, value, refs, qty): parts of each project with their distinct references in natural order.
 
-    ``rows``: events under their projects' names, or what sources() gives of them. References are made distinct as
-    rows, which combines before the exchange, and only then listed."""
+    ``rows``: events under their projects' names, or what sources() gives of them. Repeats go before the exchange
+    and after it; there is one."""
     if "refs" in rows.columns:
         each = rows.select("source", *KEY, F.explode("refs").alias("ref"))
     else:
         each = rows.select("source", *KEY, F.when(F.col("kind") == "pcb", "PCB").otherwise(F.col("ref")).alias("ref")).where("ref <> ''")
-    each = each.distinct()
-    # references repeat from project to project: each is given its key once
-    keys = each.select("ref").distinct().select(F.col("ref").alias("of"), natural_key("ref").alias("k"))
-    each = each.join(keys, F.col("ref") == F.col("of")).drop("of")
-    listed = each.groupBy(F.col("source").alias("project"), *KEY).agg(F.array_sort(F.collect_list(F.struct("k", "ref"))).alias("r"))
-    return listed.select("project", *KEY, F.transform("r", lambda x: x["ref"]).alias("refs"), F.size("r").cast("bigint").alias("qty"))
+    listed = each.groupBy(F.col("source").alias("project"), *KEY).agg(F.collect_set("ref").alias("r"))
+    return listed.select("project", *KEY, in_natural_order(F.col("r")).alias("refs"), F.size("r").cast("bigint").alias("qty"))

@@ -314,3 +314,22 @@ def test_streamed_lines(spark, tmp_path):
     q.awaitTermination(120)
     got = sorted((r.slot, r.ref, r.category) for r in spark.table("found").collect())
     assert [g[:2] for g in got] == [(1, "R1"), (1, "R2"), (2, "R1")] and {g[2] for g in got} == {"Resistors"}
+
+
+def test_natural_order_of_any_length(spark):
+    """Against Python's own numbers: long runs, leading zeros, several runs, marks inside, nothing at all."""
+    import random
+
+    rng = random.Random(3)
+    refs = ["R" + "9" * 39, "R2", "R1" + "0" * 300, "R" + "9" * 300, "R10", "r3", "R02", "", "R", "R-", "RR1", "1", "01", "R\0", "R\0\0" + "1", "R\0" + "2", "A1B10", "A1B9", "A01B9", "A1", "A1\n", "é5", "É5"]
+    refs += ["".join(rng.choice(["R", "C", "0", "1", "9", "12", "000", "-", "\0", "x" * 3]) for _ in range(rng.randrange(8))) for _ in range(400)]
+
+    def key(r):
+        pieces = [p for p in re.findall(r"[^0-9]*[0-9]*", r.upper()) if p]
+        return [((t := re.match("[^0-9]*", p)[0]).encode(), int(p[len(t) :] or -1)) for p in pieces]
+
+    rows = spark.createDataFrame([(r,) for r in sorted(set(refs))], "ref string")
+    got = [r.ref for r in rows.orderBy(R.natural_key("ref"), "ref").collect()]
+    assert got == sorted(set(refs), key=lambda r: (key(r), r.encode()))
+    assert ask(spark, [(refs,)], "r array<string>", R.dedupe("r")) == [(got,)]
+    assert ask(spark, [(None,)], "r string", R.natural_key("r")) == [(None,)]

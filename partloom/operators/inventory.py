@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.knowledge import CATEGORIES, Z_HEIGHT, Z_LARGE_CAP, Z_OTHER, Z_SMALL_CAP, Z_SOCKET
@@ -11,6 +11,8 @@ from ..functions.text import col, nonempty
 from ..functions.units import bulky, parse_value
 
 KEY = ["category", "value"]
+CHUNK = 1024  # references of a piece of a source's list
+RANGE_BITS = 12  # references are placed over ranges of 4096 slots
 
 
 SCHEMA = "category string, value string, qty bigint, n_refs bigint, first_slot bigint"
@@ -45,20 +47,47 @@ def sku_count(events: DataFrame) -> DataFrame:
     return events.select(*KEY).distinct().agg(F.count(F.lit(1)).alias("skus"))
 
 
+def _marked(events: DataFrame, counts: DataFrame | None) -> DataFrame:
+    """Events with their project's count, one for all that a project has of a board."""
+    mark = F.when(F.col("kind") == "pcb", "PCB").otherwise(F.col("ref"))
+    rows = events.withColumn("ref", mark).where("ref <> ''")
+    boards, parts = rows.where("kind = 'pcb'"), rows.where("kind <> 'pcb'")
+    rows = parts.unionByName(boards.groupBy("slot", "source", *KEY).agg(F.min("ordinal").alias("ordinal"), F.min("pos").alias("pos"), F.lit("PCB").alias("ref"), F.lit(1).cast("bigint").alias("qty"), F.lit("pcb").alias("kind")).select(*parts.columns))
+    return rows.join(counts.select("slot", "count"), "slot") if counts is not None else rows.withColumn("count", F.lit(1))
+
+
 def sources(events: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """(category, value, source, refs, n): references by source, repeated by the project's count if given.
 
     A board's source holds one mark, however often it is listed.
     """
-    mark = F.when(F.col("kind") == "pcb", "PCB").otherwise(F.col("ref"))
-    rows = events.withColumn("ref", mark).where("ref <> ''")
-    boards, parts = rows.where("kind = 'pcb'"), rows.where("kind <> 'pcb'")
-    rows = parts.unionByName(boards.groupBy("slot", "source", *KEY).agg(F.min("ordinal").alias("ordinal"), F.min("pos").alias("pos"), F.lit("PCB").alias("ref"), F.lit(1).cast("bigint").alias("qty"), F.lit("pcb").alias("kind")).select(*parts.columns))
-    rows = rows.join(counts.select("slot", "count"), "slot") if counts is not None else rows.withColumn("count", F.lit(1))
+    rows = _marked(events, counts)
     listed = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("slot", "ordinal", "pos", "kind", "ref", "count"))), lambda x: F.array_repeat(x["ref"], x["count"].cast("int"))))
     return rows.groupBy(*KEY, "source").agg(listed.alias("refs"), F.sum("count").cast("bigint").alias("n"))
 
 
+def source_lists(events: DataFrame, counts: DataFrame | None = None, size: int = CHUNK) -> DataFrame:
+    """(category, value, source, chunk, begins, n, refs): the lists of sources() in pieces of ``size`` references.
+
+    ``refs``: (ref, n) in order of sighting, ``n`` how often the reference stands there in a row; ``begins``: the place
+    of its first in the whole list, from 0; ``n``: how many places it takes. No array grows with the input, and
+    a count of millions costs no more than one. References are placed within a range of slots, after those of the
+    lower ranges, so that a source of very many projects is many tasks; a count of 0 or less has no place."""
+    rows = _marked(events, counts).where("count > 0").withColumn("range", F.shiftright("slot", RANGE_BITS))
+    each = rows.groupBy(*KEY, "source", "range").agg(F.count(F.lit(1)).alias("rows"), F.sum("count").alias("places"))
+    lower = Window.partitionBy(*KEY, "source").orderBy("range")
+    before = each.select(*KEY, "source", "range", (F.sum("rows").over(lower) - F.col("rows")).alias("rows"), (F.sum("places").over(lower) - F.col("places")).alias("places"))
+    inside = Window.partitionBy(*KEY, "source", "range").orderBy("slot", "ordinal", "pos", "kind", "ref").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # a source may be null: it is compared as equal to itself
+    placed = rows.withColumns({"nth": F.row_number().over(Window.partitionBy(*KEY, "source", "range").orderBy("slot", "ordinal", "pos", "kind", "ref")) - 1, "upto": F.sum("count").over(inside)})
+    placed = placed.alias("a").join(before.alias("b"), [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*KEY, "source", "range")])
+    place = F.col("b.rows") + F.col("nth")
+    placed = placed.select(*[f"a.{c}" for c in (*KEY, "source", "ref", "count")], place.alias("place"), (F.col("b.places") + F.col("upto") - F.col("count")).alias("begins"))
+    placed = placed.withColumn("chunk", F.floor(F.col("place") / size).cast("bigint"))
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("place", "ref", F.col("count").cast("bigint").alias("n")))), lambda x: F.struct(x["ref"].alias("ref"), x["n"].alias("n")))
+    return placed.groupBy(*KEY, "source", "chunk").agg(F.min("begins").cast("bigint").alias("begins"), F.sum("count").cast("bigint").alias("n"), listed.alias("refs"))
+
+
 def source_map(by_source: DataFrame) -> DataFrame:
     """One row per part with its map from source to references."""
     return by_source.groupBy(*KEY).agg(F.map_from_entries(F.collect_list(F.struct("source", "refs"))).alias("sources"))

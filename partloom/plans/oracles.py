@@ -228,6 +228,14 @@ ORACLES: dict[str, str] = {
     "inventory_sources": BASE + "SELECT category, value, source, n FROM by_source",
     "inventory_sources_weighted": BASE
     + "SELECT category, value, source, CAST(sum(count) AS BIGINT) AS n FROM (SELECT DISTINCT slot, category, value, kind, CASE WHEN kind = 'pcb' THEN 'PCB' ELSE ref END AS ref FROM events) JOIN projects USING (slot) GROUP BY ALL",
+    "inventory_source_lists": BASE
+    + f""", marked AS (SELECT slot, {AT}, pos, category, value, kind, ref FROM events WHERE kind <> 'pcb' AND ref <> ''
+            UNION ALL SELECT slot, first.at1, first.at2, first.at3, first.at4, 0, category, value, 'pcb', 'PCB'
+            FROM (SELECT slot, category, value, min({{'at1': at1, 'at2': at2, 'at3': at3, 'at4': at4}}) AS first FROM events WHERE kind = 'pcb' GROUP BY ALL)),
+        listed AS (SELECT category, value, source, ref, count, row_number() OVER w - 1 AS place, sum(count) OVER w - count AS begins
+            FROM marked JOIN projects USING (slot) WHERE count > 0 WINDOW w AS (PARTITION BY category, value, source ORDER BY slot, {AT}, pos, kind, ref ROWS UNBOUNDED PRECEDING))
+        SELECT category, value, source, CAST(place // 1024 AS BIGINT) AS chunk, CAST(min(begins) AS BIGINT) AS begins, CAST(sum(count) AS BIGINT) AS n, string_agg(ref || '*' || CAST(count AS VARCHAR), ' ' ORDER BY place) AS refs
+        FROM listed GROUP BY category, value, source, place // 1024""",
     "sku_count": BASE + "SELECT count(*) AS skus FROM (SELECT DISTINCT category, value FROM events)",
     "preset_lookup": f"""SELECT slot, a.key, CASE WHEN k.key IS NULL THEN '' ELSE 'R1 10k # ' || k.key END AS payload FROM (
         SELECT o_orderkey AS slot, CASE WHEN o_orderkey % 3 = 0 THEN '[None] such' ELSE '[Tayda] Box ' || CAST(o_custkey % 80 AS VARCHAR) END AS key FROM orders) a

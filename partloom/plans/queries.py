@@ -180,6 +180,12 @@ def inventory_sources_weighted(d):
     return inventory.sources(d.named, d.projects).select("category", "value", "source", "n")
 
 
+@query
+def inventory_source_lists(d):
+    lists = inventory.source_lists(d.named, d.projects)
+    return lists.withColumn("refs", F.array_join(F.transform("refs", lambda x: F.concat(x["ref"], F.lit("*"), x["n"].cast("string"))), " "))
+
+
 @query
 def sku_count(d):
     return inventory.sku_count(d.events)

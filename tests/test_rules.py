@@ -294,7 +294,29 @@ def test_archive(spark):
 def test_feedback_log(spark, tmp_path):
     for i in range(2):
         reports.save_feedback(spark, str(tmp_path / "log"), "good", f"n{i}")
-    assert sorted(r.text for r in spark.read.parquet(str(tmp_path / "log")).collect()) == ["n0", "n1"]
+    assert sorted(r.text for r in reports.read_log(spark, str(tmp_path / "log")).collect()) == ["n0", "n1"]
+    for _ in range(2):
+        reports.save_feedback(spark, str(tmp_path / "log"), "bad", "sent twice", key="request-7")
+    assert sorted(r.text for r in reports.read_log(spark, str(tmp_path / "log")).collect()) == ["n0", "n1", "sent twice"]
+
+
+def test_feedback_stream_replayed(spark, tmp_path):
+    """The last batch's commit is lost, as when a driver ends after writing: it runs again and adds nothing."""
+    from partloom.streaming.ingest import log_feedback
+
+    src, log, cp = (str(tmp_path / n) for n in ("in", "log", "cp"))
+    schema = "ts timestamp, rating string, text string"
+    for i in range(2):
+        spark.sql(f"SELECT timestamp'2024-01-01 00:00:0{i}' AS ts, 'good' AS rating, 'n{i}' AS text").write.mode("append").parquet(src)
+        log_feedback(spark.readStream.schema(schema).parquet(src), log, cp, availableNow=True).awaitTermination(120)
+    texts = lambda: sorted((r.ts, r.text) for r in reports.read_log(spark, log).collect())
+    once = texts()
+    assert [t for _, t in once] == ["n0", "n1"]
+    last = max((p for p in (tmp_path / "cp" / "commits").iterdir() if p.name.isdigit()), key=lambda p: int(p.name))
+    last.unlink()
+    (last.parent / f".{last.name}.crc").unlink(missing_ok=True)
+    log_feedback(spark.readStream.schema(schema).parquet(src), log, cp, availableNow=True).awaitTermination(120)
+    assert texts() == once
 
 
 def test_empty_inputs(spark):
@@ -333,3 +355,44 @@ def test_natural_order_of_any_length(spark):
     assert got == sorted(set(refs), key=lambda r: (key(r), r.encode()))
     assert ask(spark, [(refs,)], "r array<string>", R.dedupe("r")) == [(got,)]
     assert ask(spark, [(None,)], "r string", R.natural_key("r")) == [(None,)]
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_streamed_sightings_in_any_order(spark, tmp_path, seed):
+    """Whatever order lines arrive in, the changes sum to what the batch path finds."""
+    import random
+
+    from partloom.streaming.ingest import sightings
+
+    rng = random.Random(seed)
+    said = ["R1-R3 10k", "R2 22k", "R1 47k", "XX1 strange", "XX1 10k", "Q1 2N3904", "C1 100n", "R3 10k", "C1 220n", "no part here"]
+    rows = [(slot, n, rng.choice(said)) for slot in range(4) for n in range(12)]
+    batch = spark.createDataFrame(rows, "slot long, ordinal long, line string")
+    events = ingest.text_events(ingest.scan_lines(batch.withColumn("source", F.lit("s")))).where("kind = 'part'")
+    want = sorted((r.slot, r.ref, r.category, r.value) for r in events.collect())
+    rng.shuffle(rows)
+    schema = "slot long, ordinal long, line string, ts timestamp"
+    for i in range(3):
+        part = spark.createDataFrame(rows[i::3], "slot long, ordinal long, line string").withColumn("ts", F.lit("2024-01-01 00:00:00").cast("timestamp") + F.make_interval(secs=F.col("ordinal")))
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    lines = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    name = f"changes{seed}"
+    q = sightings(lines).writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(180)
+    summed = spark.table(name).groupBy("slot", "ref", "category", "value").agg(F.sum("qty").alias("qty")).where("qty <> 0").collect()
+    assert {r.qty for r in summed} == {1} and sorted((r.slot, r.ref, r.category, r.value) for r in summed) == want
+    assert spark.table(name).where("qty < 0").count() > 0
+
+
+def test_source_lists_in_pieces(spark):
+    text_ = "R1-R5 10k\nPCB Fuzz\nR9 10k"
+    events = ingest.text_events(scan(spark, text_)).withColumn("source", F.lit(None).cast("string"))
+    slots = [r.slot for r in events.select("slot").distinct().collect()]
+    counts = spark.createDataFrame([(s, 3_000_000_000) for s in slots], "slot long, count long")
+    got = {(r.category, r.chunk): (r.begins, r.n, [tuple(x) for x in r.refs]) for r in inventory.source_lists(events, counts, size=4).collect()}
+    m = 3_000_000_000
+    assert got["Resistors", 0] == (0, 4 * m, [(f"R{i}", m) for i in (1, 2, 3, 4)])
+    assert got["Resistors", 1] == (4 * m, 2 * m, [("R5", m), ("R9", m)])
+    assert got["PCB", 0] == (0, m, [("PCB", m)]) and len(got) == 3
+    assert inventory.source_lists(events.limit(0), counts).collect() == []
+    assert inventory.source_lists(events, counts.selectExpr("slot", "0L AS count")).collect() == []

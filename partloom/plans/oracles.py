@@ -340,3 +340,19 @@ ORACLES["pdf_regex_scan"] = PDF + """SELECT b.slot, b.n AS lines_read, coalesce(
 ORACLES["mixed_intake"] = f"""SELECT slot, lines_read, parts_found, CAST(NULL AS VARCHAR) AS error FROM ({ORACLES["text_scan_stats"]}) WHERE slot % 4 = 0
     UNION ALL SELECT slot, lines_read, parts_found, NULL FROM ({ORACLES["csv_payloads"]}) WHERE slot % 4 IN (1, 2)
     UNION ALL SELECT DISTINCT l_orderkey, 0, 0, 'Unknown Method' FROM lineitem WHERE l_orderkey % 4 = 3"""
+
+
+def _sheet_sql(of: str, name: str, order: str, columns: list[str]) -> str:
+    """SQL of one kind of sheet, from the SQL of its rows."""
+    cell = lambda c: f"""CASE WHEN regexp_matches(CAST({c} AS VARCHAR), '[",\\r\\n]') THEN '"' || replace(CAST({c} AS VARCHAR), '"', '""') || '"' ELSE CAST({c} AS VARCHAR) END"""
+    safe = r"""trim(regexp_replace(project, '[<>:"/\\|?*]', '', 'g'))"""
+    line = " || ',' || ".join(cell(c) for c in columns)
+    return f"""SELECT replace('{name}', '%s', CASE WHEN nth > 1 THEN safe || ' (' || nth || ')' ELSE safe END) AS path, content FROM (
+        SELECT safe, row_number() OVER (PARTITION BY safe ORDER BY project) AS nth, chr(65279) || '{",".join(columns)}' || chr(13) || chr(10) || lines || chr(13) || chr(10) AS content FROM (
+        SELECT project, {safe} AS safe, string_agg({line}, chr(13) || chr(10) ORDER BY {order}) AS lines FROM ({of}) GROUP BY project))"""
+
+
+ORACLES["archive_sheets"] = " UNION ALL ".join([
+    _sheet_sql(ORACLES["field_manual"], "Field Manuals/%s Field Manual.csv", "z, value, category", ["qty", "shown_value", "shown_refs"]),
+    _sheet_sql(ORACLES["sticker_grid"], "Sticker Sheets/%s Sticker Sheet.csv", "page, row, col", ["code", "label", "refs", "page", "row", "col"]),
+])

@@ -17,7 +17,7 @@ from ..operators import ingest, inventory, purchasing
 from ..operators.classify import with_class
 from ..operators.ordering import numbered
 from ..sources import csv, dispatch, pdf, presets, text
-from . import adapters, intake, reports, shopping
+from . import adapters, archive, intake, reports, shopping
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -360,6 +360,14 @@ def archive_manifest(d):
     return reports.manifest(d.projects.withColumn("locked_name", F.lit(None).cast("string")))
 
 
+@query
+def archive_sheets(d):
+    """Written as an archive and read back from its shards."""
+    path = f"{storage.scratch(d.spark)}/partloom/archive-{uuid.uuid4().hex}"
+    archive.write(archive.sheets(d.named), path)
+    return archive.read(d.spark, path)
+
+
 @query
 def clean_name(d):
     return d.keys.select("key", R.clean_name("key").alias("name"))

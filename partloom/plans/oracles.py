@@ -341,6 +341,18 @@ ORACLES["mixed_intake"] = f"""SELECT slot, lines_read, parts_found, CAST(NULL AS
     UNION ALL SELECT slot, lines_read, parts_found, NULL FROM ({ORACLES["csv_payloads"]}) WHERE slot % 4 IN (1, 2)
     UNION ALL SELECT DISTINCT l_orderkey, 0, 0, 'Unknown Method' FROM lineitem WHERE l_orderkey % 4 = 3"""
 
+ORACLES["preset_crawl"] = (
+    PDF
+    + f""", files AS (SELECT slot, text, slot % 3 AS kind, CASE WHEN slot % 3 = 2 THEN 'Loose Box ' || slot WHEN slot % 5 = 0 THEN 'Big Box ' || slot ELSE 'Big Drive' || slot END AS name,
+        CASE slot % 3 WHEN 0 THEN '/lib/pedalpcb/fuzz/big_box-' || slot || '.pdf' WHEN 1 THEN '/lib/tayda/big_box-' || slot || '.PDF' ELSE '/lib/loose_box-' || slot || '.txt' END AS source_path FROM texts),
+    had AS (SELECT slot, {AT}, pos, category, value, ref, 'part' AS kind FROM parts
+        UNION ALL SELECT slot, {AT}, pos, 'Hardware/Misc', 'DIP SOCKET (Check Size)', ref || ' (Inj)', 'socket' FROM parts WHERE category = 'ICs' AND NOT regexp_matches(up, '{any_of(K.NO_SOCKET)}')
+        UNION ALL SELECT slot, 2, 0, 0, 0, 0, 'PCB', name || ' PCB', 'PCB', 'pcb' FROM files WHERE files.kind = 0 AND slot IN (SELECT slot FROM parts)),
+    written AS (SELECT slot, string_agg(ref || ' ' || value, chr(10) ORDER BY {ORDERED}, category, {AT}, pos, kind, ref) AS list FROM had GROUP BY slot)
+    SELECT source_path, CASE WHEN kind = 2 THEN '[Misc] ' || name WHEN list IS NULL THEN NULL WHEN kind = 0 THEN '[PedalPCB] [Fuzz] ' || name ELSE '[Tayda] ' || name END AS full_key,
+        CASE WHEN kind = 2 THEN text ELSE list END AS bom_text, kind <> 2 AS is_pdf, CASE WHEN kind <> 2 AND list IS NULL THEN 'No parts found.' END AS error FROM files LEFT JOIN written USING (slot)"""
+)
+
 
 def _sheet_sql(of: str, name: str, order: str, columns: list[str]) -> str:
     """SQL of one kind of sheet, from the SQL of its rows."""

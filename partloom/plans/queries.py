@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 from functools import wraps
@@ -17,7 +18,7 @@ from ..operators import ingest, inventory, purchasing
 from ..operators.classify import with_class
 from ..operators.ordering import numbered
 from ..sources import csv, dispatch, pdf, presets, text
-from . import adapters, archive, intake, reports, shopping
+from . import adapters, archive, intake, library, reports, shopping
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -446,6 +447,24 @@ def mixed_intake(d):
     return got["stats"].join(got["errors"], "slot", "left").select("slot", "lines_read", "parts_found", "error")
 
 
+def _paper(content: bytes):
+    """Pages that a query wrote as JSON, in place of a PDF's."""
+    page = json.loads(content)
+    yield page["text"], page["tables"], page["words"]
+
+
+@query
+def preset_crawl(d):
+    """Every project as a file of a preset folder: two of three as PDFs, of which one in five has no title."""
+    kind, slot = F.col("slot") % 3, F.col("slot").cast("string")
+    words = F.when(F.col("slot") % 5 == 0, F.array().cast("array<struct<text:string,size:double,top:double,x0:double>>"))
+    words = words.otherwise(F.transform("words", lambda w: w.withField("text", F.when(w["text"] == "Drive", F.concat(F.lit("Drive"), slot)).otherwise(w["text"]))))
+    path = F.when(kind == 0, F.concat(F.lit("/lib/pedalpcb/fuzz/big_box-"), slot, F.lit(".pdf"))).when(kind == 1, F.concat(F.lit("/lib/tayda/big_box-"), slot, F.lit(".PDF"))).otherwise(F.concat(F.lit("/lib/loose_box-"), slot, F.lit(".txt")))
+    paper = F.to_json(F.struct("text", "tables", words.alias("words")))
+    files = _pages(d).select(path.alias("path"), F.when(kind == 2, F.col("text")).otherwise(paper).cast("binary").alias("content"))
+    return library.compiled(files, "/lib", _paper)
+
+
 @query
 def pdf_title(d):
     return pdf.titles(_pages(d))

@@ -6,7 +6,9 @@ A library is a parameter: a folder ``source/category/file.txt`` as build() reads
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.refs import PRESET_KEY
@@ -24,18 +26,30 @@ def capital(c):
     return F.concat(F.upper(F.substring(c, 1, 1)), F.lower(F.substring(c, F.lit(2), F.length(c))))
 
 
+def placed(path: str, folder: str) -> list[Column]:
+    """(source_path, source, category, name) that a file's place below ``folder`` gives it: the first folder is the source,
+    the second the category, as it stands before a name in a key."""
+    parts = F.split(F.regexp_replace(path, r"^file:/+", "/"), "/")
+    depth = len([p for p in re.sub("^file:/+", "/", folder).rstrip("/").split("/") if p])
+    rel = F.slice(parts, depth + 2, F.greatest(F.size(parts) - depth - 1, F.lit(0)))
+    top = F.when(F.size(rel) > 1, F.get(rel, F.lit(0))).otherwise("Misc")
+    source = F.when(F.lower(top) == "pedalpcb", "PedalPCB").otherwise(capital(top))
+    category = F.when(F.size(rel) > 2, F.concat(F.lit("["), capital(F.get(rel, F.lit(1))), F.lit("] "))).otherwise("")
+    name = title_case(F.regexp_replace(F.regexp_replace(F.element_at(rel, -1), r"\.[^.]*$", ""), "[_-]", " "))
+    return [F.array_join(parts, "/").alias("source_path"), source.alias("source"), category.alias("category"), name.alias("name")]
+
+
+def key(name: str) -> Column:
+    """The key of a file that placed() describes, under ``name``."""
+    return F.concat(F.lit("["), F.col("source"), F.lit("] "), F.col("category"), F.col(name))
+
+
 def build(spark, folder: str) -> DataFrame:
-    """Text files below ``folder``; empty files and other kinds are ignored (PDFs go through sources.pdf)."""
+    """Text files below ``folder``, as they are; empty files and other kinds are ignored. plans.library reads PDFs too, and
+    streaming.crawl follows a folder."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{txt,TXT}").load(folder)
-    path = F.split(F.regexp_replace("path", r"^file:/+", "/"), "/")
-    depth = len([p for p in folder.rstrip("/").split("/") if p])
-    rel = F.slice(path, depth + 2, F.greatest(F.size(path) - depth - 1, F.lit(0)))
-    rows = files.select(F.decode("content", "UTF-8").alias("bom_text"), rel.alias("rel"), F.array_join(path, "/").alias("source_path"))
-    top = F.when(F.size("rel") > 1, F.get("rel", F.lit(0))).otherwise("Misc")
-    source = F.when(F.lower(top) == "pedalpcb", "PedalPCB").otherwise(capital(top))
-    category = F.when(F.size("rel") > 2, F.concat(F.lit("["), capital(F.get("rel", F.lit(1))), F.lit("] "))).otherwise("")
-    name = title_case(F.regexp_replace(F.regexp_replace(F.element_at("rel", -1), r"\.[^.]*$", ""), "[_-]", " "))
-    return rows.select(F.concat(F.lit("["), source, F.lit("] "), category, name).alias("full_key"), "bom_text", "source_path", F.lit(False).alias("is_pdf")).orderBy("full_key")
+    rows = files.select(F.decode("content", "UTF-8").alias("bom_text"), *placed("path", folder))
+    return rows.select(key("name").alias("full_key"), "bom_text", "source_path", F.lit(False).alias("is_pdf")).orderBy("full_key")
 
 
 def metadata(presets: DataFrame, key: str = "full_key") -> DataFrame:

@@ -77,23 +77,40 @@ def dedupe(refs: Column | str) -> Column:
     return in_natural_order(F.array_distinct(col(refs)))
 
 
-def condense(refs: Column | str) -> Column:
-    """[R1, R2, R3, C1] -> ``C1, R1-R3``. References without a number come first; a repeat ends a run."""
-    pattern = r"^([a-zA-Z]+)([0-9]+)"
-    refs = col(refs)
-    odd = F.array_sort(F.filter(refs, lambda r: ~r.rlike(pattern)))
-    known = F.array_sort(F.transform(F.filter(refs, lambda r: r.rlike(pattern)), lambda r: F.struct(F.regexp_extract(r, pattern, 1).alias("p"), F.regexp_extract(r, pattern, 2).cast("bigint").alias("n"))))
-    follows = lambda a, b: (a["p"] == b["p"]) & (a["n"] + 1 == b["n"])
-    name = lambda x: F.concat(x["p"], x["n"].cast("string"))
-    pair = lambda a, b: F.when(a["n"] == b["n"], name(a)).otherwise(F.concat(name(a), F.lit("-"), name(b)))
-
-    def runs(known: Column) -> Column:
-        first = F.filter(known, lambda x, i: ~F.coalesce(follows(F.get(known, i - 1), x), F.lit(False)))
-        last = F.filter(known, lambda x, i: ~F.coalesce(follows(x, F.get(known, i + 1)), F.lit(False)))
+#: A reference that runs are made of; what follows its number does not matter.
+NUMBERED = r"^([a-zA-Z]+)([0-9]+)"
+
+
+def number_of(ref: Column | str) -> Column:
+    """(high, low) of a numbered reference: the last 18 digits of its number, and what stands before them ("" for most)."""
+    bare = F.regexp_replace(F.regexp_extract(col(ref), NUMBERED, 2), "^0+", "")
+    high = F.when(F.length(bare) > 18, F.substring(bare, F.lit(1), F.length(bare) - 18)).otherwise("")
+    return F.struct(high.alias("high"), F.when(col(ref).rlike(NUMBERED), F.concat(F.lit("0"), F.right(bare, F.lit(18))).cast("bigint")).alias("low"))
+
+
+def joined_runs(items: Column, follows, pair) -> Column:
+    """``pair(first, last)`` of each stretch of an array whose every item ``follows`` the one before it."""
+
+    def of(items: Column) -> Column:
+        first = F.filter(items, lambda x, i: ~F.coalesce(follows(F.get(items, i - 1), x), F.lit(False)))
+        last = F.filter(items, lambda x, i: ~F.coalesce(follows(x, F.get(items, i + 1)), F.lit(False)))
         return F.zip_with(first, last, pair)
 
-    # bound as a lambda's variable, so that the sorted list is made once and not for each of its elements
-    return F.array_join(F.concat(odd, F.get(F.transform(F.array(known), runs), F.lit(0))), ", ")
+    # bound as a lambda's variable, so that the array is made once and not for each of its elements
+    return F.get(F.transform(F.array(items), of), F.lit(0))
+
+
+def condense(refs: Column | str) -> Column:
+    """[R1, R2, R3, C1] -> ``C1, R1-R3``. References without a number come first; a repeat ends a run, and so does the
+    carry into a number's nineteenth digit. operators.condensing does it for references that are rows."""
+    refs = col(refs)
+    odd = F.array_sort(F.filter(refs, lambda r: ~r.rlike(NUMBERED)))
+    one = lambda r, n: F.struct(F.regexp_extract(r, NUMBERED, 1).alias("p"), F.length(n["high"]).alias("size"), n["high"].alias("high"), n["low"].alias("n"))
+    known = F.array_sort(F.transform(F.filter(refs, lambda r: r.rlike(NUMBERED)), lambda r: one(r, number_of(r))))
+    follows = lambda a, b: (a["p"] == b["p"]) & (a["high"] == b["high"]) & (a["n"] + 1 == b["n"])
+    name = lambda x: F.concat(x["p"], x["high"], F.when(x["high"] == "", x["n"].cast("string")).otherwise(F.lpad(x["n"].cast("string"), 18, "0")))
+    same = lambda a, b: (a["high"] == b["high"]) & (a["n"] == b["n"])
+    return F.array_join(F.concat(odd, joined_runs(known, follows, lambda a, b: F.when(same(a, b), name(a)).otherwise(F.concat(name(a), F.lit("-"), name(b))))), ", ")
 
 
 PRESET_KEY = r"(?d)^\[(.*?)\] (?:\[(.*?)\] )?(.*)$"

@@ -136,14 +136,17 @@ def z_rank(category: Column | str, value: Column | str) -> Column:
     return F.when(F.contains(F.upper(v), F.lit("SOCKET")), Z_SOCKET).when(c == "Capacitors", F.when(bulky(v), Z_LARGE_CAP).otherwise(Z_SMALL_CAP)).otherwise(_rank(c, Z_HEIGHT, Z_OTHER))
 
 
+def marks(rows: DataFrame) -> DataFrame:
+    """(project, category, value, ref): a row for each reference; boards have a mark in its place. ``rows``: events under
+    their projects' names, or what sources() gives of them."""
+    if "refs" in rows.columns:
+        return rows.select(F.col("source").alias("project"), *KEY, F.explode("refs").alias("ref"))
+    return rows.select(F.col("source").alias("project"), *KEY, F.when(F.col("kind") == "pcb", "PCB").otherwise(F.col("ref")).alias("ref")).where("ref <> ''")
+
+
 def project_parts(rows: DataFrame) -> DataFrame:
     """(project, category, value, refs, qty): parts of each project with their distinct references in natural order.
 
-    ``rows``: events under their projects' names, or what sources() gives of them. Repeats go before the exchange
-    and after it; there is one."""
-    if "refs" in rows.columns:
-        each = rows.select("source", *KEY, F.explode("refs").alias("ref"))
-    else:
-        each = rows.select("source", *KEY, F.when(F.col("kind") == "pcb", "PCB").otherwise(F.col("ref")).alias("ref")).where("ref <> ''")
-    listed = each.groupBy(F.col("source").alias("project"), *KEY).agg(F.collect_set("ref").alias("r"))
+    Repeats go before the exchange and after it; there is one."""
+    listed = marks(rows).groupBy("project", *KEY).agg(F.collect_set("ref").alias("r"))
     return listed.select("project", *KEY, in_natural_order(F.col("r")).alias("refs"), F.size("r").cast("bigint").alias("qty"))

@@ -16,6 +16,7 @@ from ..functions import units as U
 from ..functions.search import bare_pot, pedalpcb_url, search_term, tayda_url
 from ..operators import ingest, inventory, purchasing
 from ..operators.classify import with_class
+from ..operators.condensing import condensed
 from ..operators.ordering import numbered
 from ..sources import csv, dispatch, pdf, presets, text
 from . import adapters, archive, intake, library, reports, shopping
@@ -292,7 +293,7 @@ def natural_sort(d):
 
 @query
 def condense_refs(d):
-    return inventory.project_parts(d.named).select("project", "category", "value", R.condense("refs").alias("refs"))
+    return condensed(inventory.marks(d.named), ["project", *inventory.KEY]).drop("n")
 
 
 @query

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import uuid
 from collections.abc import Callable
 from functools import wraps
 
@@ -365,8 +364,9 @@ def archive_manifest(d):
 @query
 def archive_sheets(d):
     """Written as an archive and read back from its shards."""
-    path = f"{storage.scratch(d.spark)}/partloom/archive-{uuid.uuid4().hex}"
+    path = storage.folder(d.spark, "archive")
     archive.write(archive.sheets(d.named), path)
+    storage.until_exit(d.spark, path)
     return archive.read(d.spark, path)
 
 
@@ -399,9 +399,10 @@ def page_route(d):
 @query
 def csv_file_scan(d):
     """All documents written as one CSV folder, texts with their line breaks and quotes, and read back record by record."""
-    folder = f"{storage.scratch(d.spark)}/partloom/csv-{uuid.uuid4().hex}"
+    folder = storage.folder(d.spark, "csv")
     docs = d.table("documents").select("doc_id", "text", "source")
     docs.write.csv(folder, header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    storage.until_exit(d.spark, folder)
     back = csv.read(d.spark, f"{folder}/*.csv")
     text = F.coalesce("text", F.lit(""))
     return back.select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", F.length(text).cast("bigint").alias("n_chars"), F.md5(text).alias("text_md5"))

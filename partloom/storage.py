@@ -1,14 +1,19 @@
-"""Tables in the folder that driver and executors share: lineage is cut there, and a lost executor costs nothing."""
+"""Tables in the folder that driver and executors share: lineage is cut there, and a lost executor costs nothing.
+
+A result is lazy and may read such tables for as long as its session lives; so what is not deleted before is deleted
+when the driver ends. A job that runs many queries can end them sooner with workspace()."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-_workspaces: list[str] = []
+#: Open workspaces, the innermost last; each thread has its own.
+_workspaces: ContextVar[tuple[str, ...]] = ContextVar("workspaces", default=())
 
 
 def scratch(spark: SparkSession) -> str:
@@ -22,19 +27,39 @@ def scratch(spark: SparkSession) -> str:
     return where
 
 
+def folder(spark: SparkSession, tag: str) -> str:
+    """A new name in the shared folder, in the workspace that is open or else for until_exit()."""
+    inner = _workspaces.get()
+    return f"{inner[-1] if inner else scratch(spark) + '/partloom'}/{tag}-{uuid.uuid4().hex}"
+
+
 def save(df: DataFrame, tag: str, codec: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared folder, compressed by ``codec``, and read it back."""
     spark = df.sparkSession
-    path = f"{_workspaces[-1] if _workspaces else scratch(spark) + '/partloom'}/{tag}-{uuid.uuid4().hex}"
+    path = folder(spark, tag)
     df.write.parquet(path, compression=codec)
+    if not _workspaces.get():
+        until_exit(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._partloom_path = path
     return out
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def _at(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def until_exit(spark: SparkSession, path: str) -> None:
+    """Have what is at ``path`` deleted when the driver ends."""
+    files, p = _at(spark, path)
+    files.deleteOnExit(p)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    files, p = _at(spark, path)
+    files.delete(p, True)
+    files.cancelDeleteOnExit(p)
 
 
 def discard(*frames: DataFrame) -> None:
@@ -49,18 +74,18 @@ def discard(*frames: DataFrame) -> None:
 def workspace(spark: SparkSession):
     """What save() writes inside is deleted at the end. Results are lazy: write what shall stay before, with kept()."""
     path = f"{scratch(spark)}/partloom/work-{uuid.uuid4().hex}"
-    _workspaces.append(path)
+    token = _workspaces.set((*_workspaces.get(), path))
     try:
         yield
     finally:
-        _workspaces.remove(path)
+        _workspaces.reset(token)
         _delete(spark, path)
 
 
 def kept(df: DataFrame, tag: str) -> DataFrame:
-    """save() beside the workspace that is open, so that the table outlives it."""
-    inner = _workspaces.pop()
+    """save() beside the workspace that is open, if one is, so that the table outlives it."""
+    token = _workspaces.set(_workspaces.get()[:-1])
     try:
         return save(df, tag)
     finally:
-        _workspaces.append(inner)
+        _workspaces.reset(token)

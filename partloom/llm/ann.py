@@ -12,8 +12,9 @@ Large lists are cut into blocks, and blocks of a list meet blocks of the vectors
 holds more than two blocks of a list, however many copies of a vector there are.
 
 Bounds: there are as many lists as the square root of the number of distinct vectors, so lists and probes grow
-alike; centroids and codewords are fitted on ``fit_rows`` vectors (least hashes), or on ``fit_per_list`` for each list
-where that is more; the driver and each task hold these centroids, a square root of the rows. Every vector is indexed.
+alike; centroids are fitted by Spark on ``fit_rows`` vectors (least hashes), or on ``fit_per_list`` for each list where
+that is more, codewords on ``fit_rows`` of them by the driver. Driver and tasks hold the centroids, a square root of the
+rows, and the driver no other vectors than these. Every vector is indexed.
 Recall is measured in the tests and, with ``spread`` 3, has been 1; a ``spread`` of sqrt(dimensions) and more probes
 all lists that a neighbour can be in, which is exact.
 
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import lean, runs, save, tune
+from .common import discard, lean, runs, save, tune
 from .components import components
 from .vectors import usable
 
@@ -69,12 +70,56 @@ def _means(x: np.ndarray, k: int, rounds: int, rng) -> np.ndarray:
     return c
 
 
-def train(sample: np.ndarray, lists: int, subspaces: int = 8, words: int = 64, seed: int = 0) -> dict:
-    """Coarse centroids and, for each subspace, codewords of the residuals."""
-    rng = np.random.default_rng(seed)
-    coarse = _means(sample, lists, 8, rng)
-    rest = sample - coarse[nearest(sample, coarse)]
-    edges = np.linspace(0, sample.shape[1], min(subspaces, sample.shape[1]) + 1).astype(int)
+def _vectors(column: pa.Array, dim: int) -> np.ndarray:
+    """Vectors of length one of an Arrow column of arrays."""
+    return unit(column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64))
+
+
+def _centroids(sample: DataFrame, dim: int, lists: int, rounds: int) -> np.ndarray:
+    """k-means of the sample (h, id, v) by Spark, from the ``lists`` vectors of least h. Vectors are summed as whole numbers
+    of 2^-36, which have no order, so that a task that runs again changes nothing."""
+    c = _vectors(sample.orderBy("h", "id").limit(lists).select("v").toArrow().column(0).combine_chunks(), dim)
+    for _ in range(rounds):
+        shared = sample.sparkSession.sparkContext.broadcast(c)
+
+        @lean
+        def sums(batches, shared=shared):
+            for b in batches:
+                if b.num_rows:
+                    x = _vectors(b.column(0), dim)
+                    met, own = np.unique(nearest(x, shared.value), return_inverse=True)
+                    total = np.zeros((len(met), dim + 1), np.int64)  # how many vectors, and their sum
+                    np.add.at(total, own, np.concatenate([np.ones((len(x), 1)), np.rint(np.ldexp(x, 36))], axis=1).astype(np.int64))
+                    yield pa.RecordBatch.from_arrays([pa.array(met, pa.int32()), pa.ListArray.from_arrays(pa.array(np.arange(len(met) + 1) * (dim + 1), pa.int32()), pa.array(total.ravel()))], names=["c", "total"])
+
+        each = sample.select("v").mapInArrow(sums, "c int, total array<bigint>").select("c", F.posexplode("total").alias("i", "x"))
+        got = each.groupBy("c", "i").agg(F.sum("x").alias("x")).toArrow()
+        total = np.zeros((len(c), dim + 1))
+        total[got.column("c").to_numpy(), got.column("i").to_numpy()] = got.column("x").to_numpy()
+        c = np.where(total[:, :1] > 0, np.ldexp(total[:, 1:], -36) / np.maximum(total[:, :1], 1), c)
+        shared.destroy()
+    return c
+
+
+def train(sample: DataFrame, dim: int, lists: int, fit_rows: int = 20_000, subspaces: int = 8, words: int = 64, rounds: int = 5, seed: int = 0) -> dict:
+    """Coarse centroids of the sample (h, id, v), and for each subspace codewords of the residuals. Tasks assign and sum
+    the vectors; the driver gets the centroids, and of the residuals about ``fit_rows``, of the least h."""
+    coarse = _centroids(sample, dim, lists, rounds)
+    shared = sample.sparkSession.sparkContext.broadcast(coarse)
+    n, most = sample.agg(F.count(F.lit(1)), F.max("h")).first()
+    some = sample if n <= fit_rows else sample.where(F.col("h") < int((most + 1) * 0.9 * fit_rows / n))
+
+    @lean
+    def rests(batches):
+        for b in batches:
+            x = _vectors(b.column(2), dim)
+            rest = x - shared.value[nearest(x, shared.value)] if len(x) else x
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([r.tobytes() for r in rest], pa.binary())], names=["h", "id", "rest"])
+
+    got = sorted(zip(*(c.to_pylist() for c in some.select("h", "id", "v").mapInArrow(rests, "h bigint, id bigint, rest binary").toArrow().columns), strict=True))
+    shared.destroy()
+    rest = np.frombuffer(b"".join(r for _, _, r in got)).reshape(-1, dim)
+    edges, rng = np.linspace(0, dim, min(subspaces, dim) + 1).astype(int), np.random.default_rng(seed)
     return {"coarse": coarse, "edges": edges, "words": [_means(rest[:, a:b], words, 8, rng) for a, b in zip(edges[:-1], edges[1:], strict=True)]}
 
 
@@ -162,9 +207,10 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_
         lists = max(1, int(np.sqrt(n)))
         most = max(fit_rows, fit_per_list * lists)
         part = F.pmod(F.xxhash64("id", "v"), F.lit(1 << 30))
-        picked = of.where(part < int(min(1.0, 0.9 * most / n) * (1 << 30))) if n > most else of
-        sample = sorted(picked.select(part.alias("h"), "id", "v").limit(most).collect())
-        found.append(_links(of, train(unit(np.array([r.v for r in sample], np.float64)), lists), dim, size, radius, least, spread, block))
+        picked = of.where(part < int(0.9 * most / n * (1 << 30))) if n > most else of
+        sample = save(picked.select(part.cast("bigint").alias("h"), "id", "v"), "sample")
+        found.append(_links(of, train(sample, dim, lists, fit_rows), dim, size, radius, least, spread, block))
+        discard(sample)
     if found:
         both = found[0]
         for f in found[1:]:

@@ -18,7 +18,7 @@ def rows_of(df, names):
 def test_against_sql(spark, name):
     sf = "/root/testdata/sf0.01"
     con = duckdb.connect()
-    for t in ("embeddings", "documents"):
+    for t in ("embeddings", "documents", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     want = con.sql(queries.ORACLES[name])
     got = queries.QUERIES[name](spark, sf)
@@ -144,12 +144,14 @@ def test_links_of_tiny_and_huge_vectors(spark):
     assert {r.id: r.n_links for r in ann.near_duplicates(df).collect()} == exact_links(vectors)
 
 
-def test_recall_at_a_thousand_lists():
+def test_recall_at_a_thousand_lists(spark):
     """Over 64 dimensions and 1024 lists, as a table of a million rows has: the share of true pairs that are probed and pass."""
     rng = np.random.default_rng(8)
     base = rng.normal(size=(8000, 64))
     x = ann.unit(np.concatenate([base, base[rng.integers(0, 2000, 4000)] + rng.normal(size=(4000, 64)) * rng.uniform(0.1, 0.4, (4000, 1))]))
-    model = ann.train(x, 1024)
+    sample = spark.createDataFrame([(i * 7919 % 12007, i, v.tolist()) for i, v in enumerate(x)], "h bigint, id bigint, v array<double>")
+    model = ann.train(sample, 64, 1024)
+    assert model["coarse"].shape == (1024, 64) and (ann.train(sample.repartition(5), 64, 1024)["coarse"] == model["coarse"]).all()  # whatever the tasks
     radius = math.sqrt(0.1)
     own, codes, miss, rows, lists = ann.index(model, x, radius, 3.0)
     probed = np.zeros((len(x), 1024), bool)

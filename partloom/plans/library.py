@@ -48,7 +48,8 @@ def compiled(files: DataFrame, folder: str, reader=pdf.plumbed) -> DataFrame:
     failed = pages.where("error IS NOT NULL").groupBy("slot").agg(F.min_by("error", "page").alias("failure"))
     good = pages.where("error IS NULL").drop("error")
     titled = docs.drop("content").join(pdf.titles(good), "slot", "left").withColumn("name", F.coalesce(nonempty(strip("title")), "name"))
-    events = ingest.events_of(pdf.scan(good))
+    # written, as the boards and both kinds of lines look at them: one plan with the scan in it many times is too large
+    events = save(ingest.events_of(pdf.scan(good)), "events")
     some = events.select("slot").distinct().join(titled, "slot").where("source = 'PedalPCB'")
     last = F.struct(F.lit(2).alias("phase"), *[F.lit(0).cast("bigint").alias(f"k{i}") for i in range(3)])
     boards = some.select("slot", "source", last.alias("ordinal"), F.lit(0).alias("pos"), F.lit("PCB").alias("category"), F.concat("name", F.lit(" PCB")).alias("value"), F.lit("PCB").alias("ref"), F.lit(1).cast("bigint").alias("qty"), F.lit("pcb").alias("kind"))

@@ -77,7 +77,7 @@ def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op12_katz_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return katz.perplexities(docs, by_crc(docs, "doc_id", 7) == 2).withColumnRenamed("id", "doc_id")
+    return katz.perplexities(docs, by_crc(docs, "doc_id", 7) == 2, order=3).withColumnRenamed("id", "doc_id")
 
 
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,9 +9,9 @@ that was never seen gives way to the shorter one. The first token has the beginn
 the beginning and the first. With order two, P(w | v) is the answer.
 
 1. Texts become blocks of tokens: words by their place in a list of the block's own words.
-2. Words are counted over all training documents and ranked by count, so that a word is a number and its count
+2. Blocks deal their words to buckets by their bytes. Words are counted over all training documents and ranked by count, so that a word is a number and its count
    follows from how many words have which count, of which there are at most the square root of twice the tokens.
-3. Each block learns the ranks of its words by a join of distinct words a block with the ranked words.
+3. Each block learns the ranks of its words from the buckets, which look their ranked words up.
 4. Each block deals its distinct triples, with the documents that have them, to parts by the middle word v: a part
    has all triples and pairs that P(. | v) and P(. | u v) need. A v with more than two parts' share of the tokens is
    dealt by (v, w): counts are still whole in one part, sums over w are not.
@@ -38,11 +38,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.ordering import numbered
-from .common import batch, discard, lean, named, release, save, tune, width
+from .common import batch, discard, lean, named, npcol, release, runs, save, text_bytes, tune, width
 
 #: Counts above this are not discounted.
 LOW = 5
@@ -200,24 +201,101 @@ def _layout(t, i: int):
     return local, doc, own, held, starts, opens
 
 
-def counts(made: DataFrame) -> DataFrame:
-    """blocks -> (word, n) over the training documents."""
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ (x >> np.uint64(31))
+
+
+def _runs(*columns: np.ndarray) -> np.ndarray:
+    new = np.ones(len(columns[0]), bool)
+    if len(new):
+        new[1:] = columns[0][1:] != columns[0][:-1]
+        for c in columns[1:]:
+            new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
+
+
+def _cuts(part: np.ndarray):
+    """Each part and the places that have it, in order."""
+    order = np.argsort(part.astype(np.uint16) if len(part) and part.max() < 1 << 16 else part, kind="stable")
+    first = _runs(part[order])
+    return [(int(part[c[0]]), c) for c in np.split(order, first[1:])] if len(order) else []
+
+
+def _buckets(data: np.ndarray, off: np.ndarray, buckets: int) -> np.ndarray:
+    """A bucket for each word, by its bytes."""
+    at = np.arange(len(data)) - np.repeat(off[:-1], np.diff(off))
+    sums = np.append(np.uint64(0), np.cumsum((data + np.uint64(1)) * _mix((at & 63) * 2 + 1)))
+    return (_mix(sums[off[1:]] - sums[off[:-1]]) % np.uint64(buckets)).astype(np.int64)
+
+
+def _dealt(made: DataFrame, buckets: int) -> DataFrame:
+    """Blocks -> (bucket, block, places, words): what a block has of a bucket's words: their places in its list, how often
+    training documents have them, their lengths; and their bytes."""
 
     @lean
     def run(batches):
         for b in batches:
             for i in range(b.num_rows):
                 words, (local, doc, own, held, *_) = b["words"][i].values, _layout(b, i)
-                n = np.bincount(local[own & (held[doc] == 0)], minlength=len(words))
+                n, out = np.bincount(local[own & (held[doc] == 0)], minlength=len(words)), []
+                for bucket, c in _cuts(_buckets(*text_bytes(words), buckets)):
+                    data, off = text_bytes(words.take(pa.array(c)))
+                    out.append((bucket, b["block"][i].as_py(), bundle(pack(c, True), pack(n[c]), pack(np.diff(off))), bundle(b"\x01" + data.tobytes())))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "block", "places", "words"])
+
+    return made.select("block", "held", "starts", "opens", "tokens", "words").mapInArrow(run, "bucket bigint, block bigint, places binary, words binary")
+
+
+def _spelled(places: list[bytes], words: list[bytes]) -> tuple[pa.Array, list[np.ndarray], np.ndarray]:
+    """(all words of some rows of _dealt, the places of each row, counts of all)."""
+    at, n, sizes = zip(*map(unbundle, places), strict=True)
+    data = np.concatenate([unbundle(x)[0].astype(np.uint8) for x in words])
+    off = np.append(0, np.cumsum(np.concatenate(sizes))).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(off) - 1, [None, pa.py_buffer(off), pa.py_buffer(data)]), list(at), np.concatenate(n)
+
+
+def counts(dealt: DataFrame, buckets: int) -> DataFrame:
+    """Dealt words -> (bucket, word, n) over the training documents."""
+
+    @lean
+    def run(batches):
+        for t in runs(batches, ["bucket"]):
+            bucket = npcol(t, "bucket")
+            for a in np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])).tolist():
+                rows = t.slice(a, int((bucket == bucket[a]).sum()))
+                words, _, n = _spelled(rows["places"].to_pylist(), rows["words"].to_pylist())
+                coded = words.dictionary_encode()
+                n = np.bincount(coded.indices.to_numpy(), n, minlength=len(coded.dictionary)).astype(np.int64)
                 seen = np.flatnonzero(n)
-                yield pa.RecordBatch.from_arrays([words.take(pa.array(seen)), pa.array(n[seen])], names=["word", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(seen), bucket[a])), coded.dictionary.take(pa.array(seen)).cast(pa.binary()), pa.array(n[seen])], names=["bucket", "word", "n"])
 
-    return made.select("held", "starts", "opens", "tokens", "words").mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket", "block").mapInArrow(run, "bucket bigint, word binary, n bigint")
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return x ^ (x >> np.uint64(31))
+def _ranks(dealt: DataFrame, ranked: DataFrame, buckets: int) -> DataFrame:
+    """Dealt words and (bucket, word, rank) -> (block, ranks): places and ranks of a block's words, in pieces."""
+
+    @lean
+    def run(batches):
+        for t in runs(batches, ["bucket"]):
+            known = t.filter(pc.is_null(t["block"]))
+            rows = t.filter(pc.is_valid(t["block"]))
+            if not rows.num_rows:
+                continue
+            words, places, _ = _spelled(rows["places"].to_pylist(), rows["words"].to_pylist())
+            at = pc.fill_null(pc.index_in(words, known["word"].cast(pa.large_binary()).combine_chunks()), -1).to_numpy()
+            rank = np.append(known["rank"].to_numpy(), 0)[at].astype(np.int64)
+            out = []
+            for c, x in zip(places, np.split(rank, np.cumsum([len(c) for c in places])[:-1]), strict=True):
+                out.append(bundle(pack(c[x > 0], True), pack(x[x > 0])))
+            yield pa.RecordBatch.from_arrays([rows["block"].combine_chunks(), pa.array(out, pa.binary())], names=["block", "ranks"])
+
+    none = F.lit(None)
+    both = ranked.select("bucket", none.cast("bigint").alias("block"), "word", "rank", none.cast("binary").alias("places"), none.cast("binary").alias("words"))
+    both = both.unionAll(dealt.select("bucket", "block", none.cast("binary").alias("word"), none.cast("bigint").alias("rank"), "places", "words"))
+    return both.repartition(buckets, "bucket").sortWithinPartitions("bucket", F.asc_nulls_first("block")).mapInArrow(run, "block bigint, ranks binary")
 
 
 def _part(v: np.ndarray, w: np.ndarray, large: np.ndarray, parts: int) -> np.ndarray:
@@ -225,15 +303,6 @@ def _part(v: np.ndarray, w: np.ndarray, large: np.ndarray, parts: int) -> np.nda
     return (_mix(np.where(large, _mix(v) + _mix(w + 1), v)) % np.uint64(parts)).astype(np.int64)
 
 
-def _runs(*columns: np.ndarray) -> np.ndarray:
-    new = np.ones(len(columns[0]), bool)
-    if len(new):
-        new[1:] = columns[0][1:] != columns[0][:-1]
-        for c in columns[1:]:
-            new[1:] |= c[1:] != c[:-1]
-    return np.flatnonzero(new)
-
-
 @dataclass
 class Model:
     """What every task may hold of the model; the counts are in the table of what blocks ask."""
@@ -257,10 +326,10 @@ class Model:
 def _words(t, i: int):
     """(rank of each word of a block, 0 for unknown ones; what _layout gives)."""
     local, *rest = _layout(t, i)
-    known = t["ranks"][i].values
     rank = np.zeros(int(local.max()) + 1 if len(local) else 1, np.int64)
-    if known is not None and len(known):
-        rank[known.field(0).to_numpy()] = known.field(1).to_numpy()
+    for x in t["ranks"][i].as_py() or []:
+        places, ranks = unbundle(x)
+        rank[places] = ranks
     return rank, local, *rest
 
 
@@ -312,13 +381,6 @@ def _block_grams(t, i: int, order: int):
     return table[u], table[v], np.maximum(table[w], 0), n, np.bincount(gram, minlength=len(first)), doc, times
 
 
-def _cuts(part: np.ndarray):
-    """Each part and the places that have it, in order."""
-    order = np.argsort(part.astype(np.uint16) if len(part) and part.max() < 1 << 16 else part, kind="stable")
-    first = _runs(part[order])
-    return [(int(part[c[0]]), c) for c in np.split(order, first[1:])] if len(order) else []
-
-
 def _inner(places: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Places of the members of the groups at ``places``, where group i has those from ``ends[i]`` to ``ends[i + 1]``."""
     start, own = ends[places], ends[places + 1] - ends[places]
@@ -475,25 +537,24 @@ def _shared(counted: DataFrame, model: Model) -> DataFrame:
     return contexts.repartition(model.parts, "part").sortWithinPartitions("part", "origin").mapInArrow(run, "part bigint, sums binary")
 
 
-def _coded(made: DataFrame, ranked: DataFrame) -> DataFrame:
+def _coded(made: DataFrame, ranks: DataFrame) -> DataFrame:
     """Blocks with the ranks of their words instead of the words."""
-    local = made.select("block", F.posexplode("words").alias("pos", "word")).join(ranked.select("word", "rank"), "word")
-    ranks = local.groupBy("block").agg(F.collect_list(F.struct("pos", "rank")).alias("ranks"))
-    return made.drop("words").join(ranks, "block", "left")
+    return made.drop("words").join(ranks.groupBy("block").agg(F.collect_list("ranks").alias("ranks")), "block", "left")
 
 
 def fit(docs: DataFrame, order: int) -> tuple[Model, DataFrame, DataFrame, DataFrame]:
     """(id, held, text) -> the model of the documents not held; what needs no context of all documents; asks; counts."""
     spark = docs.sparkSession
     made = save(blocks(docs), "blocks", "zstd")
-    ranked = save(numbered(counts(made), F.desc("n"), "word", name="rank"), "words")
+    buckets = width(spark)
+    dealt = save(_dealt(made, buckets), "dealt")
+    ranked = save(numbered(counts(dealt, buckets), F.desc("n"), "word", name="rank"), "words")
     of = ranked.groupBy("n").agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("n")).collect()
     ends = ranked.where(F.length("word") == 0).select("n").first()
     unigrams = Unigrams(np.array([r.n for r in of], np.int64), np.cumsum(np.array([r.words for r in of], np.int64)), ends.n if ends else 0)
     release(spark)
-    coded = save(_coded(made, ranked), "coded", "zstd")
-    discard(made, ranked)
-    del made, ranked, of
+    coded = save(_coded(made, _ranks(dealt, ranked, buckets)), "coded", "zstd")
+    discard(made, dealt, ranked)
     release(spark)
     parts = max(width(spark), -(-unigrams.total // PART))
     model = Model(order, unigrams, parts, 2 * unigrams.total / parts)

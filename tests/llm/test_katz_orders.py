@@ -103,7 +103,8 @@ def test_cut_texts_keep_both_words_before(monkeypatch):
         seen, number = Counter(), {}
         for b in katz.token_blocks([batch], 0):
             words = b["words"][0].as_py()
-            ranks = pa.array([[{"pos": i, "rank": number.setdefault(w, len(number) + 1)} for i, w in enumerate(words)]], pa.list_(pa.struct([("pos", pa.int64()), ("rank", pa.int64())])))
+            ranks = [number.setdefault(w, len(number) + 1) for w in words]
+            ranks = pa.array([[katz.bundle(katz.pack(np.arange(len(ranks)), True), katz.pack(np.array(ranks, np.int64)))]], pa.list_(pa.binary()))
             b = pa.RecordBatch.from_arrays([*b.columns, ranks], names=[*b.schema.names, "ranks"])
             u, v, w, n, docs, doc, times = katz._block_grams(b, 0, 3)
             ids = b["ids"][0].as_py()

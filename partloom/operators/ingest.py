@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.knowledge import SAFE_WORDS
 from ..functions.refs import expansion, member
 from ..functions.text import contains_any, has_digit
+from ..storage import save
 from .classify import SOCKET_CATEGORY, SOCKET_VALUE, with_class
 
 #: A reference, a separator, the first word of a value.
@@ -20,9 +21,12 @@ TOKEN = r"(?Ud)^([a-zA-Z0-9_\-]+)[\s,]+([0-9a-zA-Z./\-]+)"
 
 def classes(candidates: DataFrame) -> DataFrame:
     """(shape, val_raw, category, value, socket) of the different pairs. A reference's numbers decide nothing but that
-    there are some, so its shape has one digit for each run of them, and pairs are as many as labels and values."""
+    there are some, so its shape has one digit for each run of them, and pairs are as many as labels and values.
+
+    They are written, so that Spark knows their size when it plans the join: else it deals all candidates by pair before it
+    finds that it could have sent the pairs to them."""
     pairs = candidates.select("shape", "val_raw").distinct()
-    return with_class(pairs, "shape").select(F.col("shape").alias("shape_"), F.col("val_raw").alias("val_"), "category", "value", "socket")
+    return save(with_class(pairs, "shape").select(F.col("shape").alias("shape_"), F.col("val_raw").alias("val_"), "category", "value", "socket"), "classes")
 
 
 def dealt(candidates: DataFrame) -> DataFrame:
@@ -75,18 +79,21 @@ def scan_lines(lines: DataFrame) -> DataFrame:
     name = F.regexp_extract("line", r"(?Uds)^\S+\s+(.*)$", 1)
     board = head == "PCB"
     token = ~board & F.col("line").rlike(TOKEN)
+    # what a fallback takes of a line is a column of its own: bills that need no more do not sort whole lines
+    fallback = F.when(~board & F.contains(F.upper("line"), F.lit("PCB")), F.col("line"))
     rows = lines.withColumns({
         "board": board,
         "named": F.when(board & (name != ""), name),
+        "fallback": fallback,
         "ref_raw": F.when(token, F.upper(F.regexp_extract("line", TOKEN, 1))),
         "val_raw": F.when(token, F.regexp_extract("line", TOKEN, 2)),
     })
     rows = resolve(rows)
-    fallback = ~F.col("board") & (F.col("found") == 0) & F.contains(F.upper("line"), F.lit("PCB"))
+    none, first = F.col("found") == 0, F.coalesce("pos", F.lit(0)) == 0
     return rows.withColumns({
-        "pcb": F.when(F.coalesce("pos", F.lit(0)) == 0, F.coalesce("named", F.when(fallback, F.col("line")))),
-        "rejected": ~F.col("board") & (F.col("found") == 0) & ~fallback & (F.coalesce("pos", F.lit(0)) == 0),
-    })
+        "pcb": F.when(first, F.coalesce("named", F.when(none, F.col("fallback")))),
+        "rejected": ~F.col("board") & none & F.col("fallback").isNull() & first,
+    }).drop("fallback")
 
 
 def text_events(scanned: DataFrame) -> DataFrame:

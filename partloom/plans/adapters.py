@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import save
-
 #: Mantissas of the E12 series.
 _MANTISSA = "CASE l_partkey % 12 WHEN 0 THEN '1' WHEN 1 THEN '1.2' WHEN 2 THEN '1.5' WHEN 3 THEN '1.8' WHEN 4 THEN '2.2' WHEN 5 THEN '2.7' WHEN 6 THEN '3.3' WHEN 7 THEN '3.9' WHEN 8 THEN '4.7' WHEN 9 THEN '5.6' WHEN 10 THEN '6.8' ELSE '8.2' END"
 _OHMS = f"CASE WHEN l_suppkey % 7 = 6 THEN '4k7' ELSE {_MANTISSA} || CASE l_suppkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'k' WHEN 2 THEN 'M' ELSE '00' END END"
@@ -74,10 +72,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(slot, source, ordinal, line). The table is one file of one row group, hence one task, so it is dealt out first; the
-    lines are written as an input would be, or else Spark puts their long expression into all that looks at them."""
+    """(slot, source, ordinal, line). The table is one file of one row group, hence one task, so it is dealt out first, by
+    project: what looks within a project then needs no exchange, and the dealt columns are all that goes to disk."""
     raw = spark.sql(LINES, lineitem=table(spark, sf_dir, "lineitem").repartition("l_orderkey"))
-    return save(raw.select("slot", F.lit("BOM").alias("source"), F.struct("at1", "at2", "at3", "at4").alias("ordinal"), "line"), "lines")
+    return raw.select("slot", F.lit("BOM").alias("source"), F.struct("at1", "at2", "at3", "at4").alias("ordinal"), "line")
 
 
 def projects(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
-from functools import wraps
+from functools import cached_property, wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,15 +41,15 @@ class Data:
     def table(self, name: str) -> DataFrame:
         return adapters.table(self.spark, self.sf_dir, name)
 
-    @property
+    @cached_property
     def lines(self) -> DataFrame:
         return adapters.lines(self.spark, self.sf_dir)
 
-    @property
+    @cached_property
     def scanned(self) -> DataFrame:
         return ingest.scan_lines(self.lines)
 
-    @property
+    @cached_property
     def events(self) -> DataFrame:
         return ingest.text_events(self.scanned)
 

@@ -9,6 +9,7 @@ from ..functions.knowledge import CATEGORIES, Z_HEIGHT, Z_LARGE_CAP, Z_OTHER, Z_
 from ..functions.refs import in_natural_order
 from ..functions.text import col, nonempty
 from ..functions.units import bulky, parse_value
+from ..storage import save
 
 KEY = ["category", "value"]
 CHUNK = 1024  # references of a piece of a source's list
@@ -94,11 +95,14 @@ def source_map(by_source: DataFrame) -> DataFrame:
 
 
 def rename_source(rows: DataFrame, old: str, new: str) -> DataFrame:
-    """Rows (category, value, source, refs): ``old`` takes the place of ``new``, whose own rows for that part go."""
+    """Rows (category, value, source, refs): ``old`` takes the place of ``new``, whose own rows for that part go.
+
+    The parts that ``old`` has are written, so that ``rows`` meet them without being dealt."""
     if old == new:
         return rows
-    taken = rows.where(F.col("source") == old).select(*KEY)
-    kept = rows.where(F.col("source") != new).unionByName(rows.where(F.col("source") == new).join(taken, KEY, "left_anti").select(*rows.columns))
+    taken = save(rows.where(F.col("source") == old).select(*KEY).distinct(), "renamed")
+    gone = rows.join(taken.withColumn("gone", F.col("category").isNotNull()), KEY, "left")
+    kept = gone.where(~(F.col("source").eqNullSafe(new) & F.col("gone").eqNullSafe(True))).select(*rows.columns)
     return kept.withColumn("source", F.when(F.col("source") == old, new).otherwise(F.col("source")))
 
 

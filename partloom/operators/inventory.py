@@ -9,7 +9,7 @@ from ..functions.knowledge import CATEGORIES, Z_HEIGHT, Z_LARGE_CAP, Z_OTHER, Z_
 from ..functions.refs import in_natural_order
 from ..functions.text import col, nonempty
 from ..functions.units import bulky, parse_value
-from ..storage import save
+from ..storage import discard, save
 
 KEY = ["category", "value"]
 CHUNK = 1024  # references of a piece of a source's list
@@ -49,22 +49,39 @@ def sku_count(events: DataFrame) -> DataFrame:
 
 
 def _marked(events: DataFrame, counts: DataFrame | None) -> DataFrame:
-    """Events with their project's count, one for all that a project has of a board."""
+    """Events with their project's count; ``board`` tells those of which a project has one mark, however many there are."""
     mark = F.when(F.col("kind") == "pcb", "PCB").otherwise(F.col("ref"))
-    rows = events.withColumn("ref", mark).where("ref <> ''")
-    boards, parts = rows.where("kind = 'pcb'"), rows.where("kind <> 'pcb'")
-    rows = parts.unionByName(boards.groupBy("slot", "source", *KEY).agg(F.min("ordinal").alias("ordinal"), F.min("pos").alias("pos"), F.lit("PCB").alias("ref"), F.lit(1).cast("bigint").alias("qty"), F.lit("pcb").alias("kind")).select(*parts.columns))
+    rows = events.withColumn("ref", mark).where("ref <> ''").withColumn("board", F.col("kind") == "pcb")
     return rows.join(counts.select("slot", "count"), "slot") if counts is not None else rows.withColumn("count", F.lit(1))
 
 
 def sources(events: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """(category, value, source, refs, n): references by source, repeated by the project's count if given.
 
-    A board's source holds one mark, however often it is listed.
+    A board's source holds one mark, however often it is listed. What a project has of a part is one row before it is dealt
+    by part.
     """
-    rows = _marked(events, counts)
-    listed = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("slot", "ordinal", "pos", "kind", "ref", "count"))), lambda x: F.array_repeat(x["ref"], x["count"].cast("int"))))
-    return rows.groupBy(*KEY, "source").agg(listed.alias("refs"), F.sum("count").cast("bigint").alias("n"))
+    seen = F.struct("ordinal", "pos", "kind", "ref")
+    parts, board = F.collect_list(F.when(~F.col("board"), seen)), F.min(F.when(F.col("board"), seen))
+    n = F.count(F.when(~F.col("board"), 1)) + F.max(F.col("board").cast("bigint"))
+    each = _marked(events, counts).groupBy("slot", "source", "count", *KEY).agg(F.transform(F.array_sort(F.concat(parts, F.array_compact(F.array(board)))), lambda x: x["ref"]).alias("refs"), n.alias("n"))
+    repeated = lambda x: F.flatten(F.transform(x["refs"], lambda r: F.array_repeat(r, x["count"].cast("int"))))
+    listed = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("slot", "refs", "count"))), repeated))
+    return each.groupBy(*KEY, "source").agg(listed.alias("refs"), F.sum(F.col("n") * F.col("count")).cast("bigint").alias("n"))
+
+
+def in_pieces(rows: DataFrame, by: list[str]) -> DataFrame:
+    """(slot, *by, piece, refs): the references of each slot and ``by`` in order of sighting, in pieces of CHUNK. Rows that
+    are dealt by slot already are not dealt again. Of boards, where rows have the column ``board``, the first counts."""
+    order = Window.partitionBy("slot", *by).orderBy("ordinal", "pos", "kind", "ref")
+    nth = F.row_number().over(order) - 1
+    if "board" in rows.columns:
+        boards = F.sum(F.col("board").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        rows = rows.withColumns({"nth": nth, "boards": boards}).where("NOT board OR boards = 1")
+        nth = F.col("nth") - F.greatest(F.lit(0), F.col("boards") - 1)  # marks that were left out have no place
+    rows = rows.withColumn("nth", nth).withColumn("piece", F.floor(F.col("nth") / CHUNK).cast("int"))
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("nth", "ref"))), lambda x: x["ref"])
+    return rows.groupBy("slot", *by, "piece").agg(listed.alias("refs"))
 
 
 def source_lists(events: DataFrame, counts: DataFrame | None = None, size: int = CHUNK) -> DataFrame:
@@ -73,20 +90,34 @@ def source_lists(events: DataFrame, counts: DataFrame | None = None, size: int =
     ``refs``: (ref, n) in order of sighting, ``n`` how often the reference stands there in a row; ``begins``: the place
     of its first in the whole list, from 0; ``n``: how many places it takes. No array grows with the input, and
     a count of millions costs no more than one. References are placed within a range of slots, after those of the
-    lower ranges, so that a source of very many projects is many tasks; a count of 0 or less has no place."""
-    rows = _marked(events, counts).where("count > 0").withColumn("range", F.shiftright("slot", RANGE_BITS))
-    each = rows.groupBy(*KEY, "source", "range").agg(F.count(F.lit(1)).alias("rows"), F.sum("count").alias("places"))
-    lower = Window.partitionBy(*KEY, "source").orderBy("range")
-    before = each.select(*KEY, "source", "range", (F.sum("rows").over(lower) - F.col("rows")).alias("rows"), (F.sum("places").over(lower) - F.col("places")).alias("places"))
-    inside = Window.partitionBy(*KEY, "source", "range").orderBy("slot", "ordinal", "pos", "kind", "ref").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # a source may be null: it is compared as equal to itself
-    placed = rows.withColumns({"nth": F.row_number().over(Window.partitionBy(*KEY, "source", "range").orderBy("slot", "ordinal", "pos", "kind", "ref")) - 1, "upto": F.sum("count").over(inside)})
-    placed = placed.alias("a").join(before.alias("b"), [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*KEY, "source", "range")])
-    place = F.col("b.rows") + F.col("nth")
-    placed = placed.select(*[f"a.{c}" for c in (*KEY, "source", "ref", "count")], place.alias("place"), (F.col("b.places") + F.col("upto") - F.col("count")).alias("begins"))
-    placed = placed.withColumn("chunk", F.floor(F.col("place") / size).cast("bigint"))
-    listed = F.transform(F.sort_array(F.collect_list(F.struct("place", "ref", F.col("count").cast("bigint").alias("n")))), lambda x: F.struct(x["ref"].alias("ref"), x["n"].alias("n")))
-    return placed.groupBy(*KEY, "source", "chunk").agg(F.min("begins").cast("bigint").alias("begins"), F.sum("count").cast("bigint").alias("n"), listed.alias("refs"))
+    lower ranges, so that a source of very many projects is many tasks; a count of 0 or less has no place.
+
+    What is dealt is one row for what a project has of a part, or several of CHUNK references. Each step is written, so
+    that the shuffle files of no two are there at once."""
+    # a source may be null, and is equal to itself: so is a struct that holds it, by which rows are dealt once
+    rows = in_pieces(_marked(events, counts).where("count > 0"), ["source", "count", *KEY])
+    rows = rows.select(F.struct(*KEY, "source").alias("part"), F.shiftright("slot", RANGE_BITS).alias("range"), "slot", "piece", F.col("count").cast("bigint").alias("count"), "refs")
+    rows = save(rows, "pieces")
+    k = F.size("refs").cast("bigint")
+    each = rows.groupBy("part", "range").agg(F.sum(k).alias("k"), F.sum(k * F.col("count")).alias("places"))
+    lower = Window.partitionBy("part").orderBy("range")
+    before = each.select("part", "range", (F.sum("k").over(lower) - F.col("k")).alias("b_rows"), (F.sum("places").over(lower) - F.col("places")).alias("b_places"))
+    before = save(before.where("b_rows > 0"), "before")
+    inside = Window.partitionBy("part", "range").orderBy("slot", "piece").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = rows.withColumns({"upto": F.sum(k).over(inside), "places": F.sum(k * F.col("count")).over(inside)}).join(before, ["part", "range"], "left")
+    place = F.coalesce("b_rows", F.lit(0)) + F.col("upto") - k
+    begins = F.coalesce("b_places", F.lit(0)) + F.col("places") - k * F.col("count")
+    placed = placed.select("part", "refs", "count", k.alias("k"), place.alias("place"), begins.alias("begins"))
+    chunk = lambda at: F.floor(at / size).cast("bigint")
+    cut = placed.withColumn("chunk", F.explode(F.sequence(chunk(F.col("place")), chunk(F.col("place") + F.col("k") - 1))))
+    cut = cut.withColumn("from", F.greatest(F.lit(0), F.col("chunk") * size - F.col("place")))
+    cut = cut.withColumn("k", F.least("k", (F.col("chunk") + 1) * size - F.col("place")) - F.col("from"))
+    cut = cut.select("part", "chunk", "count", (F.col("begins") + F.col("from") * F.col("count")).alias("begins"), F.slice("refs", F.col("from").cast("int") + 1, F.col("k").cast("int")).alias("refs"))
+    cut = save(cut, "chunks")
+    discard(rows, before)
+    listed = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("begins", "refs", "count"))), lambda x: F.transform(x["refs"], lambda r: F.struct(r.alias("ref"), x["count"].alias("n")))))
+    lists = cut.groupBy("part", "chunk").agg(F.min("begins").cast("bigint").alias("begins"), F.sum(k * F.col("count")).cast("bigint").alias("n"), listed.alias("refs"))
+    return lists.select("part.*", "chunk", "begins", "n", "refs")
 
 
 def source_map(by_source: DataFrame) -> DataFrame:

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions.knowledge import IGNORE_VALUES, KEYWORDS, PDF_PREFIXES, TITLE_IGNORE
 from ..functions.text import contains_any, has_digit, starts_any, strip
-from ..operators.ingest import dealt, resolve
+from ..operators.ingest import resolve
+from ..storage import save
 
 SCHEMA = "slot bigint, source string, page int, text string, tables array<array<array<string>>>, words array<struct<text:string,size:double,top:double,x0:double>>"
 REF_HEADS, VALUE_HEADS = ["LOCATION", "REF", "DESIGNATOR", "PART"], ["VALUE", "VAL", "DESCRIPTION"]
@@ -71,14 +72,16 @@ def text_matches(pages: DataFrame, strict: bool) -> DataFrame:
 
 
 def scan(pages: DataFrame) -> DataFrame:
-    """All candidates resolved: tables first, then text, which is read loosely where no table gave a part."""
-    tables = table_rows(pages)
-    tables = dealt(tables)
+    """All candidates resolved: tables first, then text, which is read loosely where no table gave a part.
+
+    Candidates are written: Spark would put the expressions that give them into all that looks at them, and what pages and
+    the first look at tables shuffle goes before the second look."""
+    tables = save(table_rows(pages), "tables")
     by_table = resolve(tables).groupBy("slot").agg(F.max("valid").alias("some"))
-    have = by_table.where("some").select("slot")
-    loose = text_matches(pages.join(have, "slot", "left_anti"), strict=False)
-    strict = text_matches(pages.join(have, "slot", "left_semi"), strict=True)
-    return resolve(tables.unionByName(dealt(loose.unionByName(strict))))
+    have = save(by_table.where("some").select("slot"), "have")
+    loose = save(text_matches(pages.join(have, "slot", "left_anti"), strict=False), "loose")
+    strict = save(text_matches(pages.join(have, "slot", "left_semi"), strict=True), "strict")
+    return resolve(tables.unionByName(loose).unionByName(strict))
 
 
 def stats(pages: DataFrame, resolved: DataFrame) -> DataFrame:
